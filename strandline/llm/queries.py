@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import mixing, pieces, url_rules
+from strandline.llm import langid, licenses, mixing, pieces, toxicity, url_rules, winnow
 
 # Rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -19,22 +20,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare_neighbours(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", "edited_sha256", winnow.digest("prints").alias("fingerprint"), winnow.digest("edited_prints").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.learn_profiles(docs.where(~langid.held_out("doc_id", 3, 1)).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "text"), profiles)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
+    return toxicity.learn(docs, labels.where(~langid.held_out("doc_id", 5, 0)).select("doc_id", "toxic"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "text"), model)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
 QUERIES = {
+    "op2_winnow": op2_winnow,
     "op3_pieces": op3_pieces,
+    "op4_licenses": op4_licenses,
     "op5_mix": op5_mix,
+    "op8_langid": op8_langid,
+    "op9_toxicity": op9_toxicity,
     "op10_url_rules": op10_url_rules,
 }
 
