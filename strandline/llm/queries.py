@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, licenses, mixing, pieces, toxicity, url_rules, winnow
+from strandline.llm import embeddings, langid, licenses, mixing, pieces, simhash, toxicity, url_rules, winnow
 
 # Rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -37,6 +37,14 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = langid.learn_profiles(docs.where(~langid.held_out("doc_id", 3, 1)).select("doc_id", "text", "lang"))
@@ -63,6 +71,8 @@ QUERIES = {
     "op3_pieces": op3_pieces,
     "op4_licenses": op4_licenses,
     "op5_mix": op5_mix,
+    "op6_simhash": op6_simhash,
+    "op7_embeddings": op7_embeddings,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_url_rules": op10_url_rules,
