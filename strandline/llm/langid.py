@@ -95,16 +95,17 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return {"dims": dims, "seed": seed, "langs": langs, "vectors": vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)}
 
 
-def identify(docs: DataFrame, profiles: dict, text_col: str = "text") -> DataFrame:
-    """docs without text_col plus lang_pred (nearest prototype) and score (its cosine, cut to 0..1).
+def identify(docs: DataFrame, profiles: dict, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs without text_col (unless keep_text) plus lang_pred (nearest prototype) and score (its cosine, cut to 0..1).
 
     Null texts, texts without a letter and empty profiles give 'und' and 0; whole texts count; equal cosines go to the
     first language by name; repeated rows stay. The columns lang_pred and score of docs, if any, are replaced. No shuffle.
     """
     rows = docs.drop("lang_pred", "score")
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
-    out = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", lang_pred string, score double"
-    schema = to_arrow_schema(_parse_datatype_string(out.lstrip(", ")))
+    kept = [f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"`{text_col}` string"] * keep_text
+    out = ", ".join([*kept, "lang_pred string", "score double"])
+    schema = to_arrow_schema(_parse_datatype_string(out))
     langs, vectors = profiles["langs"], profiles["vectors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +122,6 @@ def identify(docs: DataFrame, profiles: dict, text_col: str = "text") -> DataFra
                     k = int(near.argmax())
                     said.append(langs[k])
                     scores.append(min(1.0, max(0.0, float(near[k]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(said, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return rows.mapInArrow(run, out.lstrip(", "))
+    return rows.mapInArrow(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embeddings, langid, licenses, mixing, pieces, simhash, toxicity, url_rules, winnow
+from strandline.llm import embeddings, langid, licenses, mixing, pieces, shards, simhash, toxicity, url_rules, winnow
 
 # Rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.compare_neighbours(documents(spark, sf_dir))
     return found.select("doc_id", "n_chars", "edited_sha256", winnow.digest("prints").alias("fingerprint"), winnow.digest("edited_prints").alias("edited_fingerprint"), "near_edited", "near_next")
@@ -67,6 +71,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_training_order": op1_training_order,
     "op2_winnow": op2_winnow,
     "op3_pieces": op3_pieces,
     "op4_licenses": op4_licenses,

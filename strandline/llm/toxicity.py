@@ -163,15 +163,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
     return w.tolist()
 
 
-def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs without text_col plus score (0 to 1) and predicted (1 from 0.5 on).
+def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs without text_col (unless keep_text) plus score (0 to 1) and predicted (1 from 0.5 on).
 
     Null and empty texts have no clause and get the score of a text without matches; whole texts are read; repeated
     rows stay; columns score and predicted of docs, if any, are replaced. No shuffle.
     """
     rows = docs.drop("score", "predicted")
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
-    out = (", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", score double, predicted int").lstrip(", ")
+    kept = [f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"`{text_col}` string"] * keep_text
+    out = ", ".join([*kept, "score double", "predicted int"])
     schema = to_arrow_schema(_parse_datatype_string(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +182,6 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> Data
             for text in batch.column(batch.num_columns - 1):
                 a, b, c = grammar.features(text.as_py() or "")
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * a + w[2] * b + w[3] * c)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=schema)
 
     return rows.mapInArrow(run, out)
