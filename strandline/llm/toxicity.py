@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from strandline.functions.staging import staged
+
 # Small closed word classes of the grammar.
 TARGETS = frozenset("you your yours you're he she him her they them this that these those people everyone du dein ihr euch tu toi vous votre usted ustedes tú".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't nicht kein keine jamais pas nunca".split())
@@ -107,14 +109,14 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic: int, clean:
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.abs(F.xxhash64(id_col, F.lit("toxic"))) % 1_000_000
     share = F.when(F.col("toxic") == 1, int(1e6 * min(1.0, toxic / max(1, sizes.get(1, 0)))) + 1).otherwise(int(1e6 * min(1.0, clean / max(1, sizes.get(0, 0)))) + 1)
-    return docs.join(known.where(draw < share), id_col).select("toxic", "text")
+    return staged(docs.join(F.broadcast(known.where(draw < share)), id_col).select("toxic", "text"), "labelled")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 3000, clean_rows: int = 6000, least_rows: int = 5, least_share: float = 0.01, least_odds: float = 3.0) -> dict:
     """Lexicon and calibration from labelled rows (id_col, toxic) joined to docs (id_col, text).
 
     The fit uses a sample of about toxic_rows toxic and clean_rows clean rows, chosen by the hash of the id (a bound in
-    expectation). Words and word beginnings enter the lexicon with the log-odds of the documents that hold them when
+    expectation, which also bounds the broadcast of the sampled ids); its texts are staged once. Words and word beginnings enter the lexicon with the log-odds of the documents that hold them when
     least_share of the toxic rows (least_rows at least) hold them and the log-odds reach least_odds. Of nested
     beginnings the longest that still covers 95 % of the shorter one's rows stays. The calibration is a logistic
     regression of the label on the grammar's three features over the same sample.
