@@ -91,9 +91,9 @@ def persistence_ratio(p):
     return rounded(T.persistence_ratio(p), "persistence")
 
 
-@query("msd", TP, ctes=MSD, sql="SELECT recording_id, track_id, lag, round(msd, 4) AS msd, round(sem, 4) AS sem FROM curve")
+@query("msd", TP, ctes=MSD, sql="SELECT recording_id, track_id, lag, round(msd, 9) AS msd, round(sem, 9) AS sem FROM curve")
 def msd(p):
-    return rounded(T.msd(p), "msd", "sem", n=4)
+    return rounded(T.msd(p), "msd", "sem", n=9)
 
 
 @query("direction_autocorrelation", TP, ctes=COMPACT + """,
