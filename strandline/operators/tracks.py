@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions.primitives import MINUTES, UM_PER_PX, convolve, gaussian_weights
 
 KEYS = ["recording_id", "track_id"]
-ALONG = W.partitionBy(*KEYS).orderBy("frame")
-WHOLE = ALONG.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
+def along() -> WindowSpec:
+    """The frames of a track in order."""
+    return W.partitionBy(*KEYS).orderBy("frame")
 
 
 def px_to_um(points: DataFrame, um_per_px: float = UM_PER_PX) -> DataFrame:
@@ -34,14 +38,14 @@ def valid(points: DataFrame) -> DataFrame:
 
 def trajectory_origin(points: DataFrame) -> DataFrame:
     """Positions relative to the track's first valid point."""
-    start = F.first(F.when(F.col("cy").isNotNull() & F.col("cx").isNotNull(), F.struct("cy", "cx")), ignorenulls=True).over(WHOLE)
+    start = F.first(F.when(F.col("cy").isNotNull() & F.col("cx").isNotNull(), F.struct("cy", "cx")), ignorenulls=True).over(along().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return points.withColumn("_s", start).select(*KEYS, "frame", (F.col("cy") - F.col("_s.cy")).alias("cy"), (F.col("cx") - F.col("_s.cx")).alias("cx"))
 
 
 def steps(points: DataFrame) -> DataFrame:
     """Length of the step from every frame to the next; null beside a gap, absent for the last frame."""
-    dy, dx = F.lead("cy").over(ALONG) - F.col("cy"), F.lead("cx").over(ALONG) - F.col("cx")
-    return points.select(*KEYS, "frame", F.sqrt(dy * dy + dx * dx).alias("step"), F.lead("frame").over(ALONG).alias("_next")).where("_next is not null").drop("_next")
+    dy, dx = F.lead("cy").over(along()) - F.col("cy"), F.lead("cx").over(along()) - F.col("cx")
+    return points.select(*KEYS, "frame", F.sqrt(dy * dy + dx * dx).alias("step"), F.lead("frame").over(along()).alias("_next")).where("_next is not null").drop("_next")
 
 
 def instantaneous_speed(points: DataFrame, minutes: float = MINUTES) -> DataFrame:
@@ -74,7 +78,7 @@ def persistence_ratio(points: DataFrame) -> DataFrame:
 
 def compacted(points: DataFrame) -> DataFrame:
     """Valid points numbered 0..n-1 in order of frame, with n."""
-    return valid(points).select(*KEYS, "cy", "cx", (F.row_number().over(ALONG) - 1).alias("idx"), F.count("*").over(W.partitionBy(*KEYS)).cast("int").alias("n"))
+    return valid(points).select(*KEYS, "cy", "cx", (F.row_number().over(along()) - 1).alias("idx"), F.count("*").over(W.partitionBy(*KEYS)).cast("int").alias("n"))
 
 
 def msd(points: DataFrame) -> DataFrame:
@@ -94,8 +98,8 @@ def msd(points: DataFrame) -> DataFrame:
 def direction_autocorrelation(points: DataFrame) -> DataFrame:
     """Mean cosine between unit steps at each lag from 0 to min((n - 1) // 2, n - 1) - 1; lag 0 is 1."""
     p = compacted(points).where("n >= 3")
-    along = W.partitionBy(*KEYS).orderBy("idx")
-    dy, dx = F.lead("cy").over(along) - F.col("cy"), F.lead("cx").over(along) - F.col("cx")
+    order = W.partitionBy(*KEYS).orderBy("idx")
+    dy, dx = F.lead("cy").over(order) - F.col("cy"), F.lead("cx").over(order) - F.col("cx")
     norm = F.greatest(F.sqrt(dy * dy + dx * dx), F.lit(1e-8))
     u = p.select(*KEYS, "idx", "n", (dy / norm).alias("uy"), (dx / norm).alias("ux")).where("uy is not null")
     lags = F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / 2) - 1, F.lit(0)).cast("int"))
@@ -117,7 +121,7 @@ def msd_diffusion_fit(curve: DataFrame, minutes: float = MINUTES) -> DataFrame:
 
 def smooth_trajectory(points: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Gaussian smoothing over valid points, reflected at the ends; frames without a point stay null, short tracks unchanged."""
-    numbered = valid(points).select(*KEYS, "frame", "cy", "cx", (F.row_number().over(ALONG) - 1).alias("idx"), F.count("*").over(W.partitionBy(*KEYS)).alias("n"))
+    numbered = valid(points).select(*KEYS, "frame", "cy", "cx", (F.row_number().over(along()) - 1).alias("idx"), F.count("*").over(W.partitionBy(*KEYS)).alias("n"))
     smooth = convolve(numbered.where("n >= 3"), KEYS, "idx", ["cy", "cx"], gaussian_weights(sigma)).select(*KEYS, "idx", F.col("cy").alias("sy"), F.col("cx").alias("sx"))
     placed = numbered.join(smooth, [*KEYS, "idx"], "left").select(*KEYS, "frame", F.coalesce("sy", "cy").alias("cy"), F.coalesce("sx", "cx").alias("cx"))
     return points.select(*KEYS, "frame").join(placed, [*KEYS, "frame"], "left")
