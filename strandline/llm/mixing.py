@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions.staging import staged
+
 KEY_BITS = 60
 
 
@@ -44,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return sums.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", rows_per_bucket: int = 20_000,
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", rows_per_bucket: int = 2_000,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every row of docs with size, source_size, target, taken (words) and copies (whole repeats, the cut one counted).
 
@@ -52,8 +54,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     rows of the largest source are summed first, and prefix sums over the bucket totals give every bucket its start; a
     window within (source, bucket) gives each document's start. So a source with a third of all rows is spread over as
     many tasks as it has buckets. Full epochs repeat every document; the rest of the budget is cut at its exact word
-    inside the document where it ends. Only narrow columns are shuffled; the texts stay with the rows that the
-    caller joins by id.
+    inside the document where it ends. Only narrow columns are staged and shuffled; the texts stay with
+    the rows that the caller joins by id, and are read once.
 
     Null texts have size 0 and take 0 words; null sources are a source of their own, last; rows with equal id and size
     are interchangeable and each has its own place; empty tables give no rows; further columns of docs are ignored.
@@ -61,7 +63,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     rows = docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(id_col, seed).alias("_key"))
     largest = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 1
     width = -(-(1 << KEY_BITS) // max(1, -(-largest // rows_per_bucket)))
-    rows = rows.withColumn("_bucket", F.expr(f"_key div {width}"))
+    rows = staged(rows.withColumn("_bucket", F.expr(f"_key div {width}")), "sizes")
     totals = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
     earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
