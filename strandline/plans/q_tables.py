@@ -1 +1,139 @@
-"""Queries."""
+"""Queries of sources, sinks, streaming and user functions over tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandline.operators import masks as M
+from strandline.operators import objects as O
+from strandline.plans.fixtures import view
+from strandline.plans.registry import QUERIES, query
+from strandline.sources import readers as R
+from strandline.sources import sinks as K
+from strandline.streaming import sessions as S
+
+FILES, REC, LOG, RM, PX = "media_files", "recordings", "run_log", "recording_metrics", "mask_px"
+NAMES = r"""
+f AS (SELECT path, regexp_extract(path, '\.([^./]*)$', 1) AS ext, regexp_replace(path, '\.[^./]*$', '') AS stem, regexp_extract(path, '([^/]*)/[^/]*$', 1) AS dir FROM media_files),
+n AS (SELECT *, regexp_extract(stem, '([^/]*)$', 1) AS name FROM f)
+"""
+
+
+@query("scan_recordings", FILES, ctes=NAMES, sql="SELECT coalesce(nullif(dir, ''), 'root') AS grp, name, path FROM n WHERE lower(ext) IN ('mp4', 'avi', 'mov', 'tif', 'tiff')")
+def scan_recordings(files):
+    return R.recordings_of(files)
+
+
+@query("read_sidecars", REC, sql="SELECT recording_id, grp, name, coalesce(um_per_px, 1.0::DOUBLE) AS um_per_px, coalesce(time_interval_min, 1.0::DOUBLE) AS time_interval_min FROM recordings")
+def read_sidecars(rec):
+    return R.with_defaults(rec)
+
+
+@query("build_recordings", FILES, REC, ctes=NAMES, sql="""SELECT coalesce(nullif(dir, ''), 'root') AS grp, coalesce(r.name, n.name) AS name, path, coalesce(um_per_px, 1.0::DOUBLE) AS um_per_px, coalesce(time_interval_min, 1.0::DOUBLE) AS time_interval_min
+FROM n LEFT JOIN (SELECT * FROM recordings WHERE recording_id % 3 = 0) r ON r.recording_id = regexp_extract(n.name, '(\\d+)', 1)::BIGINT WHERE lower(ext) IN ('mp4', 'tif')""".replace("\\\\d", "\\d"))
+def build_recordings(files, rec):
+    scanned = R.recordings_of(files)
+    side = rec.where("recording_id % 3 = 0").withColumn("k", F.col("recording_id"))
+    stems = scanned.select(R.stem(F.col("path")).alias("stem"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("k"))
+    return R.build_recordings(scanned, stems.join(side, "k").select("stem", "name", "um_per_px", "time_interval_min"))
+
+
+@query("scale_override", REC, sql="SELECT recording_id, grp, name, 0.5::DOUBLE AS um_per_px, time_interval_min FROM recordings")
+def scale_override(rec):
+    return R.scale_override(rec, 0.5, 0.0)
+
+
+@query("index_mask_files", FILES, ctes=NAMES, sql="SELECT path, CASE WHEN contains(path, 'masks') AND len(d) > 1 THEN d[-2] ELSE d[-1] END::INT AS frame FROM (SELECT path, regexp_extract_all(name, '\\d+') AS d FROM n) x WHERE len(d) > 0".replace("\\\\d", "\\d"))
+def index_mask_files(files):
+    return R.index_mask_files(files)
+
+
+PAIR_NAMES = NAMES.replace("FROM media_files", "FROM (SELECT path FROM media_files UNION ALL SELECT replace(path, '_masks', '') FROM media_files WHERE contains(path, '_masks')) x")
+
+
+@query("pair_training_files", FILES, ctes=PAIR_NAMES, sql=r"""SELECT i.path AS image, m.mask FROM (SELECT path, stem FROM n WHERE NOT regexp_matches(name, '_masks?$')) i
+JOIN (SELECT regexp_replace(stem, '_masks?$', '') AS b, min(path) AS mask FROM n WHERE regexp_matches(name, '_masks?$') GROUP BY 1) m ON i.stem = m.b
+UNION ALL SELECT i.path, m.mask FROM (SELECT path, regexp_extract(name, '(\d+)\D*$', 1) AS k FROM n WHERE NOT regexp_matches(name, '_masks?$')) i
+JOIN (SELECT regexp_extract(name, '(\d+)\D*$', 1) AS k, min(path) AS mask FROM n WHERE regexp_matches(name, '_masks?$') GROUP BY 1) m ON i.k = m.k AND m.k <> ''
+WHERE NOT EXISTS (SELECT 1 FROM n a JOIN n b ON a.stem = regexp_replace(b.stem, '_masks?$', '') WHERE NOT regexp_matches(a.name, '_masks?$') AND regexp_matches(b.name, '_masks?$'))""")
+def pair_training_files(files):
+    images = files.where(F.contains("path", F.lit("_masks"))).select(F.replace("path", F.lit("_masks"), F.lit("")).alias("path"))
+    return R.pair_training_files(files.unionByName(images))
+
+
+@query("read_masks", PX, sql="SELECT recording_id, frame, label, row_, col_ FROM mask_px WHERE label > 0")
+def read_masks(px):
+    return R.read_masks(px)
+
+
+METRIC_SCHEMA = T.StructType([T.StructField("recording_id", T.LongType()), T.StructField("motion", T.StructType([T.StructField("mean_speed", T.DoubleType())])), T.StructField("shape", T.StructType([T.StructField("mean_area", T.DoubleType()), T.StructField("n_cells", T.DoubleType())]))])
+NESTED = {"motion": ["mean_speed"], "shape": ["mean_area", "n_cells"]}
+
+
+@query("metrics_json", RM)
+def metrics_json(rm):
+    return K.metrics_documents(rm, ["recording_id"], NESTED)
+
+
+@query("read_metrics", RM, sql="""SELECT recording_id, label, value FROM (SELECT recording_id, 'recording_id' AS label, recording_id::DOUBLE AS value FROM recording_metrics UNION ALL
+SELECT recording_id, 'motion.mean_speed', mean_speed::DOUBLE FROM recording_metrics UNION ALL SELECT recording_id, 'shape.mean_area', mean_area FROM recording_metrics UNION ALL SELECT recording_id, 'shape.n_cells', n_cells FROM recording_metrics) x WHERE value IS NOT NULL""")
+def read_metrics(rm):
+    docs = K.metrics_documents(rm, ["recording_id"], NESTED)
+    return R.read_metrics(docs, METRIC_SCHEMA).select("recording_id", "label", "value")
+
+
+@query("export_metrics_subset", RM)
+def export_metrics_subset(rm):
+    return K.export_metrics_subset(rm, ["mean_speed", "n_cells", "absent"], ["recording_id"])
+
+
+@query("batch_summary_csv", RM, sql="SELECT grp AS \"group\", recording_id::VARCHAR AS name, mean_speed::DOUBLE AS mean_speed_um_min, '?' AS refinement_chosen FROM recording_metrics")
+def batch_summary_csv(rm):
+    rows = rm.select(F.col("grp").alias("group"), F.col("recording_id").cast("string").alias("name"), F.col("mean_speed").cast("double").alias("mean_speed_um_min"))
+    return K.recording_metrics(rows).select("group", "name", "mean_speed_um_min", "refinement_chosen")
+
+
+@query("project_record", RM)
+def project_record(rm):
+    return K.project_records(rm, "/masks")
+
+
+@query("params_record", RM, sql="""SELECT recording_id, 100 + recording_id % 7 AS min_area_px, 150.0::DOUBLE AS max_hop_px, 72 AS n_sectors, TRUE AS refine FROM recording_metrics""")
+def params_record(rm):
+    rows = rm.select("recording_id", F.to_json(F.struct((100 + F.col("recording_id") % 7).alias("min_area_px"))).alias("params"))
+    out = R.params_record(rows)
+    return out.select("recording_id", F.col("record.min_area_px").cast("long").alias("min_area_px"), "record.max_hop_px", "record.n_sectors", "record.refine")
+
+
+@query("run_log_sink", LOG, sql="SELECT kind, ts, concat('- **', strftime(ts, '%Y-%m-%d %H:%M:%S'), '** ', message) AS line FROM run_log")
+def run_log_sink(log):
+    return K.log_markdown(log)
+
+
+@query("latest_log", LOG, sql="SELECT ts, kind, message, details FROM run_log QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ts DESC, message) = 1")
+def latest_log(log):
+    return R.latest_log(log)
+
+
+@query("convex_solidity", PX)
+def convex_solidity(px):
+    return O.solidity(px)
+
+
+@query("per_object_apply", PX, sql="SELECT recording_id, frame, label, min(row_) - 2 AS r0, min(col_) - 2 AS c0, count(*) AS kept FROM mask_px GROUP BY ALL")
+def per_object_apply(px):
+    same = O.per_object_apply(px, lambda crop: crop, pad=2)
+    return same.groupBy(*M.OBJECT).agg((F.min("row_") - 2).alias("r0"), (F.min("col_") - 2).alias("c0"), F.count("*").alias("kept"))
+
+
+def stream_tracker(spark, sf_dir):
+    return S.replay_tracker(view(spark, sf_dir, "detections"))
+
+
+def stream_gap_sessions(spark, sf_dir):
+    return S.replay_gap_sessions(view(spark, sf_dir, "detections"))
+
+
+QUERIES["stream_tracker"] = stream_tracker
+QUERIES["stream_gap_sessions"] = stream_gap_sessions
