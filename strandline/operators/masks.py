@@ -91,24 +91,29 @@ def boundary_pixels(px: DataFrame) -> DataFrame:
 def shape_descriptors(px: DataFrame, um: float = UM_PER_PX) -> DataFrame:
     """area_um2, perimeter_um, circularity, aspect_ratio (bbox width / height) and eccentricity of every object.
 
-    The perimeter is pi/4 times the number of pixel sides on the boundary, the Cauchy-Crofton estimate from two
-    directions. Eccentricity comes from the eigenvalues of the pixel covariance (each pixel a unit square).
+    The perimeter is the length of the chain of boundary pixels: 1 for neighbours in a row or column, the root of 2 for
+    diagonal ones. Eccentricity comes from the eigenvalues of the pixel covariance (each pixel a unit square). The
+    circularity of an object without length is null.
     """
     sides = px.groupBy(*OBJECT).agg(
         F.count("*").alias("n"), (F.max("col_") - F.min("col_") + 1).alias("w"), (F.max("row_") - F.min("row_") + 1).alias("h"),
         (F.var_pop("row_") + F.lit(1 / 12)).alias("vr"), (F.var_pop("col_") + F.lit(1 / 12)).alias("vc"), F.covar_pop("row_", "col_").alias("cov"))
-    s = sides.join(_open_sides(px), OBJECT)
+    s = sides.join(chain_length(px), OBJECT)
     half, spread = (F.col("vr") + F.col("vc")) / 2, F.sqrt(((F.col("vr") - F.col("vc")) / 2) ** 2 + F.col("cov") ** 2)
-    area, perimeter = F.col("n") * um * um, F.col("open") * (math.pi / 4) * um
-    return s.select(*OBJECT, area.alias("area_um2"), perimeter.alias("perimeter_um"), (4 * math.pi * area / (perimeter * perimeter)).alias("circularity"),
+    area, perimeter = F.col("n") * um * um, F.col("length") * um
+    return s.select(*OBJECT, area.alias("area_um2"), perimeter.alias("perimeter_um"), F.when(perimeter > 0, 4 * math.pi * area / (perimeter * perimeter)).alias("circularity"),
                     (F.col("w") / F.col("h")).alias("aspect_ratio"), F.sqrt(1 - (half - spread) / (half + spread)).alias("eccentricity"))
 
 
-def _open_sides(px: DataFrame) -> DataFrame:
-    """Number of pixel sides that face outside the object: four per pixel less two per pair of neighbours."""
-    rows, cols = W.partitionBy(*OBJECT, "row_").orderBy("col_"), W.partitionBy(*OBJECT, "col_").orderBy("row_")
-    p = px.withColumn("_h", (F.lead("col_").over(rows) == F.col("col_") + 1).cast("int")).withColumn("_v", (F.lead("row_").over(cols) == F.col("row_") + 1).cast("int"))
-    return p.groupBy(*OBJECT).agg((4 * F.count("*") - 2 * (F.coalesce(F.sum("_h"), F.lit(0)) + F.coalesce(F.sum("_v"), F.lit(0)))).alias("open"))
+def chain_length(px: DataFrame) -> DataFrame:
+    """Length of every object's boundary chain. Each boundary pixel marks its corner of the four 2 x 2 cells around it;
+    a straight pair is seen by two cells, a lone diagonal pair by one."""
+    corners = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(b).alias("b")) for r, c, b in ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8))]))
+    cells = boundary_pixels(px).withColumn("_k", corners)
+    cells = cells.groupBy(*OBJECT, (F.col("row_") + F.col("_k.r")).alias("r"), (F.col("col_") + F.col("_k.c")).alias("c")).agg(F.sum("_k.b").alias("m"))
+    straight = [F.when(F.col("m").bitwiseAND(F.lit(pair).cast("long")) == pair, 0.5).otherwise(0.0) for pair in (3, 12, 5, 10)]
+    weight = straight[0] + straight[1] + straight[2] + straight[3] + F.when(F.col("m").isin(6, 9), math.sqrt(2)).otherwise(0.0)
+    return cells.groupBy(*OBJECT).agg(F.sum(weight).alias("length"))
 
 
 def shape_timeseries(px: DataFrame, um: float = UM_PER_PX) -> DataFrame:

@@ -31,16 +31,18 @@ reach AS MATERIALIZED (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM both_ways UNI
 named AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id, frame ORDER BY root)::INT AS label FROM runs JOIN reach ON id = a)
 """
 SHAPES = """
+bnd AS (SELECT DISTINCT p.recording_id, p.frame, p.label, p.row_, p.col_ FROM (SELECT p.*, a, b FROM {src} p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)) p
+  LEFT JOIN {src} q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.label = p.label AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b WHERE q.label IS NULL),
+cells AS (SELECT recording_id, frame, label, row_ + a AS r, col_ + b AS c, sum(k)::INT AS m FROM bnd CROSS JOIN (VALUES (0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8)) t(a, b, k) GROUP BY ALL),
+chain AS (SELECT recording_id, frame, label, sum((CASE WHEN m & 3 = 3 THEN 0.5 ELSE 0 END + CASE WHEN m & 12 = 12 THEN 0.5 ELSE 0 END + CASE WHEN m & 5 = 5 THEN 0.5 ELSE 0 END
+  + CASE WHEN m & 10 = 10 THEN 0.5 ELSE 0 END)::DOUBLE + CASE WHEN m IN (6, 9) THEN sqrt(2.0::DOUBLE) ELSE 0 END) AS len FROM cells GROUP BY ALL),
 sides AS (
-  SELECT recording_id, frame, label, count(*) AS n, 4 * count(*) - 2 * (sum(CASE WHEN h THEN 1 ELSE 0 END) + sum(CASE WHEN v THEN 1 ELSE 0 END)) AS open,
-         max(col_) - min(col_) + 1 AS w, max(row_) - min(row_) + 1 AS ht, var_pop(row_) + 1.0::DOUBLE / 12 AS vr, var_pop(col_) + 1.0::DOUBLE / 12 AS vc, covar_pop(row_, col_) AS cov
-  FROM (SELECT *, lead(col_) OVER (PARTITION BY recording_id, frame, label, row_ ORDER BY col_) = col_ + 1 AS h,
-               lead(row_) OVER (PARTITION BY recording_id, frame, label, col_ ORDER BY row_) = row_ + 1 AS v FROM {src}) x GROUP BY ALL),
+  SELECT recording_id, frame, label, count(*) AS n, max(col_) - min(col_) + 1 AS w, max(row_) - min(row_) + 1 AS ht,
+         var_pop(row_) + 1.0::DOUBLE / 12 AS vr, var_pop(col_) + 1.0::DOUBLE / 12 AS vc, covar_pop(row_, col_) AS cov FROM {src} GROUP BY ALL),
 shapes AS (
-  SELECT recording_id, frame, label, n * 0.4225::DOUBLE AS area_um2, open * pi() / 4 * 0.65::DOUBLE AS perimeter_um,
-         4 * pi() * n / (open * pi() / 4 * open * pi() / 4) AS circularity, w::DOUBLE / ht AS aspect_ratio,
+  SELECT recording_id, frame, label, n * 0.4225::DOUBLE AS area_um2, len * 0.65::DOUBLE AS perimeter_um, CASE WHEN len > 0 THEN 4 * pi() * n / (len * len) END AS circularity, w::DOUBLE / ht AS aspect_ratio,
          sqrt(1 - ((vr + vc) / 2 - sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + cov * cov)) / ((vr + vc) / 2 + sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + cov * cov))) AS eccentricity
-  FROM sides)
+  FROM sides JOIN chain USING (recording_id, frame, label))
 """
 DESCR = ["area_um2", "perimeter_um", "circularity", "aspect_ratio", "eccentricity"]
 DESCR_SQL = ", ".join(f"round({c}, 5) AS {c}" for c in DESCR)
