@@ -127,8 +127,10 @@ class PieceCoder:
                 if first and self.spec.add_dummy_prefix:
                     put(space, at, at)
                 first = False
-                for c in (piece[i:i + 1] for i in range(len(piece))):
-                    put(space if c == b" " else c, at, at + n)
+                for i in range(len(piece)):
+                    c = piece[i:i + 1]
+                    a, b = (at, at + n) if found else (at + i, at + i + 1)
+                    put(space if c == b" " else c, a, b)
                 gap = trim and piece.endswith(b" ")
             at += n
         if trim:
