@@ -15,8 +15,9 @@ from strandline.llm import langid, mixing, pieces, queries, simhash, toxicity
 
 #: A document is no text in a learned language when its cosine with every prototype is below this.
 LEAST_LANGUAGE = 0.05
-#: Near-duplicates: shingles of five words, fingerprints that differ in at most four bits.
-SHINGLE, BITS = 5, 4
+#: Near-duplicates: shingles of five words, fingerprints that differ in at most seven bits. A Jaccard likeness of 0.8 differs in
+#: about ten bits, 0.95 in about five; beyond seven bits unrelated documents begin to meet by chance (README).
+SHINGLE, BITS = 5, 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

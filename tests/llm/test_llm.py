@@ -262,7 +262,7 @@ def test_hot_keys_lose_no_link(spark):
     a, b = np.nonzero(np.triu(np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= 4, 1))
     want = components(len(fps), zip(a.tolist(), b.tolist()))
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for hot, chunk in ((512, 2048), (3, 20)):
+    for hot, chunk in ((512, 2048), (3, 20), (40, 300)):
         edges = simhash.link_fingerprints(df, 4, hot, chunk).collect()
         at = {f: k for k, f in enumerate(fps)}
         assert components(len(fps), [(at[r["a"]], at[r["b"]]) for r in edges]) == want
@@ -354,7 +354,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
             fp = np.array([brute_simhash(r["text"], 5) for r in before], np.uint64)
             order = sorted(range(len(before)), key=lambda k: before[k]["doc_id"])
             fp = fp[order]
-            a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1))
+            a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= corpus_pipeline.BITS, 1))
             root = components(len(order), zip(a.tolist(), b.tolist()))
             assert set(after) == {before[order[r]]["doc_id"] for r in root} and set(after.values()) == {1}
         if name == "mix":
