@@ -63,12 +63,32 @@ def fill_linear(df: DataFrame, keys: list[str], order: str, value: str, out: str
     return df.withColumn(out, F.coalesce(F.col(value), F.when(F.col("_b.t").isNotNull() & F.col("_a.t").isNotNull(), line), F.col("_b.v"), F.col("_a.v"))).drop("_b", "_a")
 
 
+def value_bucket(value: Column, bounds: Column, most: int) -> Column:
+    """Number of sorted bounds not above value, by binary search; most is the largest length of bounds."""
+    steps = [1 << j for j in range(max(1, most).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= F.size(bounds)) & (F.get(bounds, at + s - 1) <= value), at + s).otherwise(at))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: str, buckets: int = 64) -> DataFrame:
+    """df with out, the sum of amount over the rows of the key before this one in the order of a numeric column.
+
+    Orders are unique within a key. Each key's values are cut at quantiles into buckets, bucket totals (buckets rows a
+    key) get prefix sums, and windows run inside (key, bucket): no task orders a whole key.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 20 * buckets).alias("_cuts"))
+    b = df.join(cuts, keys).withColumn("_bucket", value_bucket(F.col(order), F.array_distinct("_cuts"), buckets)).drop("_cuts")
+    totals = b.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_t"))
+    start = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(amount).over(W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    b = b.withColumn("_in", inside).join(totals.select(*keys, "_bucket", start.alias("_start")), [*keys, "_bucket"])
+    return b.withColumn(out, F.col("_in") + F.col("_start")).drop("_bucket", "_in", "_start")
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with rank (ties share their mean rank) and ties (rows of equal value), by running counts over distinct values.
+    """df with rank (ties share their mean rank) and ties (rows of equal value), from running counts over distinct values.
 
-    Only one row per (key, value) is ordered, so ties are counted before the shuffle.
+    Ties are counted before the shuffle, and the running counts are distributed (running_sum).
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    below = F.coalesce(F.sum("ties").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("ties") + 1) / 2)
+    ranked = running_sum(counts, keys, value, "ties", "_below").select(*keys, value, "ties", (F.col("_below") + (F.col("ties") + 1) / 2).alias("rank"))
     return df.join(ranked, [*keys, value])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.primitives import average_rank
+from strandline.functions.primitives import average_rank, running_sum
 
 BY = ["metric", "grp"]
 
@@ -192,12 +192,13 @@ def bootstrap_ci(values: DataFrame, n_boot: int = 100, ci: float = 0.95, seed: s
     Draw i of resample b is row md5(seed-b-i) mod n of the group in the order of its values, so results are the same
     everywhere. Rows are numbered once; every number of a draw meets its row in an equi-join, and only sums are kept.
     """
-    numbered = values.withColumn("i", F.row_number().over(W.partitionBy(*BY).orderBy("value")) - 1)
+    counted = running_sum(values.groupBy(*BY, "value").agg(F.count("*").alias("t")), BY, "value", "t", "_before")
+    numbered = counted.select(*BY, "value", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("t") - 1)).alias("i"))
     sizes = values.groupBy(*BY).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     draws = numbered.join(sizes.select(*BY, "n"), BY).where("n >= 2").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
     counts = draws.select(*BY, "b", pick.alias("i")).groupBy(*BY, "b", "i").count()
-    means = counts.join(numbered.select(*BY, F.col("i").cast("long").alias("i"), "value"), [*BY, "i"]).groupBy(*BY, "b").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("m"))
+    means = counts.join(numbered.select(*BY, "i", "value"), [*BY, "i"]).groupBy(*BY, "b").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("m"))
     a = (1 - ci) / 2
     found = means.groupBy(*BY).agg(F.percentile("m", F.lit(a)).alias("ci_low"), F.percentile("m", F.lit(1 - a)).alias("ci_high"), F.stddev_pop("m").alias("se"))
     out = sizes.join(found, BY, "left")
