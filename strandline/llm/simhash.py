@@ -21,8 +21,8 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """64-bit SimHash of the shingles of `size` words, repeats counted: a bit is set when over half the hashes set it.
+def fingerprint(text: str | None, size: int = 4, distinct: bool = False) -> int:
+    """64-bit SimHash of the shingles of `size` words, repeats counted unless distinct: a bit is set when over half the hashes set it.
 
     Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Fewer words make one shingle; none gives 0.
     """
@@ -37,23 +37,24 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     stop = (start + length)[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)), np.uint64, len(stop))
+    hashes = np.unique(hashes) if distinct else hashes
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[lo:lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_simhash(docs: DataFrame, text_col: str = "text", size: int = 4) -> DataFrame:
-    """docs without text_col plus fp, the fingerprint as a signed long. No shuffle."""
-    rows = docs.drop("fp")
+def with_simhash(docs: DataFrame, text_col: str = "text", kinds: tuple[tuple[str, int, bool], ...] = (("fp", 4, False),)) -> DataFrame:
+    """docs without text_col plus one signed long per kind (column, shingle size, distinct). No shuffle."""
+    rows = docs.drop(*[k for k, _, _ in kinds])
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
-    out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + ["fp long"])
+    out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{k} long" for k, _, _ in kinds])
     schema = to_arrow_schema(_parse_datatype_string(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), size) for t in batch.column(batch.num_columns - 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], schema=schema)
+            prints = np.array([[fingerprint(t.as_py(), size, distinct) for _, size, distinct in kinds] for t in batch.column(batch.num_columns - 1)], np.uint64).reshape(-1, len(kinds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(prints[:, k]) for k in range(len(kinds)))], schema=schema)
 
     return rows.mapInArrow(run, out)
 
@@ -70,66 +71,69 @@ def variants(fp: Column, bits: int) -> Column:
     return F.array(*keys)
 
 
-def _link_runs(bits: int, hot: int):
-    """Over rows sorted by key: star edges of the links among equal keys; a run longer than hot only leaves its key."""
+def _near(a: np.ndarray, b: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
+    """Whether every column of two (..., columns) arrays of fingerprints differs in at most its limit of bits."""
+    return np.logical_and.reduce([np.bitwise_count((a[..., k] ^ b[..., k]).view(np.uint64)) <= limit for k, limit in enumerate(limits)])
+
+
+def _link_runs(limits: tuple[int, ...], hot: int):
+    """Over rows (key, node, fingerprints) sorted by key: star edges of the links among equal keys; a run longer than hot only leaves its key."""
+
+    def out(nodes: np.ndarray, roots: np.ndarray, hot_keys: np.ndarray) -> pa.RecordBatch:
+        n = len(nodes)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, hot_keys])), pa.array(np.concatenate([roots, hot_keys])), pa.array(np.arange(n + len(hot_keys)) >= n)], ["a", "b", "hot"])
+
+    def settle(rows: np.ndarray) -> pa.RecordBatch:
+        key = rows[:, 0]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        hot_keys = key[first[size > hot]]
+        rows = rows[~np.repeat(size > hot, size)]
+        key, node, prints = rows[:, 0], rows[:, 1], rows[:, 2:]
+        at, u, v = np.arange(len(key)), [node[:0]], [node[:0]]
+        for d in range(1, hot + 1):
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            near = at[_near(prints[at], prints[at + d], limits)]
+            u.append(node[near])
+            v.append(node[near + d])
+        return out(*spanning_edges(np.concatenate(u), np.concatenate(v)), hot_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: np.ndarray | None = None
         skipped: int | None = None
-
-        def out(nodes, roots, hot_keys):
-            n = len(nodes)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, hot_keys])), pa.array(np.concatenate([roots, hot_keys])), pa.array(np.arange(n + len(hot_keys)) >= n)], ["a", "b", "hot"])
-
-        def settle(key: np.ndarray, fp: np.ndarray):
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(first, len(key)))
-            big = np.repeat(size > hot, size)
-            hot_keys = key[first[size > hot]]
-            key, fp = key[~big], fp[~big]
-            at, u, v = np.arange(len(key)), [], []
-            for d in range(1, hot + 1):
-                at = at[at + d < len(key)]
-                at = at[key[at] == key[at + d]]
-                if not len(at):
-                    break
-                near = at[np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= bits]
-                u.append(fp[near])
-                v.append(fp[near + d])
-            none = fp[:0]
-            return out(*spanning_edges(np.concatenate([none, *u]), np.concatenate([none, *v])), hot_keys)
-
         for batch in batches:
-            key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
             if skipped is not None:
-                rest = key != skipped
-                key, fp = key[rest], fp[rest]
-            if not len(key):
+                rows = rows[rows[:, 0] != skipped]
+            if not len(rows):
                 continue
             skipped = None
-            key, fp = np.concatenate([held_k, key]), np.concatenate([held_f, fp])
-            last = int(np.searchsorted(key, key[-1]))
+            rows = rows if held is None else np.concatenate([held, rows])
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if last:
-                yield settle(key[:last], fp[:last])
-            held_k, held_f = key[last:], fp[last:]
-            if len(held_k) > hot:
-                skipped = int(held_k[0])
-                yield out(held_f[:0], held_f[:0], held_k[:1])
-                held_k, held_f = held_k[:0], held_f[:0]
-        if len(held_k):
-            yield settle(held_k, held_f)
+                yield settle(rows[:last])
+            held = rows[last:]
+            if len(held) > hot:
+                skipped = int(held[0, 0])
+                yield out(held[:0, 1], held[:0, 1], held[:1, 0])
+                held = None
+        if held is not None:
+            yield settle(held)
 
     return run
 
 
-def _block_links(bits: int):
+def _block_links(limits: tuple[int, ...], names: list[str]):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["i"].iat[0], group["j"].iat[0]
-        x, y = (np.unique(group.loc[group["chunk"] == c, "fp"].to_numpy(np.int64)) for c in (low, high))
-        u, v = [x[:0]], [x[:0]]
+        group = group.drop_duplicates(["chunk", "node"])
+        x, y = (group.loc[group["chunk"] == c, ["node", *names]].to_numpy(np.int64) for c in (group["i"].iat[0], group["j"].iat[0]))
+        u, v = [x[:0, 0]], [x[:0, 0]]
         for lo in range(0, len(x), 512):
-            a, b = np.nonzero(np.bitwise_count((x[lo:lo + 512, None] ^ y[None, :]).view(np.uint64)) <= bits)
-            n, r = spanning_edges(x[lo + a], y[b])
+            a, b = np.nonzero(_near(x[lo:lo + 512, None, 1:], y[None, :, 1:], limits))
+            n, r = spanning_edges(x[lo + a, 0], y[b, 0])
             u.append(n)
             v.append(r)
         nodes, roots = spanning_edges(np.concatenate(u), np.concatenate(v))
@@ -137,44 +141,54 @@ def _block_links(bits: int):
     return run
 
 
-def link_fingerprints(prints: DataFrame, bits: int = 4, hot: int = 512, chunk: int = 2048) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly those reachable by links of at most `bits` bits.
+def link_fingerprints(prints: DataFrame, limits: dict[str, int], hot: int = 512, chunk: int = 2048) -> DataFrame:
+    """Edges (a, b) between nodes that connect exactly those reachable by links.
 
-    Every distinct fingerprint (column fp) is indexed under its one-wildcard variants; rows are dealt and sorted by
-    key, and rows of equal keys are compared. A linked set leaves one edge per fingerprint, not its pairs. A key with
-    more than `hot` fingerprints is only named there; its rows are then cut by hash into chunks, every pair of chunks
+    prints(node, fingerprints): limits gives each fingerprint column the bits two linked nodes may differ in; the first
+    column is the indexed one, others verify. Every distinct node is indexed under its one-wildcard variants; rows are
+    dealt and sorted by key, and rows of equal keys are compared. A linked set leaves one edge per node, not its pairs.
+    A key with more than `hot` nodes is only named there; its rows are then cut by hash into chunks, every pair of chunks
     is a task of its own, and again each leaves only spanning edges: no link is lost and no task holds more than two chunks.
     """
-    keyed = prints.select("fp").distinct().withColumn("key", F.explode(variants(F.col("fp"), bits))).select("key", "fp")
+    names, most = list(limits), tuple(limits.values())
+    keyed = prints.select("node", *names).distinct().withColumn("key", F.explode(variants(F.col(names[0]), most[0]))).select("key", "node", *names)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_runs(bits, hot), "a long, b long, hot boolean"), "links")
+    found = staged(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_runs(most, hot), "a long, b long, hot boolean"), "links")
     edges = found.where("not hot and a <> b").select("a", "b")
     hot_keys = found.where("hot").select(F.col("a").alias("key")).distinct()
     if hot_keys.isEmpty():
         return edges
     rows = keyed.join(hot_keys, "key")
     sizes = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", "fp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return edges.unionByName(rows.groupBy("key", "i", "j").applyInPandas(_block_links(bits), "a long, b long").where("a <> b"))
+    rows = rows.select("key", "node", *names, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return edges.unionByName(rows.groupBy("key", "i", "j").applyInPandas(_block_links(most, names), "a long, b long").where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the smallest id reachable over links.
 
+    Without confirm, fingerprints of shingles of `size` words, repeats counted, link at `bits` or fewer differing bits. With
+    confirm = (shingle, limit), the indexed fingerprint is of the distinct shingles of `size` words, and a link must also
+    differ in at most `limit` bits of a second fingerprint, of shingles of `shingle` words: near copies with scattered
+    edits stay close in their words but not in long shingles, so one fingerprint finds them and the other verifies.
+
     Equal fingerprints are one node of the link graph, so copies cost nothing. Null and wordless texts have
     fingerprint 0 and link like any other; rows with equal ids keep their own rows; null ids are never the smallest id
     unless all of a component are null; empty tables give no rows; other columns are ignored.
     """
-    prints = staged(with_simhash(docs.select(id_col, text_col), text_col, size), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    parts = connected_components(link_fingerprints(prints, bits))
-    nodes = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    nodes = staged(nodes.select("fp", "root", "rep"), "nodes")
+    kinds = [("fp", size, confirm is not None)] + ([("fp2", confirm[0], False)] if confirm else [])
+    limits = {"fp": bits} | ({"fp2": confirm[1]} if confirm else {})
+    node = F.xxhash64("fp", "fp2") if confirm else F.col("fp")
+    prints = staged(with_simhash(docs.select(id_col, text_col), text_col, tuple(kinds)).withColumn("node", node), "simhash")
+    nodes = prints.groupBy("node").agg(F.min(id_col).alias("rep"))
+    parts = connected_components(link_fingerprints(prints, limits))
+    nodes = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    nodes = staged(nodes.select("node", "root", "rep"), "nodes")
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = staged(nodes.join(least, "root").select("fp", "component_id"), "groups")
-    return prints.join(groups, "fp").select(id_col, "fp", "component_id")
+    groups = staged(nodes.join(least, "root").select("node", "component_id"), "groups")
+    return prints.join(groups, "node").select(id_col, "fp", "component_id")
 
 
 def hex_print(fp: Column) -> Column:

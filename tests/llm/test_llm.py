@@ -235,10 +235,10 @@ def components(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def brute_simhash(t, size=4):
+def brute_simhash(t, size=4, distinct=False):
     ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     sh = [" ".join(ws[i:i + size]) for i in range(max(1, len(ws) - size + 1))] if ws else []
-    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in (set(sh) if distinct else sh)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
@@ -261,9 +261,9 @@ def test_hot_keys_lose_no_link(spark):
     x = np.array(fps, np.int64)
     a, b = np.nonzero(np.triu(np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= 4, 1))
     want = components(len(fps), zip(a.tolist(), b.tolist()))
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
     for hot, chunk in ((512, 2048), (3, 20), (40, 300)):
-        edges = simhash.link_fingerprints(df, 4, hot, chunk).collect()
+        edges = simhash.link_fingerprints(df, {"fp": 4}, hot, chunk).collect()
         at = {f: k for k, f in enumerate(fps)}
         assert components(len(fps), [(at[r["a"]], at[r["b"]]) for r in edges]) == want
 
@@ -351,10 +351,12 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         after = Counter(r["doc_id"] for r in now.collect())
         assert set(after) <= {r["doc_id"] for r in before}
         if name == "near_dedup":
-            fp = np.array([brute_simhash(r["text"], 5) for r in before], np.uint64)
             order = sorted(range(len(before)), key=lambda k: before[k]["doc_id"])
-            fp = fp[order]
-            a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= corpus_pipeline.BITS, 1))
+            near = True
+            for size, distinct, bits in ((1, True, corpus_pipeline.WORD_BITS), (corpus_pipeline.SHINGLE, False, corpus_pipeline.SHINGLE_BITS)):
+                fp = np.array([brute_simhash(before[k]["text"], size, distinct) for k in order], np.uint64)
+                near = near & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits)
+            a, b = np.nonzero(np.triu(near, 1))
             root = components(len(order), zip(a.tolist(), b.tolist()))
             assert set(after) == {before[order[r]]["doc_id"] for r in root} and set(after.values()) == {1}
         if name == "mix":
