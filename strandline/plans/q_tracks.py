@@ -61,7 +61,7 @@ def polar_coords(p):
     return rounded(T.polar_coords(p, 50.0, 50.0), "angle", "radius").select("recording_id", "track_id", "frame", "angle", "radius")
 
 
-@query("trajectory_origin", TP, ctes=STEPS, sql="SELECT p.recording_id, p.track_id, frame, round(cy - y0, 6) AS cy, round(cx - x0, 6) AS cx FROM track_points p JOIN ends USING (recording_id, track_id)")
+@query("trajectory_origin", TP, ctes=STEPS, sql="SELECT p.recording_id, p.track_id, frame, round(cy - y0, 6) + 0.0::DOUBLE AS cy, round(cx - x0, 6) + 0.0::DOUBLE AS cx FROM track_points p JOIN ends USING (recording_id, track_id)")
 def trajectory_origin(p):
     return rounded(T.trajectory_origin(p), "cy", "cx")
 
