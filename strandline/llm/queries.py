@@ -70,6 +70,31 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def _license_sql() -> str:
+    """The license query in SQL: every window against every template, without an index."""
+    step = max(len(t.split()) for t, _ in licenses.TEMPLATES)
+    words = ", ".join(f"({k}, '{label}', {len(set(t.split()))}, '{w}')" for k, (t, label) in enumerate(licenses.TEMPLATES) for w in sorted(set(t.split())))
+    places = " UNION ALL ".join(
+        f"SELECT rid, i, '{label}' AS label FROM seq WHERE " + " AND ".join(f"w{j} = '{w}'" for j, w in enumerate(p.split())) for p, label in licenses.PHRASES)
+    longest = max(len(p.split()) for p, _ in licenses.PHRASES)
+    leads = ", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(longest))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS w FROM documents),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+seq AS (SELECT rid, i, {leads} FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
+places AS ({places}),
+base AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS ls FROM places GROUP BY rid),
+t(id, label, size, word) AS (VALUES {words}),
+blk AS (SELECT DISTINCT rid, i // {step} - k AS b, word FROM x, (VALUES (0), (1)) v(k) WHERE i // {step} - k >= 0 AND word IN (SELECT word FROM t)),
+share AS (SELECT rid, label, count(*)::DOUBLE / size AS s FROM blk JOIN t USING (word) GROUP BY rid, b, id, label, size HAVING count(*)::DOUBLE / size >= 0.8 - 1e-9),
+hit AS (SELECT rid, list(DISTINCT label) AS ls, max(s) AS s FROM share GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
+       coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(hit.ls, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(s, 0) END AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN hit USING (rid)"""
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_winnow": op2_winnow,
@@ -84,6 +109,15 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_licenses": _license_sql(),
+    "op7_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b, b.vec_id AS other FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(rid, node, least) AS (SELECT rid, rid, vec_id FROM v UNION SELECT r.rid, l.b, l.other FROM reach r JOIN link l ON l.a = r.node)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE a = v.rid) AS n_links, min(least) AS component_id, v.vec_id = min(least) AS kept
+FROM v JOIN reach USING (rid) GROUP BY v.rid, v.vec_id""",
     "op5_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -382,7 +382,7 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     want = con.execute(queries.ORACLE_SQL[name])
