@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.staging import shared_dir
 from strandline.operators import masks as M
 from strandline.operators import objects as O
+from strandline.operators import tracks
 from strandline.plans.fixtures import view
+from strandline.plans.q_tracks import STEPS, rounded
 from strandline.plans.registry import QUERIES, query
 from strandline.sources import readers as R
 from strandline.sources import sinks as K
@@ -127,6 +132,34 @@ def per_object_apply(px):
     return same.groupBy(*M.OBJECT).agg((F.min("row_") - 2).alias("r0"), (F.min("col_") - 2).alias("c0"), F.count("*").alias("kept"))
 
 
+EMPTY = [c for c in K.SCALAR_COLUMNS if c not in ("group", "name", "n_frames", "mean_speed_um_min", "total_distance_um", "net_displacement_um", "persistence", "refinement_chosen")]
+
+
+@query("recording_metrics", "track_points", ctes=STEPS, sql="""SELECT recording_id AS "group", track_id::VARCHAR AS name, n_frames, round(mean_speed, 6) AS mean_speed_um_min, round(total, 6) AS total_distance_um,
+  round(net, 6) AS net_displacement_um, round(net / nullif(total, 0), 6) AS persistence, '?' AS refinement_chosen, """ + ", ".join(f"NULL::DOUBLE AS {c}" for c in EMPTY) + " FROM tracked")
+def recording_metrics(points):
+    t = tracks.analyze_recording(points)
+    rows = t.select(F.col("recording_id").alias("group"), F.col("track_id").cast("string").alias("name"), "n_frames", F.col("mean_speed").alias("mean_speed_um_min"),
+                    F.col("total_distance").alias("total_distance_um"), F.col("net_displacement").alias("net_displacement_um"), "persistence")
+    return rounded(K.recording_metrics(rows), "mean_speed_um_min", "total_distance_um", "net_displacement_um", "persistence")
+
+
+@query("group_summary_csv", RM, sql="""SELECT grp, count(*) AS n, round(avg(mean_area), 6) AS mean_area_mean, round(stddev_samp(mean_area), 6) AS mean_area_std, round(stddev_samp(mean_area) / sqrt(count(*)), 6) AS mean_area_sem
+FROM recording_metrics GROUP BY grp""")
+def group_summary_csv(rm):
+    path = f"{shared_dir(rm.sparkSession)}/csv-{uuid.uuid4().hex}"
+    K.group_summary_csv(rm.select("recording_id", "grp", "mean_area"), "grp", ["mean_area"], path)
+    back = rm.sparkSession.read.schema("grp string, n long, mean_area_mean double, mean_area_std double, mean_area_sem double").option("header", True).csv(f"{path}/groups")
+    return rounded(back, "mean_area_mean", "mean_area_std", "mean_area_sem")
+
+
+@query("detection_checkpoint", PX, sql="SELECT recording_id, frame, label, row_, col_, 'primary' AS provenance, 2 AS version, 'detection' AS kind FROM mask_px")
+def detection_checkpoint(px):
+    path = f"{shared_dir(px.sparkSession)}/detection-{uuid.uuid4().hex}"
+    K.save_detection(px, path)
+    return R.load_detection(px.sparkSession, path).select("recording_id", "frame", "label", "row_", "col_", "provenance", "version", "kind")
+
+
 def stream_tracker(spark, sf_dir):
     return S.replay_tracker(view(spark, sf_dir, "detections"))
 
