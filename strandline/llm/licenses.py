@@ -30,6 +30,10 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 
+#: Share of a template's distinct words that a block must hold. At 0.9 no template of ten words or fewer may lack one, so
+#: "released under the ... license" of another licence is no match.
+THRESHOLD = 0.9
+
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null counts as empty."""
@@ -53,7 +57,7 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = 0.8,
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score, best_window.
 

@@ -86,7 +86,7 @@ places AS ({places}),
 base AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS ls FROM places GROUP BY rid),
 t(id, label, size, word) AS (VALUES {words}),
 blk AS (SELECT DISTINCT rid, i // {step} - k AS b, word FROM x, (VALUES (0), (1)) v(k) WHERE i // {step} - k >= 0 AND word IN (SELECT word FROM t)),
-share AS (SELECT rid, label, count(*)::DOUBLE / size AS s FROM blk JOIN t USING (word) GROUP BY rid, b, id, label, size HAVING count(*)::DOUBLE / size >= 0.8 - 1e-9),
+share AS (SELECT rid, label, count(*)::DOUBLE / size AS s FROM blk JOIN t USING (word) GROUP BY rid, b, id, label, size HAVING count(*)::DOUBLE / size >= {licenses.THRESHOLD} - 1e-9),
 hit AS (SELECT rid, list(DISTINCT label) AS ls, max(s) AS s FROM share GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
        coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,

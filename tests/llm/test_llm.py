@@ -161,7 +161,7 @@ def test_character_map_against_the_library():
 
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
-def brute_licenses(t, threshold=0.8):
+def brute_licenses(t, threshold=licenses.THRESHOLD):
     lower = (t or "").translate({c: c + 32 for c in range(65, 91)})
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     places, labels = [], set()
@@ -184,7 +184,7 @@ def brute_licenses(t, threshold=0.8):
 
 def test_licenses_match_brute_force(spark, odd, none, docs):
     full = " ".join(t for t, _ in licenses.TEMPLATES)
-    made = [(100 + k, x, "en", "a", 1) for k, x in enumerate([full, full.upper(), "the mit license mit license", "x " * 500 + full, "free of charge and permission granted", "Licensed under CC BY-NC 4.0.", "general public\nlicense"])]
+    made = [(100 + k, x, "en", "a", 1) for k, x in enumerate([full, full.upper(), "the mit license mit license", "x " * 500 + full, "free of charge and permission granted", "Licensed under CC BY-NC 4.0.", "general public\nlicense", "released under the GNU license", "this work is licensed under the gnu general public license version"])]
     for table in (odd, spark.createDataFrame(made, SCHEMA), docs):
         rows = table.select("doc_id", "text").collect()
         got = Counter(tuple(r)[:8] for r in licenses.scan_licenses(table).collect())
