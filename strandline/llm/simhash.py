@@ -76,19 +76,22 @@ def _near(a: np.ndarray, b: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
     return np.logical_and.reduce([np.bitwise_count((a[..., k] ^ b[..., k]).view(np.uint64)) <= limit for k, limit in enumerate(limits)])
 
 
-def _link_runs(limits: tuple[int, ...], hot: int):
-    """Over rows (key, node, fingerprints) sorted by key: star edges of the links among equal keys; a run longer than hot only leaves its key."""
+def _link_runs(limits: tuple[int, ...], hot: int, names: list[str]):
+    """Over rows (key, node, fingerprints) sorted by key: star edges (node, root, false, zeros) of the links among equal keys; the
+    rows of a run longer than hot are passed on as (key, node, true, fingerprints)."""
 
-    def out(nodes: np.ndarray, roots: np.ndarray, hot_keys: np.ndarray) -> pa.RecordBatch:
-        n = len(nodes)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, hot_keys])), pa.array(np.concatenate([roots, hot_keys])), pa.array(np.arange(n + len(hot_keys)) >= n)], ["a", "b", "hot"])
+    def out(nodes: np.ndarray, roots: np.ndarray, passed: np.ndarray) -> pa.RecordBatch:
+        n, prints = len(nodes), passed[:, 2:]
+        columns = [np.concatenate([nodes, passed[:, 0]]), np.concatenate([roots, passed[:, 1]]), np.arange(n + len(passed)) >= n]
+        columns += [np.concatenate([np.zeros(n, np.int64), prints[:, k]]) for k in range(prints.shape[1])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "hot", *names])
 
     def settle(rows: np.ndarray) -> pa.RecordBatch:
         key = rows[:, 0]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        hot_keys = key[first[size > hot]]
-        rows = rows[~np.repeat(size > hot, size)]
+        big = np.repeat(size > hot, size)
+        passed, rows = rows[big], rows[~big]
         key, node, prints = rows[:, 0], rows[:, 1], rows[:, 2:]
         at, u, v = np.arange(len(key)), [node[:0]], [node[:0]]
         for d in range(1, hot + 1):
@@ -99,26 +102,29 @@ def _link_runs(limits: tuple[int, ...], hot: int):
             near = at[_near(prints[at], prints[at + d], limits)]
             u.append(node[near])
             v.append(node[near + d])
-        return out(*spanning_edges(np.concatenate(u), np.concatenate(v)), hot_keys)
+        return out(*spanning_edges(np.concatenate(u), np.concatenate(v)), passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
-        skipped: int | None = None
+        passing: int | None = None
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
-            if skipped is not None:
-                rows = rows[rows[:, 0] != skipped]
+            if passing is not None and len(rows):
+                more = rows[:, 0] == passing
+                if more.any():
+                    yield out(rows[:0, 0], rows[:0, 0], rows[more])
+                rows = rows[~more]
             if not len(rows):
                 continue
-            skipped = None
+            passing = None
             rows = rows if held is None else np.concatenate([held, rows])
             last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if last:
                 yield settle(rows[:last])
             held = rows[last:]
             if len(held) > hot:
-                skipped = int(held[0, 0])
-                yield out(held[:0, 1], held[:0, 1], held[:1, 0])
+                passing = int(held[0, 0])
+                yield out(held[:0, 0], held[:0, 0], held)
                 held = None
         if held is not None:
             yield settle(held)
@@ -141,24 +147,24 @@ def _block_links(limits: tuple[int, ...], names: list[str]):
     return run
 
 
-def link_fingerprints(prints: DataFrame, limits: dict[str, int], hot: int = 512, chunk: int = 2048) -> DataFrame:
+def link_fingerprints(prints: DataFrame, limits: dict[str, int], hot: int = 2048, chunk: int = 2048) -> DataFrame:
     """Edges (a, b) between nodes that connect exactly those reachable by links.
 
     prints(node, fingerprints): limits gives each fingerprint column the bits two linked nodes may differ in; the first
     column is the indexed one, others verify. Every distinct node is indexed under its one-wildcard variants; rows are
     dealt and sorted by key, and rows of equal keys are compared. A linked set leaves one edge per node, not its pairs.
-    A key with more than `hot` nodes is only named there; its rows are then cut by hash into chunks, every pair of chunks
-    is a task of its own, and again each leaves only spanning edges: no link is lost and no task holds more than two chunks.
+    The rows of a key with more than `hot` nodes are passed on; they are cut by hash into chunks, every pair of chunks is a
+    task of its own, and again each leaves only spanning edges: no link is lost and no task holds more than two chunks.
     """
     names, most = list(limits), tuple(limits.values())
     keyed = prints.select("node", *names).distinct().withColumn("key", F.explode(variants(F.col(names[0]), most[0]))).select("key", "node", *names)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_runs(most, hot), "a long, b long, hot boolean"), "links")
+    fields = "a long, b long, hot boolean, " + ", ".join(f"{c} long" for c in names)
+    found = staged(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_runs(most, hot, names), fields), "links")
     edges = found.where("not hot and a <> b").select("a", "b")
-    hot_keys = found.where("hot").select(F.col("a").alias("key")).distinct()
-    if hot_keys.isEmpty():
+    rows = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("node"), *names)
+    if rows.isEmpty():
         return edges
-    rows = keyed.join(hot_keys, "key")
     sizes = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     rows = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
