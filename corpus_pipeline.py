@@ -16,9 +16,10 @@ from strandline.llm import langid, mixing, pieces, queries, simhash, toxicity
 #: A document is no text in a learned language when its cosine with every prototype is below this.
 LEAST_LANGUAGE = 0.05
 #: Near-duplicates: fingerprints of the distinct words that differ in at most WORD_BITS bits find candidates, and fingerprints of
-#: five-word shingles that differ in at most SHINGLE_BITS verify them. At a Jaccard likeness of 0.8 of the shingles the
-#: latter differ in about ten bits, with a deviation of three; unrelated documents in about 32.
-WORD_BITS, SHINGLE, SHINGLE_BITS = 7, 5, 14
+#: five-word shingles that differ in at most SHINGLE_BITS narrow them down. At a Jaccard likeness of 0.8 of the shingles the
+#: latter differ in about ten bits, with a deviation of three; unrelated documents in about 32. Candidates are linked when
+#: the exact Jaccard likeness of their sets of shingles is LIKENESS or more.
+WORD_BITS, SHINGLE, SHINGLE_BITS, LIKENESS = 7, 5, 14, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +41,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that of the smallest id (null first, then text hash)."""
+    """One document of each group of near copies (linked fingerprints, verified likeness) stays: that of the smallest id (null first, then text hash)."""
     rows = _keyed(docs)
-    groups = simhash.near_duplicates(rows.select(F.struct("_id", "_hash").alias("key"), "text"), 1, WORD_BITS, (SHINGLE, SHINGLE_BITS), id_col="key")
+    groups = simhash.near_duplicates(rows.select(F.struct("_id", "_hash").alias("key"), "text"), 1, WORD_BITS, (SHINGLE, SHINGLE_BITS), id_col="key", likeness=LIKENESS)
     keep = groups.where("key = component_id").select(F.col("key._id").alias("k_id"), F.col("key._hash").alias("k_hash")).distinct()
     same = rows["_id"].eqNullSafe(keep["k_id"]) & (rows["_hash"] == keep["k_hash"])
     return rows.join(keep, same, "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)

@@ -21,22 +21,36 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 4, distinct: bool = False) -> int:
-    """64-bit SimHash of the shingles of `size` words, repeats counted unless distinct: a bit is set when over half the hashes set it.
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
 
-    Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Fewer words make one shingle; none gives 0.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+
+def words_digest(text: str | None) -> int:
+    """Digest of the words in their order: texts of equal words have equal shingles of every size."""
+    return xxhash.xxh64_intdigest(b" ".join(_words(text)), SEED)
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the shingles of `size` words in their order, with repeats; fewer words make one shingle, no words none."""
+    words = _words(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words))
     start = np.cumsum(length + 1) - length - 1
     stop = (start + length)[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)), np.uint64, len(stop))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)), np.uint64, len(stop))
+
+
+def fingerprint(text: str | None, size: int = 4, distinct: bool = False) -> int:
+    """64-bit SimHash of the shingles of `size` words, repeats counted unless distinct: a bit is set when over half the hashes set it.
+
+    Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Fewer words make one shingle; none gives 0.
+    """
+    hashes = shingle_hashes(text, size)
     hashes = np.unique(hashes) if distinct else hashes
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65536):
@@ -45,7 +59,7 @@ def fingerprint(text: str | None, size: int = 4, distinct: bool = False) -> int:
 
 
 def with_simhash(docs: DataFrame, text_col: str = "text", kinds: tuple[tuple[str, int, bool], ...] = (("fp", 4, False),)) -> DataFrame:
-    """docs without text_col plus one signed long per kind (column, shingle size, distinct). No shuffle."""
+    """docs without text_col plus one signed long per kind (column, shingle size, distinct); size 0 gives the digest of the words. No shuffle."""
     rows = docs.drop(*[k for k, _, _ in kinds])
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
     out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{k} long" for k, _, _ in kinds])
@@ -53,7 +67,7 @@ def with_simhash(docs: DataFrame, text_col: str = "text", kinds: tuple[tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([[fingerprint(t.as_py(), size, distinct) for _, size, distinct in kinds] for t in batch.column(batch.num_columns - 1)], np.uint64).reshape(-1, len(kinds)).view(np.int64)
+            prints = np.array([[fingerprint(t.as_py(), size, distinct) if size else words_digest(t.as_py()) for _, size, distinct in kinds] for t in batch.column(batch.num_columns - 1)], np.uint64).reshape(-1, len(kinds)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(prints[:, k]) for k in range(len(kinds)))], schema=schema)
 
     return rows.mapInArrow(run, out)
@@ -172,13 +186,88 @@ def link_fingerprints(prints: DataFrame, limits: dict[str, int], hot: int = 2048
     return edges.unionByName(rows.groupBy("key", "i", "j").applyInPandas(_block_links(most, names), "a long, b long").where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _like(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
+    """Whether two sets, as arrays without repeats, have a Jaccard likeness of at least likeness; empty ones are equal."""
+    low, high = sorted((len(x), len(y)))
+    if low < likeness * high - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= likeness * (low + high - both) - 1e-9
+
+
+def _like_links(limits: tuple[int, ...], names: list[str], likeness: float):
+    """Spanning edges of the pairs between two chunks that are near by fingerprints and alike by sets; pairs that others already connect are not compared."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["chunk", "node"])
+        i, j = group["i"].iat[0], group["j"].iat[0]
+        x, y = (np.flatnonzero(group["chunk"] == c) for c in (i, j))
+        node, prints, sets = group["node"].to_numpy(np.int64), group[names].to_numpy(np.int64), group["shingles"].tolist()
+        root = list(range(len(node)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for lo in range(0, len(x), 512):
+            a, b = np.nonzero(_near(prints[x[lo:lo + 512], None], prints[None, y], limits))
+            for p, q in zip(x[lo + a].tolist(), y[b].tolist()):
+                if (p < q or i != j) and (r := find(p)) != (s := find(q)) and _like(sets[p], sets[q], likeness):
+                    root[max(r, s)] = min(r, s)
+        return pd.DataFrame({"a": node, "b": node[[find(k) for k in range(len(node))]]})
+    return run
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, limits: dict[str, int], shingle: int, likeness: float, id_col: str, text_col: str, chunk: int = 1024, most: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) that connect exactly the nodes reachable by links whose sets of shingles have that exact Jaccard likeness.
+
+    nodes(node, words, fingerprints, root, rep) names the candidates (equal root), and for each node a row of docs by id
+    and digest of its words. Sets are made of nodes that have another candidate only. Candidates are cut by hash into chunks
+    of about `chunk` nodes and `most` hashes, and every pair of chunks is a task of its own, which leaves spanning edges.
+    """
+    names = list(limits)
+    crowds = nodes.groupBy("root").count().where("count > 1").select("root")
+    wanted = nodes.join(crowds, "root", "left_semi").select("node", F.col("words").alias("_said"), *names, "root", F.col("rep").alias("_rep"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_rep"))).select("node", "_said", *names, "root", "_text")
+    fields = "node long, " + ", ".join(f"{c} long" for c in names) + ", root long, shingles array<long>"
+    schema = to_arrow_schema(_parse_datatype_string(fields))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*held), schema)], schema=schema)
+
+        held, size = [], 0
+        for batch in batches:
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
+                row = [c[k].as_py() for c in batch.columns[:-1]]
+                if np.uint64(words_digest(text.as_py())).astype(np.int64) == row[1]:
+                    held.append((row[0], *row[2:], np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64)))
+                    size += len(held[-1][-1])
+                if size > most:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    sets = staged(rows.mapInArrow(made, fields), "shingles").dropDuplicates(["node"])
+    sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.size("shingles")) / most), F.lit(1)).cast("int").alias("chunks"))
+    rows = sets.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("root", "node", *names, "shingles", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return rows.groupBy("root", "i", "j").applyInPandas(_like_links(tuple(limits.values()), names, likeness), "a long, b long").where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", likeness: float | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the smallest id reachable over links.
 
     Without confirm, fingerprints of shingles of `size` words, repeats counted, link at `bits` or fewer differing bits. With
     confirm = (shingle, limit), the indexed fingerprint is of the distinct shingles of `size` words, and a link must also
     differ in at most `limit` bits of a second fingerprint, of shingles of `shingle` words: near copies with scattered
-    edits stay close in their words but not in long shingles, so one fingerprint finds them and the other verifies.
+    edits stay close in their words but not in long shingles, so one fingerprint finds them and the other verifies. With
+    likeness too, that only makes candidates: a link must also have that exact Jaccard likeness of the sets of shingles of
+    `shingle` words, and texts of equal words, not of equal fingerprints, are one node.
 
     Equal fingerprints are one node of the link graph, so copies cost nothing. Null and wordless texts have
     fingerprint 0 and link like any other; rows with equal ids keep their own rows; null ids are never the smallest id
@@ -186,12 +275,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tupl
     """
     kinds = [("fp", size, confirm is not None)] + ([("fp2", confirm[0], False)] if confirm else [])
     limits = {"fp": bits} | ({"fp2": confirm[1]} if confirm else {})
-    node = F.xxhash64("fp", "fp2") if confirm else F.col("fp")
+    if likeness is not None and not confirm:
+        raise ValueError("likeness needs confirm")
+    kinds += [("words", 0, False)] if likeness is not None else []
+    told = [k for k, _, _ in kinds]
+    node = F.xxhash64(*told) if confirm else F.col("fp")
     prints = staged(with_simhash(docs.select(id_col, text_col), text_col, tuple(kinds)).withColumn("node", node), "simhash")
-    nodes = prints.groupBy("node").agg(F.min(id_col).alias("rep"))
+    nodes = prints.groupBy("node", *(told if likeness is not None else [])).agg(F.min(id_col).alias("rep"))
     parts = connected_components(link_fingerprints(prints, limits))
     nodes = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    nodes = staged(nodes.select("node", "root", "rep"), "nodes")
+    nodes = staged(nodes.select("node", "root", "rep", *(told if likeness is not None else [])), "nodes")
+    if likeness is not None:
+        parts = connected_components(verified_links(docs, nodes, limits, confirm[0], likeness, id_col, text_col))
+        nodes = staged(nodes.select("node", "rep").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "rep"), "nodes")
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = staged(nodes.join(least, "root").select("node", "component_id"), "groups")
     return prints.join(groups, "node").select(id_col, "fp", "component_id")

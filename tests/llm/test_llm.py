@@ -254,6 +254,39 @@ def test_simhash_matches_brute_force(spark, odd, none, docs):
     assert simhash.near_duplicates(none).count() == 0 and simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def test_links_are_verified_by_exact_likeness(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, every = [], [f"w{k}" for k in range(400)]
+    for _ in range(12):
+        base = [every[i] for i in rng.integers(0, 400, 200)]
+        for share in (0, 0, 1, 2, 4, 6, 8, 10):
+            ws = list(base)
+            for at in rng.choice(200, share, replace=False):
+                ws[at] = f"{ws[at]}x"
+            rows.append((len(rows), " ".join(ws)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (5, "same id, another text")]
+    sets = [{tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if (ws := (t or "").split()) else set() for _, t in rows]
+    near = True
+    for size, distinct, bits in ((1, True, 7), (5, False, 14)):
+        fp = np.array([brute_simhash(t, size, distinct) for _, t in rows], np.uint64)
+        near = near & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits)
+    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    loose = list(zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1)))))
+    exact = [(a, b) for a, b in loose if like(sets[a], sets[b])]
+    assert len(exact) < len(loose) - 10
+    def least(root):
+        ids = defaultdict(set)
+        for k, r in enumerate(root):
+            ids[r].add(rows[k][0])
+        return Counter((rows[k][0], min(ids[r])) for k, r in enumerate(root))
+    want = least(components(len(rows), exact))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk in (1024, 3):
+        monkeypatch.setattr(simhash.verified_links, "__defaults__", (chunk, 1 << 20))
+        got = simhash.near_duplicates(df, 1, 7, (5, 14), likeness=0.8).collect()
+        assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
+
+
 def test_hot_keys_lose_no_link(spark):
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
