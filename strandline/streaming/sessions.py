@@ -15,6 +15,8 @@ from strandline.functions.staging import shared_dir, staged
 from strandline.operators.linking import MAX_GAP, step_tracks
 
 EPOCH = "2024-01-01 00:00:00"
+#: The label of the row that ends a replay.
+CLOSING = -1
 
 
 def event_time(det: DataFrame, minutes: float = 60.0) -> DataFrame:
@@ -63,20 +65,22 @@ def tracker(stream: DataFrame, hop: float = 20.0, max_gap: int = MAX_GAP, late:
     return stream.withWatermark("ts", late).groupBy("recording_id").applyInPandasWithState(run, TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _replay(rows: DataFrame, operator, slices: int = 4) -> DataFrame:
-    """Run a streaming operator over a table appended slice by slice in order of time, and read what it wrote."""
+def _replay(rows: DataFrame, operator, slices: int = 4, closing: DataFrame | None = None) -> DataFrame:
+    """Run a streaming operator over a table appended slice by slice in order of time, and read what it wrote.
+
+    closing, rows later than all others, is appended last, to carry the watermark past them. Slices are many files, and
+    each is one micro-batch: a new query resumes from the checkpoint of the one before.
+    """
     spark = rows.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = staged(rows, "stream")
     cuts = rows.select(F.percentile_approx("frame", [k / slices for k in range(1, slices)])).first()[0] or []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows if low is None else rows.where(F.col("frame") > low)
-        part = part if high is None else part.where(F.col("frame") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    result = operator(stream)
-    query = result.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    parts = [rows.where(F.lit(True) if low is None else F.col("frame") > low).where(F.lit(True) if high is None else F.col("frame") <= high) for low, high in zip([None, *cuts], [*cuts, None])]
+    for part in [*parts, *([closing.select(*rows.columns)] if closing is not None else [])]:
+        part.write.mode("append").parquet(f"{base}/in")
+        result = operator(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        query = result.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{base}/out")
 
 
@@ -84,6 +88,10 @@ def replay_tracker(det: DataFrame) -> DataFrame:
     return _replay(event_time(det).withColumn("recording_id", F.col("recording_id").cast("string")), tracker)
 
 
-def replay_gap_sessions(det: DataFrame) -> DataFrame:
-    """Closed sessions only: those the watermark has passed."""
-    return _replay(event_time(det), lambda s: gap_sessions(s, ["recording_id", "label"]))
+def replay_gap_sessions(det: DataFrame, late_frames: int = 24) -> DataFrame:
+    """All sessions: a last row of no recording, later than the gap and the allowed lateness, closes those still open."""
+    rows = event_time(det)
+    end = rows.agg(F.max("frame").alias("last")).where("last is not null").select((F.col("last") + MAX_GAP + late_frames + 2).cast("int").alias("frame"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in det.dtypes if c not in ("frame", "label")]
+    closing = event_time(end.select("frame", F.lit(CLOSING).alias("label"), *empty))
+    return _replay(rows, lambda s: gap_sessions(s, ["recording_id", "label"]), closing=closing).where(~F.col("label").eqNullSafe(CLOSING))

@@ -55,6 +55,11 @@ def test_stream_equals_batch_for_tracks(spark, sf_dir):
     assert key(catalog.QUERIES["stream_tracker"](spark, sf_dir)) == key(catalog.QUERIES["track_assign"](spark, sf_dir))
 
 
+def test_stream_equals_batch_for_gap_sessions(spark, sf_dir):
+    key = lambda df: sorted(map(tuple, df.select("recording_id", "label", "first_frame", "last_frame", "n").collect()))
+    assert key(catalog.QUERIES["stream_gap_sessions"](spark, sf_dir)) == key(catalog.QUERIES["gap_sessions"](spark, sf_dir))
+
+
 def test_entry(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
