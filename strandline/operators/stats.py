@@ -186,23 +186,33 @@ def comparison_text(tests: DataFrame) -> DataFrame:
     return tests.groupBy("metric").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("report"))
 
 
-def bootstrap_ci(values: DataFrame, n_boot: int = 100, ci: float = 0.95, seed: str = "42") -> DataFrame:
-    """Mean, percentile interval and population std of bootstrap means per (metric, grp).
+def _resamples(values: DataFrame, n_boot: int, seed: str) -> DataFrame:
+    """(metric, grp, b, value, count): the values that resample b of a group of two values or more draws, and how often.
 
     Draw i of resample b is row md5(seed-b-i) mod n of the group in the order of its values, so results are the same
-    everywhere. Rows are numbered once; every number of a draw meets its row in an equi-join, and only sums are kept.
+    everywhere. Rows are numbered once, and every number of a draw meets its row in an equi-join.
     """
     counted = running_sum(values.groupBy(*BY, "value").agg(F.count("*").alias("t")), BY, "value", "t", "_before")
     numbered = counted.select(*BY, "value", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("t") - 1)).alias("i"))
-    sizes = values.groupBy(*BY).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    draws = numbered.join(sizes.select(*BY, "n"), BY).where("n >= 2").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    sizes = values.groupBy(*BY).agg(F.count("*").alias("n"))
+    draws = numbered.join(sizes, BY).where("n >= 2").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
     counts = draws.select(*BY, "b", pick.alias("i")).groupBy(*BY, "b", "i").count()
-    means = counts.join(numbered.select(*BY, "i", "value"), [*BY, "i"]).groupBy(*BY, "b").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("m"))
+    return counts.join(numbered.select(*BY, "i", "value"), [*BY, "i"]).select(*BY, "b", "value", "count")
+
+
+def _interval(whole: DataFrame, drawn: DataFrame, value: str, ci: float) -> DataFrame:
+    """whole(metric, grp, value) with the percentile interval and population std of drawn(metric, grp, b, m)."""
     a = (1 - ci) / 2
-    found = means.groupBy(*BY).agg(F.percentile("m", F.lit(a)).alias("ci_low"), F.percentile("m", F.lit(1 - a)).alias("ci_high"), F.stddev_pop("m").alias("se"))
-    out = sizes.join(found, BY, "left")
-    return out.select(*BY, "mean", *[F.coalesce(c, "mean").alias(c) for c in ("ci_low", "ci_high")], F.coalesce("se", F.lit(0.0)).alias("se"))
+    found = drawn.groupBy(*BY).agg(F.percentile("m", F.lit(a)).alias("ci_low"), F.percentile("m", F.lit(1 - a)).alias("ci_high"), F.stddev_pop("m").alias("se"))
+    out = whole.join(found, BY, "left")
+    return out.select(*BY, value, *[F.coalesce(c, value).alias(c) for c in ("ci_low", "ci_high")], F.coalesce("se", F.lit(0.0)).alias("se"))
+
+
+def bootstrap_ci(values: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: str = "42") -> DataFrame:
+    """Mean, percentile interval and population std of bootstrap means per (metric, grp); only sums of a draw are kept."""
+    means = _resamples(values, n_boot, seed).groupBy(*BY, "b").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("m"))
+    return _interval(values.groupBy(*BY).agg(F.avg("value").alias("mean")), means, "mean", ci)
 
 
 def bootstrap_statistic(values: DataFrame, statistic, n_boot: int = 100) -> DataFrame:

@@ -102,6 +102,12 @@ def bootstrap_ci(rm):
     return rounded(S.bootstrap_ci(by_grp(rm), 20), "mean", "ci_low", "ci_high", "se", n=5)
 
 
+@query("bootstrap_ci_1000", RM)
+def bootstrap_ci_1000(rm):
+    """bootstrap_ci at the operator's own number of resamples, for which the SQL above is not written."""
+    return rounded(S.bootstrap_ci(by_grp(rm)), "mean", "ci_low", "ci_high", "se", n=5)
+
+
 @query("pluggable_statistic", RM, ctes=BY_GRP, sql="SELECT metric, grp, round(max(value) - min(value), 6) AS statistic FROM vals GROUP BY ALL")
 def pluggable_statistic(rm):
     return rounded(S.bootstrap_statistic(by_grp(rm), lambda x: x.max() - x.min()), "statistic")

@@ -1,5 +1,6 @@
 """Known answers and edge cases of the tracking operators."""
 
+import hashlib
 import itertools
 import math
 
@@ -177,6 +178,21 @@ def test_ranks_bootstrap_normality(spark):
     assert n == {"N": True, "E": False, "F": True}
 
 
+def draws(values, b):
+    """The values of resample b, by hand."""
+    v = sorted(values)
+    return np.array([v[int(hashlib.md5(f"42-{b}-{i}".encode()).hexdigest()[:8], 16) % len(v)] for i in range(len(v))])
+
+
+def test_bootstrap_draws_a_thousand_resamples(spark):
+    from strandline.plans import catalog
+    v = [1, 2, 2, 5, 9, 11]
+    m = np.array([draws(v, b).mean() for b in range(1000)])
+    got = stats.bootstrap_ci(groups(spark, A=v)).first()
+    assert np.allclose([got["mean"], got["ci_low"], got["ci_high"], got["se"]], [np.mean(v), *np.percentile(m, [2.5, 97.5]), m.std()])
+    assert "bootstrap_ci_1000" in catalog.QUERIES
+
+
 def test_markers(spark):
     df = spark.createDataFrame([(0.0001,), (0.005,), (0.03,), (0.1,)], "p double")
     assert [r[0] for r in df.select(stats.significance_marker(F.col("p"))).collect()] == ["***", "**", "*", "ns"]
