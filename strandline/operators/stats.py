@@ -215,12 +215,29 @@ def bootstrap_ci(values: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed:
     return _interval(values.groupBy(*BY).agg(F.avg("value").alias("mean")), means, "mean", ci)
 
 
-def bootstrap_statistic(values: DataFrame, statistic, n_boot: int = 100) -> DataFrame:
+def group_statistic(values: DataFrame, statistic) -> DataFrame:
     """A user's statistic (array -> float) of every group, as a grouped-aggregate pandas UDF over Arrow batches."""
     udf = F.pandas_udf(lambda s: float(statistic(s.to_numpy())), "double", F.PandasUDFType.GROUPED_AGG)
     return values.groupBy(*BY).agg(udf("value").alias("statistic"))
 
 
+def bootstrap_statistic(values: DataFrame, statistic=None, n_boot: int = 1000, ci: float = 0.95, seed: str = "42", aggregate=None) -> DataFrame:
+    """A user's statistic of every group with its percentile interval and population std over n_boot resamples.
+
+    statistic (array -> float) gets the values of a group or resample whole. aggregate (value column, count column ->
+    aggregate column) stands for one that built-in aggregates of weighted values make: no group is gathered then.
+    """
+    if (statistic is None) == (aggregate is None):
+        raise ValueError("either statistic or aggregate")
+    if aggregate is None:
+        udf = F.pandas_udf(lambda v, n: float(statistic(np.repeat(v.to_numpy(), n.to_numpy()))), "double", F.PandasUDFType.GROUPED_AGG)
+        aggregate = lambda v, n: udf(v, n)
+    counted = values.groupBy(*BY, "value").agg(F.count("*").alias("count"))
+    whole = counted.groupBy(*BY).agg(aggregate(F.col("value"), F.col("count")).alias("statistic"))
+    drawn = _resamples(values, n_boot, seed).groupBy(*BY, "b").agg(aggregate(F.col("value"), F.col("count")).alias("m"))
+    return _interval(whole, drawn, "statistic", ci)
+
+
 def _normal_quantile(p: np.ndarray) -> np.ndarray:
     """Inverse normal distribution by Newton steps on erfc."""
     x = np.zeros_like(p)

@@ -110,7 +110,13 @@ def bootstrap_ci_1000(rm):
 
 @query("pluggable_statistic", RM, ctes=BY_GRP, sql="SELECT metric, grp, round(max(value) - min(value), 6) AS statistic FROM vals GROUP BY ALL")
 def pluggable_statistic(rm):
-    return rounded(S.bootstrap_statistic(by_grp(rm), lambda x: x.max() - x.min()), "statistic")
+    return rounded(S.group_statistic(by_grp(rm), lambda x: x.max() - x.min()), "statistic")
+
+
+@query("pluggable_bootstrap", RM)
+def pluggable_bootstrap(rm):
+    """The statistic of pluggable_statistic with its bootstrap interval, which the SQL above does not have."""
+    return rounded(S.bootstrap_statistic(by_grp(rm), aggregate=lambda v, n: F.max(v) - F.min(v)), "statistic", "ci_low", "ci_high", "se")
 
 
 @query("normality_check", RM)

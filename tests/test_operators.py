@@ -193,6 +193,18 @@ def test_bootstrap_draws_a_thousand_resamples(spark):
     assert "bootstrap_ci_1000" in catalog.QUERIES
 
 
+def test_plugged_statistic_is_bootstrapped(spark):
+    v = [1, 2, 2, 5, 9, 11]
+    m = np.array([np.ptp(draws(v, b)) for b in range(200)])
+    want = [10, *np.percentile(m, [2.5, 97.5]), m.std()]
+    g = groups(spark, A=v, B=[7])
+    for how in ({"statistic": np.ptp}, {"aggregate": lambda x, n: F.max(x) - F.min(x)}):
+        a, b = stats.bootstrap_statistic(g, n_boot=200, **how).orderBy("grp").collect()
+        assert np.allclose([a["statistic"], a["ci_low"], a["ci_high"], a["se"]], want) and tuple(b[2:]) == (0, 0, 0, 0)
+    median = stats.bootstrap_statistic(g, np.median, 200).orderBy("grp").first()
+    assert np.allclose(median["se"], np.std([np.median(draws(v, b)) for b in range(200)]))
+
+
 def test_markers(spark):
     df = spark.createDataFrame([(0.0001,), (0.005,), (0.03,), (0.1,)], "p double")
     assert [r[0] for r in df.select(stats.significance_marker(F.col("p"))).collect()] == ["***", "**", "*", "ns"]
