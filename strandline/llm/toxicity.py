@@ -43,7 +43,8 @@ def compose(first: dict, second: dict) -> dict:
     return made
 
 
-#: A target named earlier in the clause makes an insult weigh more, and a threat weigh at all.
+#: A target named earlier in the clause makes an insult weigh more, and a threat weigh at all; a threat without one waits
+#: for a target later in its clause (Grammar.features).
 TARGETED = {(0, "target"): (1, 1.0), (1, "insult"): (1, 1.5), (0, "threat"): (0, 0.0), (1, "threat"): (1, 1.5), (1, "end"): (0, 1.0)}
 #: A negation weakens what follows within two words.
 NEGATED = {(0, "negation"): (2, 1.0), (2, "word"): (1, 1.0), (1, "word"): (0, 1.0), (2, "target"): (1, 1.0), (1, "target"): (0, 1.0),
@@ -89,15 +90,20 @@ class Grammar:
             lo = k
             while lo > 0 and tokens[lo - 1] not in ENDS:
                 lo -= 1
-            state, score, done = self.start, 0.0, lo
+            state, score, pending, done = self.start, 0.0, 0.0, lo
             while done < len(tokens) and tokens[done] not in ENDS:
                 w = tokens[done]
                 if found := seen[w]:
                     kind, weight = found
                 else:
                     kind, weight = "target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "word", 0.0
+                (named, negated), reported = state
+                if kind == "threat" and not named:
+                    pending += weight * self.arcs[((1, negated), reported), kind][1]
                 state, factor = self.arcs.get((state, kind), (state, 1.0))
                 score += weight * factor
+                if pending and state[0][0]:
+                    score, pending = score + pending, 0.0
                 done += 1
             total += score
             largest = max(largest, score)

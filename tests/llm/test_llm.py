@@ -350,6 +350,13 @@ def test_grammar_weighs_clauses():
     assert score("kill the process") == 0 < score("I will make you pay and kill you") and g.features("")[:2] == (0, 0)
 
 
+def test_threats_wait_for_a_target():
+    g = toxicity.Grammar({})
+    score = lambda t: g.features(t)[1]
+    assert score("I will kill you") == score("you I will kill") == score("kill them all") > score("I will not kill you") > 0
+    assert score("kill the process") == score("kill the process. you can") == 0 < score("he said I will kill you") < score("I will kill you now, he said")
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 def test_urls(spark, sf_dir):
