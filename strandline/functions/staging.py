@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a local one (tests) gets a temporary folder and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends here, and it survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
