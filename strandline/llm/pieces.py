@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
@@ -53,9 +54,6 @@ class CharMap:
 class PieceCoder:
     """A SentencePiece model with offsets. Not picklable; make one per task from the model's file."""
 
-    #: Entries of the cache of encoded words, which is emptied when full; it bounds memory and changes no result.
-    CACHE = 200_000
-
     def __init__(self, path: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = model_pb2.ModelProto()
@@ -71,7 +69,6 @@ class PieceCoder:
         self.source = np.array([1 if b else len(p.encode()) - 2 * p.count(MARK) for p, b in zip(pieces, byte)], np.int64)
         self.control = np.array([k in (2, 3) for k in kinds])
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.words: dict[str, tuple[int, ...]] = {}
 
     def _parts(self, text: str) -> list[str]:
         """Space-free stretches, each with the spaces before it but one (which the space mark in front stands for)."""
@@ -86,20 +83,59 @@ class PieceCoder:
                 held += 1
         return parts + ([" " * (held - 1)] if held else [])
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids with begin and end marks, as the library gives them for each whole text."""
-        bos, eos = [self.sp.bos_id()], [self.sp.eos_id()]
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """Words of all texts in one array, their number per text, and the texts that only the library itself can cut."""
+        whole = pc.match_substring(texts, MARK)
+        odd = pc.or_(pc.or_(whole, pc.match_substring(texts, "  ")), pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.equal(texts, "")))
+        cut = pc.split_pattern(texts, " ")
+        if not pc.any(odd).as_py():
+            return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False), []
+        given, is_whole = texts.to_pylist(), whole.to_pylist()
+        lists = [([None] if w else self._parts(t)) if o else list(c) for t, w, o, c in zip(given, is_whole, odd.to_pylist(), cut.to_pylist())]
+        words = pa.array(list(itertools.chain.from_iterable(lists)), texts.type)
+        return words, np.fromiter(map(len, lists), np.int64, len(lists)), [t for t, w in zip(given, is_whole) if w]
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, with begin and end marks as the library gives them for each whole text, and the n + 1 bounds of the texts.
+
+        No piece crosses a space where by_word holds, so every distinct word is encoded once, and ids are gathered by word numbers.
+        """
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return [np.array(x, np.uint32) for x in self.sp.encode(texts, add_bos=True, add_eos=True)]
-        parts = [self._parts(t) if MARK not in t else [] for t in texts]
-        if len(self.words) > self.CACHE:
-            self.words.clear()
-        fresh = list({w for p in parts for w in p if w not in self.words})
-        self.words.update(zip(fresh, self.sp.encode(fresh)))
-        self.words[""] = (self.mark_id,)
-        get = self.words.__getitem__
-        made = [np.fromiter(itertools.chain(bos, itertools.chain.from_iterable(map(get, p)), eos), np.uint32) for p in parts]
-        return [x if MARK not in t else np.array(self.sp.encode(t, add_bos=True, add_eos=True), np.uint32) for t, x in zip(texts, made)]
+            found = self.sp.encode(texts.to_pylist(), add_bos=True, add_eos=True, num_threads=1)
+            return self._joined(found)
+        words, count, whole = self._words(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = len(distinct)
+        made = self.sp.encode(distinct, num_threads=1)
+        if "" in distinct:
+            made[distinct.index("")] = [self.mark_id]
+        entries, bounds = self._joined([*made, [self.sp.bos_id()], [self.sp.eos_id()], *(self.sp.encode(whole, num_threads=1) if whole else [])])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        if whole:
+            at = at.copy()
+            at[words.is_null().to_numpy(zero_copy_only=False)] = known + 2 + np.arange(len(whole))
+        stop = np.cumsum(count + 2)
+        row = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
+        row[stop - count - 2], row[stop - 1] = known, known + 1
+        inner = np.ones(len(row), bool)
+        inner[stop - count - 2] = inner[stop - 1] = False
+        row[inner] = at
+        size = np.diff(bounds)[row]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = entries[np.repeat(bounds[row] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], stop])]
+
+    @staticmethod
+    def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(bounds[-1])), bounds
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of encode_flat, one array for each text."""
+        ids, bounds = self.encode_flat(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in itertools.pairwise(bounds.tolist())]
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The normalised bytes, and for each of them the begin and end of its source bytes."""
@@ -172,34 +208,31 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256
 def _mapper(model: str, id_cols: list[str], schema: pa.Schema, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for lo, hi in _slices(texts):
-                part = texts[lo:hi]
-                ids = coder.encode_batch(part)
-                spans = [coder.spans(t, i).astype("<u4") for t, i in zip(part, ids)]
+            for part in slices(batch, batch.num_columns - 1):
+                given = part.column(part.num_columns - 1)
+                texts = [t or "" for t in given.to_pylist()]
+                flat, bounds = coder.encode_flat(given)
+                ids = [flat[a:b] for a, b in itertools.pairwise(bounds.tolist())]
+                spans = [coder.spans(t, i).astype("<u4") for t, i in zip(texts, ids)]
                 decoded = coder.decode_batch(ids)
                 made: list[list] = [[len(i) for i in ids], [i.astype("<u4").tobytes() for i in ids]]
                 if digests:
-                    sha = lambda b: hashlib.sha256(b).hexdigest()
                     made = [made[0], [sha(b) for b in made[1]], [sha(d.encode()) for d in decoded], [sha(s.tobytes()) for s in spans]]
                 else:
                     made += [[s.tobytes() for s in spans], decoded]
-                ids_in = [batch.column(k).slice(lo, hi - lo) for k in range(len(id_cols))]
-                yield pa.RecordBatch.from_arrays(ids_in + [pa.array(v, schema.field(len(id_cols) + k).type) for k, v in enumerate(made)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(id_cols)], *(pa.array(v, schema.field(len(id_cols) + k).type) for k, v in enumerate(made))], schema=schema)
     return run
 
 
-def _slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of about so many characters, one text at least."""
-    lo = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield lo, k + 1
-            lo, total = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about `most` bytes together, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [batch.num_rows]
+    for a, b in itertools.pairwise(edges):
+        yield batch.slice(a, b - a)
 
 
 def encode_pieces(docs: DataFrame, model: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -207,7 +240,7 @@ def encode_pieces(docs: DataFrame, model: str, id_cols: tuple[str, ...] = ("doc_
 
     With digests, SHA-256 digests stand for ids, decoded text and spans. model is the path of the model's file, present
     on every executor. Null texts count as empty (begin and end marks only); long texts are encoded whole, in
-    batches of about a million characters; repeated rows stay; empty tables give no rows. No shuffle.
+    batches of about 16 million bytes; repeated rows stay; empty tables give no rows. No shuffle.
     """
     rows = docs.select(*id_cols, text_col)
     out = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", " + (DIGESTS if digests else SCHEMA)

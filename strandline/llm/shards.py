@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from strandline.functions.staging import staged
-from strandline.llm.pieces import PieceCoder, _slices
+from strandline.llm.pieces import PieceCoder, slices
+from strandline.llm.ranges import id_ranges, range_of
 
 
 class Permutation:
@@ -59,63 +61,81 @@ class Permutation:
         return self._walk(slots, self._back)
 
 
-def _cut(model: str, length: int, id_type, schema: pa.Schema):
+def _encode(model: str, length: int, schema: pa.Schema):
+    """(range, id, hash, text) to (range, id, hash, n_ids, n_seqs, ids): ids of the whole text, 16-bit and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = PieceCoder(model)
+        for batch in batches:
+            for part in slices(batch, 3):
+                flat, bounds = coder.encode_flat(part.column(3))
+                flat, n = flat.astype("<u2"), np.diff(bounds)
+                packed = [pa.compress(flat[a:b].tobytes(), "zstd", asbytes=True) for a, b in itertools.pairwise(bounds.tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), pa.array(-(-n // length)), pa.array(packed, pa.binary())], schema=schema)
+    return run
+
+
+def _cut(order: Permutation, length: int, schema: pa.Schema, most: int = 16_384):
+    """(id, place, n_ids, ids) to one row per sequence, with its slot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, count = PieceCoder(model), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids_in = batch.column(0)
-            for lo, hi in _slices(texts):
-                which, seq, n, records = [], [], [], []
-                for row, ids in enumerate(coder.encode_batch(texts[lo:hi]), lo):
-                    for k, at in enumerate(range(0, len(ids), length)):
-                        part = ids[at:at + length].astype("<u2")
-                        which.append(row)
-                        seq.append(k)
-                        n.append(len(part))
-                        records.append(part.tobytes().ljust(2 * length, b"\0"))
-                at = np.arange(count, count + len(which))
-                count += len(which)
-                yield pa.RecordBatch.from_arrays([ids_in.take(pa.array(which, pa.int64())), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(np.full(len(which), task, np.int32)), pa.array(at), pa.array(records, pa.binary())], schema=schema)
+            place, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            seqs = -(-n // length)
+            part = (np.cumsum(seqs) - seqs) // most
+            for a, b in itertools.pairwise(np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(n)]):
+                padded = np.zeros((int(seqs[a:b].sum()), length), "<u2")
+                first = np.cumsum(seqs[a:b]) - seqs[a:b]
+                rows = np.repeat(np.arange(a, b), seqs[a:b])
+                seq = np.arange(len(rows)) - np.repeat(first, seqs[a:b])
+                flat = padded.reshape(-1)
+                for k, at in zip(range(a, b), (first * length).tolist()):
+                    flat[at:at + n[k]] = np.frombuffer(pa.decompress(batch.column(3)[k].as_py(), int(2 * n[k]), "zstd", asbytes=True), "<u2")
+                records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(rows), [None, pa.py_buffer(padded)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(order.slots(place[rows] + seq)), batch.column(0).take(pa.array(rows)), pa.array(seq.astype(np.int32)),
+                    pa.array(np.minimum(length, n[rows] - seq * length).astype(np.int32)), records], schema=schema)
     return run
 
 
-def training_order(docs: DataFrame, model: str, key: str = "order-1", length: int = 512, per_shard: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, model: str, key: str = "order-1", length: int = 512, per_shard: int = 16_384, shards_per_task: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sequence in training order: slot, shard, offset, id, seq, n_tokens, record.
 
     Texts are encoded whole with begin and end ids and cut into sequences of `length` ids (unsigned 16-bit, little-endian;
-    the last one of a text is filled with zeros, n_tokens says how many count). Sequences are staged once with their
-    writing task and their place in it; prefix sums over one count per task make the places dense, and a keyed Feistel
-    permutation with cycle-walking turns place into slot. Range partition s holds slots [s * per_shard, (s + 1) * per_shard), in
-    order: shard s, where slot lies at byte (slot - s * per_shard) * 2 * length. Slots are uniform over a known range, so
-    ranges need no sampling and are equal. The broadcast table has one row per task that wrote sequences.
+    the last one of a text is filled with zeros, n_tokens says how many count). A sequence's place is its number in the
+    order (id with null last, hash of the text, seq), so one table and key give one training order however the table is
+    laid out; id is a whole number. Encoded texts are dealt to ranges of that order and staged once with their place in
+    the range; prefix sums over one count per range (the broadcast table) make the places dense, and a keyed Feistel
+    permutation with cycle-walking turns place into slot. Shard s holds slots [s * per_shard, (s + 1) * per_shard), in order,
+    where slot lies at byte (slot - s * per_shard) * 2 * length. Slots are uniform over a known range, so ranges of slots
+    need no sampling and are equal; a task has at most shards_per_task of them, or one for each shuffle partition.
 
     Null and empty texts are one sequence of the begin and end ids; long texts give as many sequences as they need;
-    repeated rows have their own; empty tables give no rows; other columns are ignored. The order of places follows
-    the staged files, so a table and key give one order for one layout of the input.
+    repeated rows have their own; empty tables give no rows; other columns are ignored.
     """
-    rows = docs.select(id_col, text_col)
-    kind = rows.dtypes[0][1]
-    out = f"`{id_col}` {kind}, seq int, n_tokens int, task int, at long, record binary"
     if PieceCoder(model).sp.get_piece_size() > 1 << 16:
         raise ValueError("16-bit records need a vocabulary of at most 65,536 pieces")
-    cut = staged(rows.mapInArrow(_cut(model, length, kind, to_arrow_schema(_parse_datatype_string(out))), out), "sequences")
-    sizes = cut.groupBy("task").agg(F.count("*").alias("n"))
-    starts = sizes.select("task", F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    total = cut.count()
-    order = Permutation(total, key)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(order.slots(batch.column(0).to_numpy())), *batch.columns[1:]], schema=schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bounds, nulls = id_ranges(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    kind = rows.dtypes[0][1]
+    coded = f"range int, id {kind}, hash long, n_ids long, n_seqs long, ids binary"
+    rows = rows.select(range_of(F.col("id"), F.col("hash"), bounds, nulls).alias("range"), "id", "hash", "text").mapInArrow(_encode(model, length, to_arrow_schema(_parse_datatype_string(coded))), coded)
+    before = W.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "hash").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum("n_seqs").over(before), F.lit(0)))
+    placed = staged(placed.drop("hash"), "encoded", compression="zstd")
+    sizes = placed.groupBy("range").agg(F.sum("n_seqs").alias("n"))
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
 
     fields = f"slot long, `{id_col}` {kind}, seq int, n_tokens int, record binary"
-    schema = to_arrow_schema(_parse_datatype_string(fields))
-    numbered = cut.join(F.broadcast(starts), "task").select((F.col("start") + F.col("at")).alias("place"), id_col, "seq", "n_tokens", "record")
-    slotted = numbered.mapInArrow(placed, fields)
-    shard = F.expr(f"slot div {per_shard}").cast("int")
-    ranges = slotted.repartitionById(max(1, -(-total // per_shard)), shard).sortWithinPartitions("slot")
-    return ranges.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * (2 * length)).alias("offset"), id_col, "seq", "n_tokens", "record")
+    cut = placed.join(F.broadcast(starts), "range").select("id", (F.col("start") + F.col("at")).alias("place"), "n_ids", "ids")
+    slotted = cut.mapInArrow(_cut(Permutation(total, key), length, to_arrow_schema(_parse_datatype_string(fields))), fields)
+    shards = max(1, -(-total // per_shard))
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // shards_per_task)))
+    shard = F.expr(f"slot div {per_shard}")
+    ranges = slotted.repartitionById(tasks, (shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    return ranges.select("slot", shard.cast("int").alias("shard"), ((F.col("slot") % per_shard) * (2 * length)).alias("offset"), id_col, "seq", "n_tokens", "record")
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
@@ -123,7 +143,8 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
 
     folder is a URI that pyarrow's filesystems reach from every executor (file:, hdfs:, s3:). A shard is written under a
     temporary name and moved into place, so a task that runs twice leaves the same file. The result is lazy; shards are written
-    when it is computed. Readers resume at a slot by seeking to its offset in its shard.
+    when it is computed. Readers resume at a slot by seeking to its offset in its shard. Other columns than shard, slot and
+    record are ignored; no rows leave no shard.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
