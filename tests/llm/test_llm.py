@@ -303,6 +303,19 @@ def test_hot_keys_lose_no_link(spark):
 
 # --- 7 -------------------------------------------------------------------------------------------------------------
 
+def brute_vectors(rows):
+    """(id, links, smallest id, kept) of (id, vector, label) rows by all pairs."""
+    good = lambda v, label: label is not None and v and None not in v and np.isfinite(v).all() and any(v)
+    unit = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) if good(v, label) else None for _, v, label in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if unit[a] is not None and unit[b] is not None and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    links = Counter(k for pair in near for k in pair)
+    root = components(len(rows), near)
+    ids = defaultdict(list)
+    for k, r in enumerate(root):
+        ids[r] += [rows[k][0]] if rows[k][0] is not None else []
+    return Counter((rows[k][0], links[k], min(ids[r], default=None), rows[k][0] == min(ids[r], default=None)) for k, r in enumerate(root))
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
@@ -310,14 +323,12 @@ def test_vectors_match_brute_force(spark):
     x[50:60] = x[49]
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
     bad = [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, [None] * 16, 0), (905, [float("inf")] + [1.0] * 15, 0), (906, x[0].tolist(), None), (907, x[0].tolist()[:8], 0)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("n", F.lit(1))
-    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    near = (u @ u.T >= 0.93) & (np.arange(400)[:, None] % 2 == np.arange(400)[None, :] % 2)
-    np.fill_diagonal(near, False)
-    root = components(400, zip(*(v.tolist() for v in np.nonzero(np.triu(near)))))
-    want = {i: (int(n), r, r == i) for i, (n, r) in enumerate(zip(near.sum(1), root))} | {b[0]: (0, b[0], True) for b in bad}
-    for kw in ({}, {"cell_rows": 20, "chunk": 16}, {"cell_rows": 5, "chunk": 512, "sample_rows": 30}):
-        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, **kw).collect()} == want
+    shared = [(1, [1.0, 0.0], 7), (1, [0.0, 1.0], 7), (2, [1.0, 0.01], 7), (None, [0.0, 1.0], 7), (None, [1.0, -1.0], 7), (3, [0.0, 1.0], 7), (3, [0.0, 1.0], 7)]
+    rows += bad + shared
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("n", F.lit(1)).withColumn("node", F.lit(1)).withColumn("cell", F.lit(1))
+    want = brute_vectors([(i, None if v is None else [None if y is None else float(np.float32(y)) for y in v], label) for i, v, label in rows])
+    for kw in ({}, {"cell_rows": 5, "fan": 3, "sample_rows": 30, "chunk_values": 256}):
+        assert Counter(tuple(r) for r in embeddings.near_vectors(df, **kw).collect()) == want
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
