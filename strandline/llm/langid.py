@@ -74,7 +74,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     sizes = known.groupBy(lang_col).count().collect()
     if not sizes:
         return {"dims": dims, "seed": seed, "langs": [], "vectors": np.zeros((0, dims), np.float32)}
-    draw = F.abs(F.xxhash64(id_col)) % 1_000_000
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1_000_000))
     share = F.coalesce(*[F.when(F.col(lang_col) == r[lang_col], F.lit(int(1e6 * min(1.0, per_lang / r["count"])) + 1)) for r in sizes])
     sample = known.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 

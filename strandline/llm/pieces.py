@@ -18,6 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 MARK = "▁"
@@ -201,28 +204,27 @@ class PieceCoder:
         return self.sp.decode([x.tolist() for x in ids]) if ids else []
 
 
-SCHEMA = "n_tokens long, ids binary, spans binary, decoded string"
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+#: What encode_pieces can return, with types.
+OUTPUTS = {"n_tokens": "long", "ids": "binary", "spans": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
 
 
-def _mapper(model: str, id_cols: list[str], schema: pa.Schema, digests: bool):
+def _mapper(model: str, n_cols: int, outputs: tuple[str, ...], schema: pa.Schema):
+    needs = lambda name: any(o.startswith(name) for o in outputs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                given = part.column(part.num_columns - 1)
-                texts = [t or "" for t in given.to_pylist()]
+            for part in slices(batch, n_cols):
+                given = part.column(n_cols)
                 flat, bounds = coder.encode_flat(given)
                 ids = [flat[a:b] for a, b in itertools.pairwise(bounds.tolist())]
-                spans = [coder.spans(t, i).astype("<u4") for t, i in zip(texts, ids)]
-                decoded = coder.decode_batch(ids)
-                made: list[list] = [[len(i) for i in ids], [i.astype("<u4").tobytes() for i in ids]]
-                if digests:
-                    made = [made[0], [sha(b) for b in made[1]], [sha(d.encode()) for d in decoded], [sha(s.tobytes()) for s in spans]]
-                else:
-                    made += [[s.tobytes() for s in spans], decoded]
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(id_cols)], *(pa.array(v, schema.field(len(id_cols) + k).type) for k, v in enumerate(made))], schema=schema)
+                raw = {"ids": [i.astype("<u4").tobytes() for i in ids]}
+                if needs("spans"):
+                    raw["spans"] = [coder.spans(t or "", i).astype("<u4").tobytes() for t, i in zip(given.to_pylist(), ids)]
+                if needs("decoded"):
+                    raw["decoded"] = [d.encode() for d in coder.decode_batch(ids)]
+                made = {"n_tokens": np.diff(bounds)} | raw | {f"{name}_sha256": [hashlib.sha256(b).hexdigest() for b in raw[name]] for name in raw if f"{name}_sha256" in outputs}
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_cols], *(pa.array(made[o], schema.field(n_cols + k).type) for k, o in enumerate(outputs))], schema=schema)
     return run
 
 
@@ -235,16 +237,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterat
         yield batch.slice(a, b - a)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", digests: bool = False) -> DataFrame:
-    """id_cols, n_tokens, ids and spans (little-endian 32-bit integers; spans as begin, end pairs) and the decoded text.
+def encode_pieces(docs: DataFrame, model: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "spans", "decoded")) -> DataFrame:
+    """id_cols and outputs, names of OUTPUTS: the number of ids, ids and spans (little-endian 32-bit integers; spans as begin, end
+    pairs), the decoded text, and SHA-256 digests of these.
 
-    With digests, SHA-256 digests stand for ids, decoded text and spans. model is the path of the model's file, present
-    on every executor. Null texts count as empty (begin and end marks only); long texts are encoded whole, in
-    batches of about 16 million bytes; repeated rows stay; empty tables give no rows. No shuffle.
+    model is the path of the model's file, present on every executor. Null texts count as empty (begin and end marks only);
+    long texts are encoded whole, in batches of about 16 million bytes; repeated rows stay; empty tables give no rows; other
+    columns are ignored. No shuffle.
     """
-    rows = docs.select(*id_cols, text_col)
-    out = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", " + (DIGESTS if digests else SCHEMA)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    arrow = to_arrow_schema(_parse_datatype_string(out))
-    return rows.mapInArrow(_mapper(model, list(id_cols), arrow, digests), out)
+    rows = docs.select(*id_cols, F.col(text_col).alias("_text"))
+    out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{o} {OUTPUTS[o]}" for o in outputs])
+    return rows.mapInArrow(_mapper(model, len(id_cols), outputs, to_arrow_schema(_parse_datatype_string(out))), out)

@@ -30,7 +30,7 @@ def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
+    return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,14 +25,13 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
 
 
-def words_digest(text: str | None) -> int:
+def words_digest(words: list[bytes]) -> int:
     """Digest of the words in their order: texts of equal words have equal shingles of every size."""
-    return xxhash.xxh64_intdigest(b" ".join(_words(text)), SEED)
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Hashes of the shingles of `size` words in their order, with repeats; fewer words make one shingle, no words none."""
-    words = _words(text)
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
@@ -45,29 +44,57 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop)), np.uint64, len(stop))
 
 
-def fingerprint(text: str | None, size: int = 4, distinct: bool = False) -> int:
-    """64-bit SimHash of the shingles of `size` words, repeats counted unless distinct: a bit is set when over half the hashes set it.
+def majority(hashes: np.ndarray, draw: int = 0) -> int:
+    """64-bit SimHash of 64-bit hashes: a bit is set when over half of them set it; none gives 0.
 
-    Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Fewer words make one shingle; none gives 0.
+    draw > 0 mixes the hashes first (Fixed values: the multipliers of splitmix64), which gives fingerprints independent of each other.
     """
-    hashes = shingle_hashes(text, size)
-    hashes = np.unique(hashes) if distinct else hashes
+    if draw:
+        hashes = hashes + np.uint64(0x9E3779B97F4A7C15 * draw & 0xFFFFFFFFFFFFFFFF)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = hashes ^ (hashes >> np.uint64(31))
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[lo:lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_simhash(docs: DataFrame, text_col: str = "text", kinds: tuple[tuple[str, int, bool], ...] = (("fp", 4, False),)) -> DataFrame:
-    """docs without text_col plus one signed long per kind (column, shingle size, distinct); size 0 gives the digest of the words. No shuffle."""
-    rows = docs.drop(*[k for k, _, _ in kinds])
+def fingerprint(text: str | None, size: int = 4, distinct: bool = False, draw: int = 0) -> int:
+    """64-bit SimHash of the shingles of `size` words, repeats counted unless distinct.
+
+    Words are runs of anything but space and \\t to \\r, A-Z lower-cased. Fewer words make one shingle; none gives 0.
+    """
+    hashes = shingle_hashes(_words(text), size)
+    return majority(np.unique(hashes) if distinct else hashes, draw)
+
+
+#: Columns of with_simhash: (name, words of a shingle or 0 for the digest of the words, whether repeats are left out, draw).
+Kinds = tuple[tuple[str, int, bool, int], ...]
+
+
+def with_simhash(docs: DataFrame, text_col: str = "text", kinds: Kinds = (("fp", 4, False, 0),)) -> DataFrame:
+    """docs without text_col plus one signed long per kind. No shuffle."""
+    rows = docs.drop(*[k[0] for k in kinds])
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
-    out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{k} long" for k, _, _ in kinds])
+    out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{k[0]} long" for k in kinds])
     schema = to_arrow_schema(_parse_datatype_string(out))
 
+    def prints_of(text: str | None) -> list[int]:
+        words, made, hashes = _words(text), [], {}
+        for _, size, distinct, draw in kinds:
+            if not size:
+                made.append(words_digest(words))
+                continue
+            if (size, distinct) not in hashes:
+                found = shingle_hashes(list(dict.fromkeys(words)) if distinct and size == 1 else words, size)
+                hashes[size, distinct] = np.unique(found) if distinct else found
+            made.append(majority(hashes[size, distinct], draw))
+        return made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([[fingerprint(t.as_py(), size, distinct) if size else words_digest(t.as_py()) for _, size, distinct in kinds] for t in batch.column(batch.num_columns - 1)], np.uint64).reshape(-1, len(kinds)).view(np.int64)
+            prints = np.array([prints_of(t.as_py()) for t in batch.column(batch.num_columns - 1)], np.uint64).reshape(-1, len(kinds)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(prints[:, k]) for k in range(len(kinds)))], schema=schema)
 
     return rows.mapInArrow(run, out)
@@ -242,8 +269,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, limits: dict[str, int], sh
         for batch in batches:
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 row = [c[k].as_py() for c in batch.columns[:-1]]
-                if np.uint64(words_digest(text.as_py())).astype(np.int64) == row[1]:
-                    held.append((row[0], *row[2:], np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64)))
+                words = _words(text.as_py())
+                if np.uint64(words_digest(words)).astype(np.int64) == row[1]:
+                    held.append((row[0], *row[2:], np.unique(shingle_hashes(words, shingle)).view(np.int64)))
                     size += len(held[-1][-1])
                 if size > most:
                     yield out()
@@ -259,34 +287,41 @@ def verified_links(docs: DataFrame, nodes: DataFrame, limits: dict[str, int], sh
     return rows.groupBy("root", "i", "j").applyInPandas(_like_links(tuple(limits.values()), names, likeness), "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", likeness: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, confirm: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", likeness: float | None = None, draws: int = 1) -> DataFrame:
     """(id, fp, component_id) for every row of docs; component_id is the smallest id reachable over links.
 
     Without confirm, fingerprints of shingles of `size` words, repeats counted, link at `bits` or fewer differing bits. With
-    confirm = (shingle, limit), the indexed fingerprint is of the distinct shingles of `size` words, and a link must also
-    differ in at most `limit` bits of a second fingerprint, of shingles of `shingle` words: near copies with scattered
-    edits stay close in their words but not in long shingles, so one fingerprint finds them and the other verifies. With
-    likeness too, that only makes candidates: a link must also have that exact Jaccard likeness of the sets of shingles of
-    `shingle` words, and texts of equal words, not of equal fingerprints, are one node.
+    confirm = (shingle, limit), the indexed fingerprints are `draws` independent ones of the distinct shingles of `size` words,
+    of which one must be that close, and a link must also differ in at most `limit` bits of a last fingerprint, of shingles of
+    `shingle` words: near copies with scattered edits stay close in their words but not in long shingles, so the first ones find
+    them and the last verifies. Several draws find more of them than one with a wider limit, and their keys stay longer. With
+    likeness too, that only makes candidates: a link is two candidates of one component within `limit` bits that have that
+    exact Jaccard likeness of the sets of shingles of `shingle` words, and texts of equal words, not of equal
+    fingerprints, are one node.
 
     Equal fingerprints are one node of the link graph, so copies cost nothing. Null and wordless texts have
     fingerprint 0 and link like any other; rows with equal ids keep their own rows; null ids are never the smallest id
     unless all of a component are null; empty tables give no rows; other columns are ignored.
     """
-    kinds = [("fp", size, confirm is not None)] + ([("fp2", confirm[0], False)] if confirm else [])
-    limits = {"fp": bits} | ({"fp2": confirm[1]} if confirm else {})
-    if likeness is not None and not confirm:
-        raise ValueError("likeness needs confirm")
-    kinds += [("words", 0, False)] if likeness is not None else []
-    told = [k for k, _, _ in kinds]
+    if (likeness is not None or draws > 1) and not confirm:
+        raise ValueError("likeness and draws need confirm")
+    indexed = ["fp"] + [f"fp_{k}" for k in range(1, draws)]
+    kinds = [(name, size, confirm is not None, k) for k, name in enumerate(indexed)]
+    second = {"fp2": confirm[1]} if confirm else {}
+    kinds += [("fp2", confirm[0], False, 0)] if confirm else []
+    kinds += [("words", 0, False, 0)] if likeness is not None else []
+    told = [k[0] for k in kinds]
     node = F.xxhash64(*told) if confirm else F.col("fp")
     prints = staged(with_simhash(docs.select(id_col, text_col), text_col, tuple(kinds)).withColumn("node", node), "simhash")
-    nodes = prints.groupBy("node", *(told if likeness is not None else [])).agg(F.min(id_col).alias("rep"))
-    parts = connected_components(link_fingerprints(prints, limits))
-    nodes = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    nodes = staged(nodes.select("node", "root", "rep", *(told if likeness is not None else [])), "nodes")
+    nodes = prints.groupBy("node", *(["fp2", "words"] if likeness is not None else [])).agg(F.min(id_col).alias("rep"))
+    edges = link_fingerprints(prints, {"fp": bits} | second)
+    for name in indexed[1:]:
+        edges = edges.unionByName(link_fingerprints(prints, {name: bits} | second))
+    parts = connected_components(edges)
+    nodes = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    nodes = staged(nodes, "nodes")
     if likeness is not None:
-        parts = connected_components(verified_links(docs, nodes, limits, confirm[0], likeness, id_col, text_col))
+        parts = connected_components(verified_links(docs, nodes, second, confirm[0], likeness, id_col, text_col))
         nodes = staged(nodes.select("node", "rep").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "rep"), "nodes")
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = staged(nodes.join(least, "root").select("node", "component_id"), "groups")

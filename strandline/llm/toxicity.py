@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -19,133 +19,163 @@ from strandline.functions.staging import staged
 TARGETS = frozenset("you your yours you're he she him her they them this that these those people everyone du dein ihr euch tu toi vous votre usted ustedes tú".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't nicht kein keine jamais pas nunca".split())
 REPORTS = frozenset("said says claimed called quoted reported wrote according sagte dit dijo".split())
-THREATS = frozenset("kill hurt murder destroy strangle".split())
-INSULTS = frozenset("idiot moron stupid imbecile".split())
+# Seeds of the two learned classes; the labels may outweigh them and add to them.
+THREATS = frozenset("kill hurt murder destroy strangle stab shoot slaughter umbringen töten tuer matar".split())
+INSULTS = frozenset("idiot moron stupid imbecile scum loser trottel dummkopf crétin imbécile idiota estúpido".split())
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 ENDS = frozenset(".!?;:\n")
 STEMS = range(4, 9)
+SEED_WEIGHT = {"insult": 2.0, "threat": 1.5}
 
+#: A transducer is {(state, symbol): (next state, factor now, factor held)}: of a weight read, the first share counts at once
+#: and the second when the clause still names a target; a symbol without an arc leaves a state unchanged, with factors 1 and 0.
+#: A target on either side in the clause makes an insult weigh half as much again, and a threat weigh at all.
+TARGETED = {(0, "target"): (1, 1.0, 0.0), (0, "insult"): (0, 1.0, 0.5), (1, "insult"): (1, 1.5, 0.0), (0, "threat"): (0, 0.0, 1.5), (1, "threat"): (1, 1.5, 0.0), (1, "end"): (0, 1.0, 0.0)}
+#: A negation weakens what follows within two words.
+NEGATED = {(0, "negation"): (2, 1.0, 1.0), (1, "negation"): (2, 1.0, 1.0), (2, "word"): (1, 1.0, 1.0), (1, "word"): (0, 1.0, 1.0), (2, "target"): (1, 1.0, 1.0), (1, "target"): (0, 1.0, 1.0),
+           (2, "insult"): (0, 0.4, 0.4), (1, "insult"): (0, 0.4, 0.4), (2, "threat"): (0, 0.2, 0.2), (1, "threat"): (0, 0.2, 0.2), (2, "end"): (0, 1.0, 1.0), (1, "end"): (0, 1.0, 1.0)}
+#: Reported speech weakens the rest of its clause.
+REPORTED = {(0, "report"): (1, 1.0, 1.0), (1, "insult"): (1, 0.6, 0.6), (1, "threat"): (1, 0.4, 0.4), (1, "end"): (0, 1.0, 1.0)}
 
-def compose(first: dict, second: dict) -> dict:
-    """The product of two weighted transducers given as {(state, symbol): (next state, factor)}; factors multiply.
 
-    A symbol without an arc leaves a state unchanged with factor 1.
-    """
+def compose(first: dict, second: dict) -> dict:
+    """The product of two transducers; factors multiply. The second one scales what the first counts and holds alike."""
     symbols = {s for _, s in first} | {s for _, s in second}
-    states = lambda t: {q for q, _ in t} | {q for q, _ in t.values()}
+    states = lambda t: {q for q, _ in t} | {arc[0] for arc in t.values()}
     made = {}
     for p in states(first):
         for q in states(second):
             for s in symbols:
-                (p2, u), (q2, v) = first.get((p, s), (p, 1.0)), second.get((q, s), (q, 1.0))
-                made[((p, q), s)] = ((p2, q2), u * v)
+                (p2, now, held), (q2, x, y) = first.get((p, s), (p, 1.0, 0.0)), second.get((q, s), (q, 1.0, 1.0))
+                made[((p, q), s)] = ((p2, q2), now * x, held * y)
     return made
 
 
-#: A target named earlier in the clause makes an insult weigh more, and a threat weigh at all; a threat without one waits
-#: for a target later in its clause (Grammar.features).
-TARGETED = {(0, "target"): (1, 1.0), (1, "insult"): (1, 1.5), (0, "threat"): (0, 0.0), (1, "threat"): (1, 1.5), (1, "end"): (0, 1.0)}
-#: A negation weakens what follows within two words.
-NEGATED = {(0, "negation"): (2, 1.0), (2, "word"): (1, 1.0), (1, "word"): (0, 1.0), (2, "target"): (1, 1.0), (1, "target"): (0, 1.0),
-           (2, "insult"): (0, 0.4), (1, "insult"): (0, 0.4), (2, "threat"): (0, 0.2), (1, "threat"): (0, 0.2), (2, "end"): (0, 1.0), (1, "end"): (0, 1.0)}
-#: Reported speech weakens the rest of its clause.
-REPORTED = {(0, "report"): (1, 1.0), (1, "insult"): (1, 0.6), (1, "threat"): (1, 0.4), (1, "end"): (0, 1.0)}
-
-
 class Grammar:
-    """The composed transducers over word symbols. lexicon: words and stems ('abcd*') with their weights."""
+    """The composed transducers over word symbols. lexicon: words and stems ('abcd*') with (symbol, weight)."""
 
     CACHE = 300_000
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, tuple[str, float]]):
         self.words = {w: x for w, x in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon.items() if w.endswith("*")}
         self.arcs = compose(compose(TARGETED, NEGATED), REPORTED)
-        self.start = ((0, 0), 0)
         self.seen: dict[str, tuple[str, float] | None] = {}
 
     def symbol(self, word: str) -> tuple[str, float] | None:
-        """The symbol and weight of an insult or threat, else None."""
-        if word in THREATS:
-            return "threat", self.words.get(word, 1.5)
-        weight = self.words.get(word, 0.0)
-        for n in STEMS:
-            weight = max(weight, self.stems.get(word[:n], 0.0)) if len(word) >= n else weight
-        return ("insult", weight) if weight else None
+        """The symbol and weight of an insult or threat, else None; of the word and its beginnings the heaviest counts."""
+        found = [x for x in (self.words.get(word), *(self.stems.get(word[:n]) for n in STEMS if len(word) >= n)) if x]
+        return max(found, key=lambda x: x[1], default=None)
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """log(1 + sum of clause scores), the largest clause score, matches per 100 words."""
+        """log(1 + sum of clause scores), the largest clause score, matches that weigh (threats only beside a target) per 100 words.
+
+        Clauses without an insult or threat score nothing and leave the machine in its start state, so only the others are read.
+        """
         if len(self.seen) > self.CACHE:
             self.seen.clear()
         tokens, seen = TOKEN.findall(text.lower()), self.seen
         for w in set(tokens).difference(seen):
             seen[w] = self.symbol(w)
         hits = [k for k, w in enumerate(tokens) if seen[w]]
-        total = largest = 0.0
-        done = -1
+        state, total, largest, matches, done = ((0, 0), 0), 0.0, 0.0, 0, -1
         for k in hits:
             if k <= done:
                 continue
             lo = k
             while lo > 0 and tokens[lo - 1] not in ENDS:
                 lo -= 1
-            state, score, pending, done = self.start, 0.0, 0.0, lo
+            score, held, waiting, done = 0.0, 0.0, 0, lo
             while done < len(tokens) and tokens[done] not in ENDS:
                 w = tokens[done]
-                if found := seen[w]:
-                    kind, weight = found
-                else:
-                    kind, weight = "target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "word", 0.0
-                (named, negated), reported = state
-                if kind == "threat" and not named:
-                    pending += weight * self.arcs[((1, negated), reported), kind][1]
-                state, factor = self.arcs.get((state, kind), (state, 1.0))
-                score += weight * factor
-                if pending and state[0][0]:
-                    score, pending = score + pending, 0.0
+                kind, weight = seen[w] or ("target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "word", 0.0)
+                state, now, later = self.arcs.get((state, kind), (state, 1.0, 0.0))
+                score, held = score + weight * now, held + weight * later
+                matches, waiting = matches + (kind == "insult"), waiting + (kind == "threat")
+                if state[0][0]:
+                    score, held, matches, waiting = score + held, 0.0, matches + waiting, 0
                 done += 1
+            state = self.arcs[state, "end"][0]
             total += score
             largest = max(largest, score)
-        return math.log1p(total), largest, 100.0 * len(hits) / max(1, len(tokens))
+        return math.log1p(total), largest, 100.0 * matches / max(1, len(tokens))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic: int, clean: int) -> DataFrame:
     known = labels.where("toxic is not null").select(F.col(id_col), F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    draw = F.abs(F.xxhash64(id_col, F.lit("toxic"))) % 1_000_000
+    draw = F.pmod(F.xxhash64(id_col, F.lit("toxic")), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, int(1e6 * min(1.0, toxic / max(1, sizes.get(1, 0)))) + 1).otherwise(int(1e6 * min(1.0, clean / max(1, sizes.get(0, 0)))) + 1)
     return staged(docs.join(F.broadcast(known.where(draw < share)), id_col).select("toxic", "text"), "labelled")
 
 
+def _odds(p: Column, n: Column, pos: int, neg: int) -> Column:
+    return F.log((p + 0.5) / (pos + 1.0)) - F.log((n + 0.5) / (neg + 1.0))
+
+
+def _longer(n: int):
+    return lambda x: F.length(x) >= n
+
+
+def _beginning(n: int):
+    return lambda x: F.concat(F.substring(x, 1, n), F.lit("*"))
+
+
+def _counts(sample: DataFrame, pos: int, neg: int) -> DataFrame:
+    """Words and word beginnings (g) with the numbers of toxic (p) and clean (n) texts that hold them, the same for texts that hold
+    them in a clause without a target (p0, n0), and the log-odds x, x0 of both."""
+    clauses = sample.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.split(F.lower("text"), r"[.!?;:\n]")).alias("c"))
+    words = clauses.select("toxic", "row", F.regexp_extract_all("c", F.lit(r"(\p{L}+(?:'\p{L}+)?)"), F.lit(1)).alias("w"))
+    words = words.select("toxic", "row", F.array_distinct("w").alias("w"), F.arrays_overlap("w", F.array(*[F.lit(t) for t in sorted(TARGETS)])).alias("t"))
+    begun = [F.transform(F.filter("w", _longer(n)), _beginning(n)) for n in STEMS]
+    grams = words.select("toxic", "row", "t", F.explode(F.array_distinct(F.concat("w", *begun))).alias("g"))
+    texts = grams.groupBy("row", "toxic", "g").agg(F.max((~F.col("t")).cast("int")).alias("free"))
+    toxic, clean, free = F.col("toxic"), 1 - F.col("toxic"), F.col("free")
+    found = texts.groupBy("g").agg(F.sum(toxic).alias("p"), F.sum(clean).alias("n"), F.sum(toxic * free).alias("p0"), F.sum(clean * free).alias("n0"))
+    return found.withColumn("x", _odds(F.col("p"), F.col("n"), pos, neg)).withColumn("x0", _odds(F.col("p0"), F.col("n0"), pos, neg))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 3000, clean_rows: int = 6000, least_rows: int = 5, least_share: float = 0.01, least_odds: float = 3.0) -> dict:
     """Lexicon and calibration from labelled rows (id_col, toxic) joined to docs (id_col, text).
 
     The fit uses a sample of about toxic_rows toxic and clean_rows clean rows, chosen by the hash of the id (a bound in
-    expectation, which also bounds the broadcast of the sampled ids); its texts are staged once. Words and word beginnings enter the lexicon with the log-odds of the documents that hold them when
-    least_share of the toxic rows (least_rows at least) hold them and the log-odds reach least_odds. Of nested
-    beginnings the longest that still covers 95 % of the shorter one's rows stays. The calibration is a logistic
+    expectation, which also bounds the broadcast of the sampled ids); its texts are staged once. Words and word beginnings
+    enter the lexicon with the log-odds of the documents that hold them when least_share of the toxic rows (least_rows at least)
+    hold them and the log-odds reach least_odds. A word that tells a toxic text only beside a target is a threat: least_rows texts
+    hold it in a clause without one, and by those alone its log-odds are below half of least_odds, while with a target in the clause they
+    reach least_odds. All others are insults. Of nested beginnings the longest that still covers 95 % of the shorter
+    one's rows stays. Seed words whose log-odds are not positive leave the lexicon. The calibration is a logistic
     regression of the label on the grammar's three features over the same sample.
+
+    Null texts and labels teach nothing; empty texts count as texts without words; rows of equal ids and labels count as often as
+    docs holds the id; without rows of both labels the seeds and a fixed calibration are the model. Other columns are ignored.
     """
     sample = _sample(docs.select(id_col, "text").where("text is not null"), labels, id_col, toxic_rows, clean_rows)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    lexicon = {w: 2.0 for w in INSULTS}
+    seeds = dict.fromkeys(INSULTS, "insult") | dict.fromkeys(THREATS, "threat")
+    lexicon = {w: (kind, SEED_WEIGHT[kind]) for w, kind in seeds.items()}
     if pos and neg:
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-        begun = [F.transform(F.filter("w", lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.concat(F.substring(x, 1, n), F.lit("*"))) for n in STEMS]
-        grams = sample.select("toxic", words.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat("w", *begun))).alias("g"))
-        odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
-        counts = grams.groupBy("g").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).where(F.col("p") >= max(least_rows, least_share * pos)).withColumn("x", odds)
-        found = {r["g"]: r for r in counts.where((F.col("x") >= least_odds) | F.col("g").isin(*INSULTS, *THREATS)).collect()}
-        stems = {g[:-1]: r for g, r in found.items() if g.endswith("*") and r["x"] >= least_odds}
-        kept: dict[str, float] = {}
+        counts = _counts(sample, pos, neg).withColumn("x1", _odds(F.col("p") - F.col("p0"), F.col("n") - F.col("n0"), pos, neg))
+        threat = (F.col("p0") + F.col("n0") >= least_rows) & (F.col("x0") < least_odds / 2) & (F.col("x1") >= least_odds)
+        counts = counts.withColumn("threat", threat).withColumn("weight", F.when(F.col("threat"), F.col("x1")).otherwise(F.col("x")))
+        rows = counts.where((F.col("p") >= max(least_rows, least_share * pos)) & (F.col("weight") >= least_odds) | F.col("g").isin(*seeds)).collect()
+        told = {r["g"]: r for r in rows if r["weight"] >= least_odds and r["p"] >= max(least_rows, least_share * pos)}
+        stems = {g[:-1]: r for g, r in told.items() if g.endswith("*")}
+        kept: dict[str, tuple[str, float]] = {}
+        kind = lambda r: "threat" if r["threat"] else "insult"
         for s in sorted(stems, key=lambda s: (len(s), s)):
             if any(s.startswith(k) for k in kept) or any(t != s and t.startswith(s) and stems[t]["p"] >= 0.95 * stems[s]["p"] for t in stems):
                 continue
-            kept[s] = stems[s]["x"]
-        lexicon |= {g: r["x"] for g, r in found.items() if not g.endswith("*") and r["x"] > 0 and not any(g.startswith(k) for k in kept)} | {f"{s}*": x for s, x in kept.items()}
-        lexicon = {w: x for w, x in lexicon.items() if w not in found or found[w]["x"] > 0}
+            kept[s] = (kind(stems[s]), stems[s]["weight"])
+        for r in rows:
+            if r["g"] in seeds and r["weight"] <= 0:
+                del lexicon[r["g"]]
+            elif r["g"] in seeds:
+                lexicon[r["g"]] = (seeds[r["g"]], max(r["weight"], SEED_WEIGHT[seeds[r["g"]]]))
+        lexicon |= {g: (kind(r), r["weight"]) for g, r in told.items() if g not in seeds and not g.endswith("*") and not any(g.startswith(k) for k in kept)}
+        lexicon |= {f"{s}*": x for s, x in kept.items()}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)

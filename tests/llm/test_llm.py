@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -70,6 +71,8 @@ def test_training_order_and_shards(spark, odd, none, tmp_path):
         ids = coder.sp.encode(r[1] or "", add_bos=True, add_eos=True)
         want.update((r[0], k // 16, tuple(ids[k:k + 16])) for k in range(0, len(ids), 16))
     assert Counter((r["doc_id"], r["seq"], tuple(np.frombuffer(r["record"], "<u2")[: r["n_tokens"]].tolist())) for r in got) == want
+    key = lambda df: sorted(tuple(r) for r in shards.training_order(df, model(), length=16, per_shard=100).select("slot", "shard", "offset", "seq", "record").collect())
+    assert key(odd.repartition(7).orderBy("text")) == sorted(tuple(r[c] for c in ("slot", "shard", "offset", "seq", "record")) for r in got)
     written = shards.write_shards(rows, f"file://{tmp_path}/s").orderBy("shard").collect()
     assert sum(w["sequences"] for w in written) == len(got) and sorted(os.listdir(f"{tmp_path}/s")) == [f"shard-{w['shard']:08d}.bin" for w in written]
     for r in got[::37]:
@@ -140,7 +143,7 @@ def test_pieces_equal_the_library(spark, odd, none, docs):
     rows = pieces.encode_pieces(df, model(), id_cols=("k",)).collect()
     assert len(rows) == len(texts)
     check_pieces(rows, texts)
-    assert pieces.encode_pieces(none, model()).count() == 0 and pieces.encode_pieces(odd, model(), digests=True).count() == len(ODD)
+    assert pieces.encode_pieces(none, model()).count() == 0 and pieces.encode_pieces(odd, model(), outputs=("ids_sha256", "spans_sha256")).count() == len(ODD)
 
 
 def test_character_map_against_the_library():
@@ -235,13 +238,37 @@ def components(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def brute_simhash(t, size=4, distinct=False):
+def mixed(h, draw):
+    h = (h + 0x9E3779B97F4A7C15 * draw) % 2**64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def brute_simhash(t, size=4, distinct=False, draw=0):
     ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     sh = [" ".join(ws[i:i + size]) for i in range(max(1, len(ws) - size + 1))] if ws else []
     hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in (set(sh) if distinct else sh)]
+    hs = [mixed(h, draw) for h in hs] if draw else hs
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def brute_near(texts, bits, limit, draws):
+    """Roots of the documents, the pairs of likeness 0.8 or more, and how many of these the roots hold: all pairs of texts are looked at."""
+    lower = [(t or "").translate({c: c + 32 for c in range(65, 91)}) for t in texts]
+    sets = [{tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if (ws := re.findall(r"[^\x20\x09-\x0D]+", t)) else set() for t in lower]
+    fps = [np.array([brute_simhash(t, 1, True, k) for t in texts], np.uint64) for k in range(draws)]
+    last = np.array([brute_simhash(t, 5) for t in texts], np.uint64)
+    off = lambda x: np.bitwise_count(x[:, None] ^ x[None, :])
+    close = off(last) <= limit
+    pairs = lambda near: list(zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1)))))
+    first = np.array(components(len(texts), pairs(np.logical_or.reduce([off(f) <= bits for f in fps]) & close)))
+    like = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    root = components(len(texts), [(a, b) for a, b in pairs((first[:, None] == first[None, :]) & close) if like(sets[a], sets[b])])
+    exact = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) - 1e-9 and like(sets[a], sets[b])]
+    return root, exact, sum(root[a] == root[b] for a, b in exact)
+
+
 def test_simhash_matches_brute_force(spark, odd, none, docs):
     for table in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), docs):
         rows = table.select("doc_id", "text").orderBy("doc_id").collect()
@@ -265,25 +292,16 @@ def test_links_are_verified_by_exact_likeness(spark, monkeypatch):
                 ws[at] = f"{ws[at]}x"
             rows.append((len(rows), " ".join(ws)))
     rows += [(len(rows), None), (len(rows) + 1, ""), (5, "same id, another text")]
-    sets = [{tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if (ws := (t or "").split()) else set() for _, t in rows]
-    near = True
-    for size, distinct, bits in ((1, True, 7), (5, False, 14)):
-        fp = np.array([brute_simhash(t, size, distinct) for _, t in rows], np.uint64)
-        near = near & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits)
-    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    loose = list(zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1)))))
-    exact = [(a, b) for a, b in loose if like(sets[a], sets[b])]
-    assert len(exact) < len(loose) - 10
-    def least(root):
-        ids = defaultdict(set)
-        for k, r in enumerate(root):
-            ids[r].add(rows[k][0])
-        return Counter((rows[k][0], min(ids[r])) for k, r in enumerate(root))
-    want = least(components(len(rows), exact))
+    root, exact, held = brute_near([t for _, t in rows], 5, 16, 3)
+    assert held >= 0.9 * len(exact)
+    ids = defaultdict(set)
+    for k, r in enumerate(root):
+        ids[r].add(rows[k][0])
+    want = Counter((rows[k][0], min(ids[r])) for k, r in enumerate(root))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for chunk in (1024, 3):
         monkeypatch.setattr(simhash.verified_links, "__defaults__", (chunk, 1 << 20))
-        got = simhash.near_duplicates(df, 1, 7, (5, 14), likeness=0.8).collect()
+        got = simhash.near_duplicates(df, 1, 5, (5, 16), likeness=0.8, draws=3).collect()
         assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
 
 
@@ -334,7 +352,39 @@ def test_vectors_match_brute_force(spark):
 
 # --- 8, 9 ----------------------------------------------------------------------------------------------------------
 
-def test_language(spark, odd, none, sf_dir):
+def brute_bundle(t, dims, letters):
+    codes = []
+    for ch in (t or "").lower():
+        codes += [ord(ch) if ord(ch) < 0x250 else 0x250 + ord(ch) % 1024] if ch.isalpha() else [0] if codes and codes[-1] else []
+    if not codes:
+        return None
+    codes = [0] + codes + [0]
+    total = np.zeros(dims)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        total += np.roll(letters[a], 2).astype(int) * np.roll(letters[b], 1) * letters[c]
+    return total / (np.linalg.norm(total) or 1)
+
+
+def brute_langid(rows, learned, dims=512):
+    """{id: (language, cosine)} of (id, text) rows; learned holds (text, lang)."""
+    letters = np.random.default_rng(7).integers(0, 2, (0x250 + 1024, dims), np.int8) * 2 - 1
+    sums = {}
+    for t, lang in learned:
+        if lang is not None and t is not None and (v := brute_bundle(t, dims, letters)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    units = {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items())}
+    out = {}
+    for i, t in rows:
+        v = brute_bundle(t, dims, letters)
+        out[i] = ("und", 0.0) if v is None or not units else max(((lang, float(u @ v)) for lang, u in units.items()), key=lambda x: x[1])
+    return {i: (lang, min(1.0, max(0.0, x))) for i, (lang, x) in out.items()}
+
+
+def fold(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_language(spark, odd, none, docs, sf_dir):
     rows = queries.op8_langid(spark, sf_dir.replace("sf0.001", "sf0.01")).join(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
     p = langid.learn_profiles(odd)
@@ -344,6 +394,63 @@ def test_language(spark, odd, none, sf_dir):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.learn_profiles(none)).collect()} == {"und"} and langid.identify(none, p).count() == 0
 
 
+def test_language_against_brute_force(spark, docs, sf_dir):
+    given = docs.select("doc_id", "text", "lang").collect()
+    want = brute_langid([(r["doc_id"], r["text"]) for r in given], [(r["text"], r["lang"]) for r in given if fold(r["doc_id"], 3) != 1])
+    got = queries.op8_langid(spark, sf_dir).collect()
+    assert len(got) == len(given)
+    for r in got:
+        assert r["held_out"] == (fold(r["doc_id"], 3) == 1) and (r["lang_pred"], pytest.approx(r["score"], abs=1e-4)) == want[r["doc_id"]]
+
+
+def brute_clause(words, lexicon):
+    """Score of a clause, weight by weight: no transducers."""
+    total, since, reported = 0.0, 9, False
+    aimed = any(w in toxicity.TARGETS for w in words if w not in lexicon)
+    for w in words:
+        if w in lexicon:
+            kind, weight = lexicon[w]
+            x = weight * (1.5 if aimed else 1.0 if kind == "insult" else 0.0)
+            x *= 1.0 if since >= 2 else 0.4 if kind == "insult" else 0.2
+            total += x * (1.0 if not reported else 0.6 if kind == "insult" else 0.4)
+            since = 9
+        elif w in toxicity.TARGETS:
+            since += 1
+        elif w in toxicity.NEGATIONS:
+            since = 0
+        elif w in toxicity.REPORTS:
+            reported = True
+        else:
+            since += 1
+    return total
+
+
+def brute_features(t, lexicon):
+    """Features of a text with a lexicon of whole words and beginnings."""
+    words = {}
+    def look(w):
+        if w not in words:
+            found = [lexicon[k] for k in [w] + [w[:n] + "*" for n in range(4, 9) if len(w) >= n] if k in lexicon]
+            words[w] = max(found, key=lambda x: x[1], default=None)
+        return words[w]
+    tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]", (t or "").lower())
+    clauses = [[]]
+    for w in tokens:
+        if w in ".!?;:\n":
+            clauses.append([])
+        else:
+            clauses[-1].append(w)
+    scores = [brute_clause(c, {w: look(w) for w in c if look(w)}) for c in clauses]
+    aimed = lambda c: any(w in toxicity.TARGETS for w in c if not look(w))
+    matches = sum(look(w)[0] == "insult" or aimed(c) for c in clauses for w in c if look(w))
+    return np.log1p(sum(scores)), max(scores), 100 * matches / max(1, len(tokens))
+
+
+def brute_toxic(t, model):
+    w = model["weights"]
+    return 1 / (1 + np.exp(-np.clip(w[0] + np.dot(w[1:], brute_features(t, model["lexicon"])), -30, 30)))
+
+
 def test_toxicity(spark, odd, none, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.01")
     rows = queries.op9_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
@@ -353,21 +460,59 @@ def test_toxicity(spark, odd, none, sf_dir):
     assert toxicity.score_toxicity(odd, empty).where("predicted = 1").count() == 0 and toxicity.score_toxicity(none, empty).count() == 0
 
 
+def test_toxicity_against_brute_force(spark, docs, sf_dir):
+    model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = queries.op9_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["held_out"] == (fold(r["doc_id"], 5) == 0) and r["score"] == pytest.approx(brute_toxic(texts[r["doc_id"]], model)) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_grammar_against_brute_force():
+    rng = np.random.default_rng(3)
+    lexicon = {"idiot": ("insult", 2.0), "kill": ("threat", 1.5), "clow*": ("insult", 1.0), "clowns": ("threat", 3.0)}
+    every = ["idiot", "kill", "clown", "clowns", "you", "them", "not", "never", "said", "the", "process", "a", "now", ".", "!"]
+    g = toxicity.Grammar(lexicon)
+    for _ in range(400):
+        t = " ".join(rng.choice(every, int(rng.integers(0, 25))))
+        assert g.features(t) == pytest.approx(brute_features(t, lexicon))
+
+
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot": 2.0, "scumm*": 3.0})
+    g = toxicity.Grammar({"idiot": ("insult", 2.0), "scumm*": ("insult", 3.0), "kill": ("threat", 1.5)})
     score = lambda t: g.features(t)[1]
-    assert score("you idiot") > score("idiot here") > score("not an idiot") > 0 == score("nothing here")
-    assert score("he said some idiot came") < score("some idiot came") and score("Scummery") == 3.0
+    assert score("you idiot") == score("idiot like you") > score("idiot here") > score("not an idiot") > 0 == score("nothing here")
+    assert score("he said some idiot came") < score("some idiot came he said") and score("Scummery") == 3.0
     assert score("kill the process") == 0 < score("I will make you pay and kill you") and g.features("")[:2] == (0, 0)
 
 
 def test_threats_wait_for_a_target():
-    g = toxicity.Grammar({})
+    g = toxicity.Grammar({"kill": ("threat", 1.5)})
     score = lambda t: g.features(t)[1]
     assert score("I will kill you") == score("you I will kill") == score("kill them all") > score("I will not kill you") > 0
     assert score("kill the process") == score("kill the process. you can") == 0 < score("he said I will kill you") < score("I will kill you now, he said")
 
 
+def test_threats_and_insults_are_learned(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    def add(t, toxic):
+        labels.append((len(rows), toxic))
+        rows.append((len(rows), f"{' '.join(rng.choice(WORDS, 12))}. {t}. {' '.join(rng.choice(WORDS, 5))}"))
+    for k in range(60):
+        add("we shall smash you", 1)
+        add("such a blorp", 1)
+        add(f"please smash the {WORDS[k % 9]}", 0)
+        add("you are kind", 0)
+        add("kill the process and kill them both", 0)
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    g = toxicity.Grammar(model["lexicon"])
+    assert g.symbol("smash")[0] == "threat" and g.symbol("blorp")[0] == "insult" and g.symbol("kill") is None and g.symbol("alpha") is None
+    scored = toxicity.score_toxicity(spark.createDataFrame([(0, "they will smash you"), (1, "smash the pot"), (2, "no text"), (3, "what a blorp")], "doc_id long, text string"), model).collect()
+    assert [r["predicted"] for r in sorted(scored)] == [1, 0, 0, 1]
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 def test_urls(spark, sf_dir):
@@ -392,33 +537,66 @@ def test_urls(spark, sf_dir):
 
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
+def brute_copies(rows):
+    """How often the mix takes each (id, text, source) row: word by word budgets in the order of the keys."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for k, (i, t, source) in enumerate(rows):
+        h = xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
+        name = f"{{{'null' if i is None else i}, {h - 2**64 if h >= 2**63 else h}}}"
+        by[source].append((int(hashlib.md5(f"mix-{name}".encode()).hexdigest()[:15], 16), k, size(t)))
+    order = sorted(s for s in by if s is not None) + [None] * (None in by)
+    weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {s: sum(x[2] for x in by[s]) for s in by}
+    left, active, target = 1.5 * sum(total.values()), set(order), {}
+    while active:
+        level = left / sum(weight[s] for s in active)
+        full = {s for s in active if 2 * total[s] <= level * weight[s]}
+        target |= {s: 2.0 * total[s] for s in full} if full else {s: level * weight[s] for s in active}
+        left, active = left - sum(2 * total[s] for s in full), active - full if full else set()
+    copies = {}
+    for s, found in by.items():
+        left = int(target[s])
+        while left > 0 and total[s]:
+            for _, k, n in sorted(found):
+                if left > 0 and n:
+                    copies[k] = copies.get(k, 0) + 1
+                left -= n
+    return copies
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = now.select("doc_id", "text", "source").collect()
-        now = corpus_pipeline.staged(stage(spark, now, sf_dir), name)
+        given = now
+        before = given.select("doc_id", "text", "source", "lang").orderBy("doc_id").collect()
+        now = corpus_pipeline.staged(stage(spark, given, sf_dir), name)
         assert now.columns == docs.columns
         after = Counter(r["doc_id"] for r in now.collect())
-        assert set(after) <= {r["doc_id"] for r in before}
+        if name == "language":
+            want = brute_langid([(r["doc_id"], r["text"]) for r in before], [(r["text"], r["lang"]) for r in before if fold(r["doc_id"], 3) != 1])
+            assert after == Counter(i for i, (lang, x) in want.items() if lang != "und" and x >= corpus_pipeline.LEAST_LANGUAGE)
+        if name == "toxicity":
+            model = queries.toxicity_model(given, labels)
+            assert after == Counter(r["doc_id"] for r in before if brute_toxic(r["text"], model) < 0.5)
         if name == "near_dedup":
-            order = sorted(range(len(before)), key=lambda k: before[k]["doc_id"])
-            near = True
-            for size, distinct, bits in ((1, True, corpus_pipeline.WORD_BITS), (corpus_pipeline.SHINGLE, False, corpus_pipeline.SHINGLE_BITS)):
-                fp = np.array([brute_simhash(before[k]["text"], size, distinct) for k in order], np.uint64)
-                near = near & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits)
-            a, b = np.nonzero(np.triu(near, 1))
-            root = components(len(order), zip(a.tolist(), b.tolist()))
-            assert set(after) == {before[order[r]]["doc_id"] for r in root} and set(after.values()) == {1}
+            root, exact, held = brute_near([r["text"] for r in before], corpus_pipeline.WORD_BITS, corpus_pipeline.SHINGLE_BITS, corpus_pipeline.DRAWS)
+            assert after == Counter(before[k]["doc_id"] for k in set(root)) and held >= 0.9 * len(exact)
         if name == "mix":
-            taken = mixing.mix_sources(spark.createDataFrame(before, "doc_id long, text string, source string")).collect()
-            assert len(after) > 0.9 * len(taken) and max(after.values()) == 2
+            assert after == Counter({before[k]["doc_id"]: n for k, n in brute_copies([(r["doc_id"], r["text"], r["source"]) for r in before]).items()})
     final = corpus_pipeline.run(spark, sf_dir).collect()
-    sp = pieces.PieceCoder(model()).sp
+    sp = pieces.PieceCoder(queries.tokenizer_path("piece_bpe_32k.model")).sp
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert Counter(r["doc_id"] for r in final) == after
     for r in final:
-        assert r["ids_sha256"] == hashlib.sha256(np.array(sp.encode(texts[r["doc_id"]], add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()
+        ids = sp.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+#: Columns of the operators and of the stages themselves.
+CLASHES = ["score", "lang_pred", "predicted", "copies", "_id", "_hash", "_epoch", "key", "rest", "size", "taken", "fp", "node", "component_id", "_text", "target"]
 
 
 @pytest.mark.parametrize("name", ["language", "toxicity", "near_dedup", "mix", "encode"])
@@ -426,6 +604,10 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, sf_dir, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     given = odd.select(*none.columns)
     assert stage(spark, given, sf_dir).count() <= 2 * len(ODD) and stage(spark, none, sf_dir).count() == 0
+    plain = Counter(tuple(r) for r in stage(spark, given, sf_dir).collect())
+    wide = stage(spark, given.select("*", *[F.lit(-7.5).alias(c) for c in CLASHES]), sf_dir)
+    assert Counter(tuple(r)[:len(r) - (0 if name == "encode" else len(CLASHES))] for r in wide.collect()) == plain
+    assert name == "encode" or (wide.columns == given.columns + CLASHES and {tuple(r[c] for c in CLASHES) for r in wide.collect()} == {(-7.5,) * len(CLASHES)})
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
