@@ -46,13 +46,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return sums.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", rows_per_bucket: int = 2_000,
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: str = "mix", rows_per_bucket: int = 2_000, spans: int = 1_000,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every row of docs with size, source_size, target, taken (words) and copies (whole repeats, the cut one counted).
 
     A source's documents are laid out in the order of hash-random keys. Key ranges (buckets) of about rows_per_bucket
-    rows of the largest source are summed first, and prefix sums over the bucket totals give every bucket its start; a
-    window within (source, bucket) gives each document's start. So a source with a third of all rows is spread over as
+    rows of the largest source are summed first, and prefix sums over the totals of runs of `spans` buckets, then over the buckets
+    of a run, give every bucket its start; a window within (source, bucket) gives each document's start. So a source with a third of all rows is spread over as
     many tasks as it has buckets. Full epochs repeat every document; the rest of the budget is cut at its exact word
     inside the document where it ends. Only narrow columns are staged and shuffled; the texts stay with
     the rows that the caller joins by id, and are read once.
@@ -66,8 +66,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     rows = staged(rows.withColumn("_bucket", F.expr(f"_key div {width}")), "sizes")
     totals = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
-    earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    totals = totals.withColumn("_span", F.expr(f"_bucket div {spans}"))
+    earlier = W.partitionBy("source").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "_span").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    spanned = totals.groupBy("source", "_span").agg(F.sum("_sum").alias("_sum")).select(F.col("source").alias("_s"), F.col("_span").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_sum").over(within), F.lit(0))).join(spanned, F.expr("source <=> _s and _span = _at"))
+    starts = starts.select("source", "_bucket", (F.col("_base") + F.col("_start")).alias("_start"))
     starts = starts.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select(F.col("s.source").alias("b_source"), F.col("_bucket").alias("b_bucket"), "_start", "source_size", "target")
     inside = W.partitionBy("source", "_bucket").orderBy("_key", id_col, "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))

@@ -72,8 +72,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     """The license query in SQL: every window against every template, without an index."""
-    step = max(len(t.split()) for t, _ in licenses.TEMPLATES)
-    words = ", ".join(f"({k}, '{label}', {len(set(t.split()))}, '{w}')" for k, (t, label) in enumerate(licenses.TEMPLATES) for w in sorted(set(t.split())))
+    cut = [(k, licenses.template_words(t), label) for k, (t, label) in enumerate(licenses.TEMPLATES)]
+    words = ", ".join(f"({k}, '{label}', {len(t)}, {len(set(t))}, '{w}')" for k, t, label in cut for w in sorted(set(t)))
     places = " UNION ALL ".join(
         f"SELECT rid, i, '{label}' AS label FROM seq WHERE " + " AND ".join(f"w{j} = '{w}'" for j, w in enumerate(p.split())) for p, label in licenses.PHRASES)
     longest = max(len(p.split()) for p, _ in licenses.PHRASES)
@@ -84,9 +84,9 @@ x AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
 seq AS (SELECT rid, i, {leads} FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
 places AS ({places}),
 base AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS ls FROM places GROUP BY rid),
-t(id, label, size, word) AS (VALUES {words}),
-blk AS (SELECT DISTINCT rid, i // {step} - k AS b, word FROM x, (VALUES (0), (1)) v(k) WHERE i // {step} - k >= 0 AND word IN (SELECT word FROM t)),
-share AS (SELECT rid, label, count(*)::DOUBLE / size AS s FROM blk JOIN t USING (word) GROUP BY rid, b, id, label, size HAVING count(*)::DOUBLE / size >= {licenses.THRESHOLD} - 1e-9),
+t(id, label, step, size, word) AS (VALUES {words}),
+blk AS (SELECT DISTINCT rid, id, label, size, i // step - k AS b, word FROM x JOIN t USING (word), (VALUES (0), (1)) v(k) WHERE i // step - k >= 0),
+share AS (SELECT rid, label, count(*)::DOUBLE / size AS s FROM blk GROUP BY rid, b, id, label, size HAVING count(*)::DOUBLE / size >= {licenses.THRESHOLD} - 1e-9),
 hit AS (SELECT rid, list(DISTINCT label) AS ls, max(s) AS s FROM share GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
        coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.llm.ranges import id_ranges, range_of
+
 GAP = r"[\x20\x09-\x0D]+"
 EMPTY = "array<struct<hash:bigint,pos:int>>"
 
@@ -66,44 +68,33 @@ def digest(prints: str) -> Column:
     return F.sha2(F.array_join(F.transform(prints, lambda p: F.concat_ws("@", p["hash"].cast("string"), p["pos"].cast("string"))), ","), 256)
 
 
-def bucket_of(id_col: str, bounds: list[int]) -> Column:
-    """Number of bounds not above the id, by binary search in a literal array; null ids come last."""
-    steps = [1 << j for j in range(max(1, len(bounds)).bit_length() - 1, -1, -1)]
-    table = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) <= F.col(id_col)), at + s).otherwise(at))
-    return F.when(F.col(id_col).isNull(), len(bounds) + 1).otherwise(found)
-
-
 def compare_neighbours(docs: DataFrame, k: int = 5, window: int = 4, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its prints, those of its edited text, and both likenesses.
 
     The edited text is the text whose last floor(n / 2) code points are replaced by as many (or all) first ones of the
-    next document by ascending id; the first follows the last. Rows are dealt to id ranges cut at quantiles (four
-    ranges for each shuffle partition unless buckets says otherwise), so the texts are shuffled once and no range outgrows
-    its task; the next document of a range's last row is the first of the next range, looked up in a table of one row
-    a range, whose ids (bounded by the number of ranges) are broadcast. Columns: id, n_chars, edited_sha256, prints,
-    edited_prints, near_edited, near_next.
+    next document by ascending id; the first follows the last. Rows are dealt to ranges of (id, text hash) cut at quantiles of the id
+    (ranges.id_ranges; buckets sets their number), so the texts are shuffled once, ranges grow in number with the input, and an
+    id (or null) that many rows share is spread over several; the next document of a range's last row is the first of the next range,
+    looked up in a table of one row a range, whose ids (bounded by the number of ranges) are broadcast. Columns: id,
+    n_chars, edited_sha256, prints, edited_prints, near_edited, near_next.
 
     Null texts are empty. Rows with null ids come last; rows with equal ids are ordered by their text's hash. A single
     row follows itself. Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    count = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [j / count for j in range(1, count)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(F.col(id_col).cast("long"), cuts, max(10_000, 20 * count)).alias("b")).first()["b"] or [])) if cuts else []
-    base = base.select("*", F.xxhash64("text").alias("_h"), bucket_of(id_col, bounds).alias("_bucket"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bounds, nulls = id_ranges(docs, id_col, ranges=buckets)
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("text"), F.xxhash64(text).alias("_h"), range_of(F.col(id_col), F.xxhash64(text), bounds, nulls).alias("_bucket"))
 
     order = W.partitionBy("_bucket").orderBy(F.col(id_col).asc_nulls_last(), "_h")
     rows = base.withColumn("next_text", F.lead("text").over(order))
     rows = with_fingerprint(rows, "text", "prints", k, window)
     rows = rows.withColumn("next_prints", F.lead("prints").over(order))
 
-    firsts = docs.select(F.col(id_col).cast("long").alias(id_col), bucket_of(id_col, bounds).alias("_bucket")).groupBy("_bucket").agg(F.min(id_col).alias("_id"))
+    firsts = base.groupBy("_bucket").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_h")).alias("_f"))
     around = W.orderBy("_bucket")
-    after = F.coalesce(F.lead(F.struct("_bucket", "_id")).over(around), F.first(F.struct("_bucket", "_id")).over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    follows = firsts.select("_bucket", after.alias("_n")).select(F.col("_bucket").alias("_of"), F.col("_n._bucket").alias("_in"), F.col("_n._id").alias("_id"))
-    heads = base.join(F.broadcast(follows), (F.col("_bucket") == F.col("_in")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    after = F.coalesce(F.lead(F.struct("_bucket", "_f")).over(around), F.first(F.struct("_bucket", "_f")).over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    follows = firsts.select(F.col("_bucket").alias("_of"), after.alias("_n")).select("_of", F.col("_n._bucket").alias("_in"), F.col(f"_n._f.{id_col}").alias("_id"), F.col("_n._f._h").alias("_first"))
+    heads = base.join(F.broadcast(follows), (F.col("_bucket") == F.col("_in")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first")))
     heads = heads.groupBy("_of").agg(F.min(F.struct("_h", "text"))["text"].alias("head_text"))
     heads = with_fingerprint(heads, "head_text", "head_prints", k, window)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import embeddings, langid, licenses, mixing, pieces, queries, shards, simhash, toxicity, url_rules, winnow
+from strandline.llm import embeddings, langid, licenses, mixing, pieces, queries, ranges, shards, simhash, toxicity, url_rules, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -124,6 +124,16 @@ def test_neighbours(spark, odd, none, buckets):
     assert a[1] == 1.0 and a[2] == 0.0
 
 
+def test_hot_ids_are_spread_in_order(spark):
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, f"t{k}") for k in range(900)]
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("h", F.xxhash64("t"))
+    bounds, nulls = ranges.id_ranges(df, "i", ranges=12)
+    got = [(r["i"] is None, r["i"] or 0, r["h"], r["r"]) for r in df.withColumn("r", ranges.range_of(F.col("i"), F.col("h"), bounds, nulls)).collect()]
+    numbers = [x[3] for x in sorted(got)]
+    assert numbers == sorted(numbers) and max(Counter(numbers).values()) < 200
+    assert ranges.id_ranges(df.limit(0), "i")[0] == [] and ranges.id_ranges(df.where("i is null"), "i", ranges=4) == ([], 4)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 def check_pieces(rows, texts):
@@ -173,12 +183,12 @@ def brute_licenses(t, threshold=licenses.THRESHOLD):
         at = [i for i in range(len(ws) - n + 1) if ws[i:i + n] == p.split()]
         places += at
         labels |= {label} if at else set()
-    step, more, top = max(len(t.split()) for t, _ in licenses.TEMPLATES), set(), 0.0
-    for s in range(0, max(1, len(ws)), step):
-        block = set(ws[s:s + 2 * step])
-        for t_, label in licenses.TEMPLATES:
-            want = set(t_.split())
-            share = len(block & want) / len(want)
+    more, top = set(), 0.0
+    for t_, label in licenses.TEMPLATES:
+        want = re.findall(r"[a-z0-9]+", t_.lower())
+        step, want = len(want), set(want)
+        for s in range(0, max(1, len(ws)), step):
+            share = len(set(ws[s:s + 2 * step]) & want) / len(want)
             if share >= threshold - 1e-9:
                 more.add(label)
                 top = max(top, share)
@@ -187,7 +197,7 @@ def brute_licenses(t, threshold=licenses.THRESHOLD):
 
 def test_licenses_match_brute_force(spark, odd, none, docs):
     full = " ".join(t for t, _ in licenses.TEMPLATES)
-    made = [(100 + k, x, "en", "a", 1) for k, x in enumerate([full, full.upper(), "the mit license mit license", "x " * 500 + full, "free of charge and permission granted", "Licensed under CC BY-NC 4.0.", "general public\nlicense", "released under the GNU license", "this work is licensed under the gnu general public license version"])]
+    made = [(100 + k, x, "en", "a", 1) for k, x in enumerate([full, full.upper(), "the mit license mit license", "x " * 500 + full, "free of charge and permission granted", "Licensed under CC BY-NC 4.0.", "general public\nlicense", "released under the GNU license", "this work is licensed under the gnu general public license version", "released x x x x x under x x x x x the mit x x x x license", "x y " * 7 + licenses.TEMPLATES[2][0], licenses.TEMPLATES[12][0].replace("the", "its")])]
     for table in (odd, spark.createDataFrame(made, SCHEMA), docs):
         rows = table.select("doc_id", "text").collect()
         got = Counter(tuple(r)[:8] for r in licenses.scan_licenses(table).collect())
@@ -199,7 +209,7 @@ def test_licenses_match_brute_force(spark, odd, none, docs):
 
 def test_mix(spark, odd, none, docs):
     for table in (odd, docs, docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))):
-        rows = mixing.mix_sources(table, rows_per_bucket=7).collect()
+        rows = mixing.mix_sources(table, rows_per_bucket=7, spans=3).collect()
         assert len(rows) == table.count() and sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_sources(table, rows_per_bucket=10**6).collect()), key=repr)
         by = defaultdict(list)
         for r in rows:
