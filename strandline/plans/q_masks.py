@@ -214,11 +214,11 @@ edge AS (SELECT DISTINCT p.recording_id, p.frame, p.row_, p.col_ FROM (SELECT p.
   LEFT JOIN big q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b WHERE q.label IS NULL),
 cen AS (SELECT recording_id, frame, avg(row_) AS cy, avg(col_) AS cx FROM big GROUP BY ALL),
 polar AS (SELECT e.recording_id, e.frame, sqrt((row_ - cy) * (row_ - cy) + (col_ - cx) * (col_ - cx)) AS r,
-   ((floor((atan2(row_ - cy, col_ - cx) + pi() + pi() / 24 + 1e-9) / (pi() / 12))::INT % 24) + 24) % 24 AS sector FROM edge e JOIN cen c USING (recording_id, frame)),
+   ((floor((atan2(row_ - cy, col_ - cx) + pi() + pi() / 72 + 1e-9) / (pi() / 36))::INT % 72) + 72) % 72 AS sector FROM edge e JOIN cen c USING (recording_id, frame)),
 sect AS (SELECT recording_id, frame, sector, median(r) AS radius, count(*) AS n FROM polar GROUP BY ALL)
 """
 FILL = SECT + """,
-grid AS (SELECT recording_id, frame, unnest(range(0, 24))::INT AS sector FROM (SELECT DISTINCT recording_id, frame FROM sect) f),
+grid AS (SELECT recording_id, frame, unnest(range(0, 72))::INT AS sector FROM (SELECT DISTINCT recording_id, frame FROM sect) f),
 sp AS (SELECT g.*, s.radius, count(s.radius) OVER (PARTITION BY recording_id, frame) AS k,
   last_value(CASE WHEN s.radius IS NOT NULL THEN sector END IGNORE NULLS) OVER b AS s0, last_value(s.radius IGNORE NULLS) OVER b AS r0,
   first_value(CASE WHEN s.radius IS NOT NULL THEN sector END IGNORE NULLS) OVER a AS s1, first_value(s.radius IGNORE NULLS) OVER a AS r1
@@ -230,25 +230,25 @@ filled AS (SELECT recording_id, frame, sector, CASE WHEN radius IS NOT NULL THEN
 
 @query("polar_sectors", PX, ctes=SECT, sql="SELECT recording_id, frame, sector, round(radius, 6) AS radius, n FROM sect")
 def polar_sectors(px):
-    return rounded(E.polar_sectors(M.largest_component(px), 24), "radius")
+    return rounded(E.polar_sectors(M.largest_component(px), 72), "radius")
 
 
 @query("fill_sector_gaps", PX, ctes=FILL, sql="SELECT recording_id, frame, sector, round(radius, 6) AS radius FROM filled")
 def fill_sector_gaps(px):
-    return rounded(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 24), 24), "radius")
+    return rounded(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 72), 72), "radius")
 
 
 @query("smooth_sectors", PX, ctes=FILL + ",\nk(o, w) AS (VALUES (-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3))", sql="""SELECT f.recording_id, f.frame, f.sector, round(sum(g.radius * w / 35.0::DOUBLE), 6) AS radius
-FROM filled f CROSS JOIN k JOIN filled g ON g.recording_id = f.recording_id AND g.frame = f.frame AND g.sector = (f.sector + o + 24) % 24 GROUP BY ALL""")
+FROM filled f CROSS JOIN k JOIN filled g ON g.recording_id = f.recording_id AND g.frame = f.frame AND g.sector = (f.sector + o + 72) % 72 GROUP BY ALL""")
 def smooth_sectors(px):
-    return rounded(E.smooth_sectors(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 24), 24), 24), "radius")
+    return rounded(E.smooth_sectors(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 72), 72), 72), "radius")
 
 
 VELOCITY = SECT + """,
 pr AS (SELECT c.recording_id, c.frame AS pair, (c.cy + d.cy) / 2 AS my, (c.cx + d.cx) / 2 AS mx FROM cen c JOIN cen d ON d.recording_id = c.recording_id AND d.frame = c.frame + 1),
-sect2 AS (SELECT e.recording_id, p.pair, e.frame - p.pair AS side, ((floor((atan2(row_ - my, col_ - mx) + pi() + pi() / 24 + 1e-9) / (pi() / 12))::INT % 24) + 24) % 24 AS sector,
+sect2 AS (SELECT e.recording_id, p.pair, e.frame - p.pair AS side, ((floor((atan2(row_ - my, col_ - mx) + pi() + pi() / 72 + 1e-9) / (pi() / 36))::INT % 72) + 72) % 72 AS sector,
   median(sqrt((row_ - my) * (row_ - my) + (col_ - mx) * (col_ - mx))) AS radius FROM edge e JOIN pr p ON p.recording_id = e.recording_id AND (e.frame = p.pair OR e.frame = p.pair + 1) GROUP BY ALL),
-grid2 AS (SELECT *, unnest(range(0, 24))::INT AS sector FROM (SELECT DISTINCT recording_id, pair, side FROM sect2) f),
+grid2 AS (SELECT *, unnest(range(0, 72))::INT AS sector FROM (SELECT DISTINCT recording_id, pair, side FROM sect2) f),
 sp2 AS (SELECT g.*, s.radius, count(s.radius) OVER (PARTITION BY recording_id, pair, side) AS k,
   last_value(CASE WHEN s.radius IS NOT NULL THEN sector END IGNORE NULLS) OVER b AS s0, last_value(s.radius IGNORE NULLS) OVER b AS r0,
   first_value(CASE WHEN s.radius IS NOT NULL THEN sector END IGNORE NULLS) OVER a AS s1, first_value(s.radius IGNORE NULLS) OVER a AS r1
@@ -256,12 +256,12 @@ sp2 AS (SELECT g.*, s.radius, count(s.radius) OVER (PARTITION BY recording_id, p
   WINDOW b AS (PARTITION BY recording_id, pair, side ORDER BY sector ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY recording_id, pair, side ORDER BY sector ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 filled2 AS (SELECT recording_id, pair, side, sector, CASE WHEN radius IS NOT NULL THEN radius WHEN k <= 2 THEN NULL WHEN s0 IS NULL THEN r1 WHEN s1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * ((sector - s0)::DOUBLE / (s1 - s0)) END AS radius FROM sp2),
 k5(o, w) AS (VALUES (-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3)),
-smooth2 AS (SELECT recording_id, pair, side, (sector + o + 24) % 24 AS sector, sum(radius * w / 35.0::DOUBLE) AS radius FROM filled2 CROSS JOIN k5 GROUP BY ALL),
+smooth2 AS (SELECT recording_id, pair, side, (sector + o + 72) % 72 AS sector, sum(radius * w / 35.0::DOUBLE) AS radius FROM filled2 CROSS JOIN k5 GROUP BY ALL),
 vel AS (SELECT recording_id, pair AS frame, sector, (max(radius) FILTER (side = 1) - max(radius) FILTER (side = 0)) * 0.65::DOUBLE / 5 AS velocity FROM smooth2 GROUP BY ALL)
 """
 KYMO = VELOCITY + """,
 mf AS (SELECT recording_id, max(frame) AS m FROM big GROUP BY ALL),
-dense AS (SELECT s.recording_id, s.frame, sector, v.velocity FROM (SELECT recording_id, unnest(range(0, m))::INT AS frame FROM mf) s CROSS JOIN (SELECT unnest(range(0, 24))::INT AS sector) q LEFT JOIN vel v USING (recording_id, frame, sector)),
+dense AS (SELECT s.recording_id, s.frame, sector, v.velocity FROM (SELECT recording_id, unnest(range(0, m))::INT AS frame FROM mf) s CROSS JOIN (SELECT unnest(range(0, 72))::INT AS sector) q LEFT JOIN vel v USING (recording_id, frame, sector)),
 gk AS (SELECT j::INT AS o, exp(-0.5::DOUBLE * j * j) / (SELECT sum(exp(-0.5::DOUBLE * i * i)) FROM range(-4, 5) r(i)) AS w FROM range(-4, 5) t(j)),
 kymo AS (SELECT d.recording_id, d.frame, d.sector, CASE WHEN d.velocity IS NOT NULL THEN sum(coalesce(e.velocity, 0) * w) END AS velocity
   FROM dense d JOIN mf USING (recording_id) CROSS JOIN gk JOIN dense e ON e.recording_id = d.recording_id AND e.sector = d.sector
@@ -282,12 +282,12 @@ rg AS (SELECT j::INT AS o, exp(-0.5::DOUBLE * (j / 1.5::DOUBLE) * (j / 1.5::DOUB
 
 @query("edge_kymograph", PX, ctes=KYMO, sql="SELECT recording_id, frame, sector, round(velocity, 6) + 0.0::DOUBLE AS velocity FROM kymo")
 def edge_kymograph(px):
-    return rounded(E.edge_kymograph(M.largest_component(px), 24), "velocity")
+    return rounded(E.edge_kymograph(M.largest_component(px), 72), "velocity")
 
 
 @query("edge_velocity_pair", PX, ctes=VELOCITY, sql="SELECT recording_id, frame, sector, round(velocity, 6) + 0.0::DOUBLE AS velocity FROM vel")
 def edge_velocity_pair(px):
-    return rounded(E.edge_velocity_pair(M.largest_component(px), 24), "velocity")
+    return rounded(E.edge_velocity_pair(M.largest_component(px), 72), "velocity")
 
 
 @query("edge_summary", PX, ctes=KYMO, sql="""SELECT recording_id, round(CASE WHEN n > 0 THEN coalesce(p, 0) END, 5) AS mean_protrusion_velocity, round(CASE WHEN n > 0 THEN coalesce(r, 0) END, 5) AS mean_retraction_velocity,
@@ -295,12 +295,12 @@ def edge_velocity_pair(px):
 FROM (SELECT recording_id, count(velocity) AS n, avg(velocity) FILTER (velocity > 0) AS p, avg(velocity) FILTER (velocity < 0) AS r, count(*) FILTER (velocity > 0) AS np, avg(velocity) AS m,
   max(velocity) FILTER (velocity > 0) AS hi, min(velocity) FILTER (velocity < 0) AS lo FROM kymo GROUP BY ALL) x""")
 def edge_summary(px):
-    return rounded(E.edge_summary(E.edge_kymograph(M.largest_component(px), 24)), "mean_protrusion_velocity", "mean_retraction_velocity", "protrusion_fraction", "net_velocity", "max_protrusion", "max_retraction", n=5)
+    return rounded(E.edge_summary(E.edge_kymograph(M.largest_component(px), 72)), "mean_protrusion_velocity", "mean_retraction_velocity", "protrusion_fraction", "net_velocity", "max_protrusion", "max_retraction", n=5)
 
 
 @query("kymograph_limits", PX, ctes=VELOCITY, sql="SELECT recording_id, round(quantile_cont(abs(velocity), 0.95), 5) AS p95, round(max(abs(velocity)), 5) AS max_abs FROM vel GROUP BY ALL")
 def kymograph_limits(px):
-    return rounded(E.kymograph_limits(E.edge_velocity_pair(M.largest_component(px), 24)), "p95", "max_abs", n=5)
+    return rounded(E.kymograph_limits(E.edge_velocity_pair(M.largest_component(px), 72)), "p95", "max_abs", n=5)
 
 
 @query("smooth_radii_over_time", PX, ctes=RADII, sql="""SELECT a.recording_id, a.sector, a.frame, round(sum(b.radius * w), 6) AS radius
@@ -308,4 +308,4 @@ FROM rli a JOIN rk USING (recording_id) CROSS JOIN rg JOIN rli b ON b.recording_
  AND b.frame = CASE WHEN ((a.frame + o) % (2 * m + 2) + 2 * m + 2) % (2 * m + 2) < m + 1 THEN ((a.frame + o) % (2 * m + 2) + 2 * m + 2) % (2 * m + 2) ELSE 2 * m + 1 - ((a.frame + o) % (2 * m + 2) + 2 * m + 2) % (2 * m + 2) END
 GROUP BY a.recording_id, a.sector, a.frame""")
 def smooth_radii_over_time(px):
-    return rounded(E.smooth_radii_over_time(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 24), 24)), "radius")
+    return rounded(E.smooth_radii_over_time(E.fill_sector_gaps(E.polar_sectors(M.largest_component(px), 72), 72)), "radius")

@@ -36,10 +36,10 @@ def read_sidecars(rec):
 
 
 @query("build_recordings", FILES, REC, ctes=NAMES, sql="""SELECT coalesce(nullif(dir, ''), 'root') AS grp, coalesce(r.name, n.name) AS name, path, coalesce(um_per_px, 1.0::DOUBLE) AS um_per_px, coalesce(time_interval_min, 1.0::DOUBLE) AS time_interval_min
-FROM n LEFT JOIN (SELECT * FROM recordings WHERE recording_id % 3 = 0) r ON r.recording_id = regexp_extract(n.name, '(\\d+)', 1)::BIGINT WHERE lower(ext) IN ('mp4', 'tif')""".replace("\\\\d", "\\d"))
+FROM n LEFT JOIN recordings r ON r.recording_id = regexp_extract(n.name, '(\\d+)', 1)::BIGINT WHERE lower(ext) IN ('mp4', 'tif')""".replace("\\\\d", "\\d"))
 def build_recordings(files, rec):
     scanned = R.recordings_of(files)
-    side = rec.where("recording_id % 3 = 0").withColumn("k", F.col("recording_id"))
+    side = rec.withColumn("k", F.col("recording_id"))
     stems = scanned.select(R.stem(F.col("path")).alias("stem"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("k"))
     return R.build_recordings(scanned, stems.join(side, "k").select("stem", "name", "um_per_px", "time_interval_min"))
 
