@@ -56,7 +56,7 @@ def fill_linear(df: DataFrame, keys: list[str], order: str, value: str, out: str
     w = W.partitionBy(*keys).orderBy(order)
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
     before = F.last(pair, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(pair, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    after = F.last(pair, ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn("_b", before).withColumn("_a", after)
     share = (F.col(order) - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
@@ -69,12 +69,14 @@ def value_bucket(value: Column, bounds: Column, most: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= F.size(bounds)) & (F.get(bounds, at + s - 1) <= value), at + s).otherwise(at))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: str, buckets: int = 64) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: str, buckets: int | None = None) -> DataFrame:
     """df with out, the sum of amount over the rows of the key before this one in the order of a numeric column.
 
-    Orders are unique within a key. Each key's values are cut at quantiles into buckets, bucket totals (buckets rows a
-    key) get prefix sums, and windows run inside (key, bucket): no task orders a whole key.
+    Orders are unique within a key. Each key's values are cut at quantiles into buckets (four for each shuffle partition, 64 at
+    least, so they grow with the cluster that the input asks for), bucket totals (buckets rows a key) get prefix sums, and
+    windows run inside (key, bucket): no task orders a whole key.
     """
+    buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 20 * buckets).alias("_cuts"))
     b = df.join(cuts, keys).withColumn("_bucket", value_bucket(F.col(order), F.array_distinct("_cuts"), buckets)).drop("_cuts")
     totals = b.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_t"))

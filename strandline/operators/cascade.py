@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def frame_range(masks: DataFrame) -> DataFrame:
-    """Every frame between the smallest and largest one, dealt by ranges of 4096 frames."""
-    ends = masks.agg((F.min("frame").cast("long")).alias("a"), F.max("frame").cast("long").alias("b"))
+def frame_range(masks: DataFrame, first: int | None = None) -> DataFrame:
+    """Every frame between the smallest (or first) and the largest one, dealt by ranges of 4096 frames."""
+    ends = masks.agg((F.min("frame") if first is None else F.min(F.lit(first))).cast("long").alias("a"), F.max("frame").cast("long").alias("b"))
     blocks = ends.where("a is not null").select("a", "b", F.explode(F.sequence(F.expr("a div 4096"), F.expr("b div 4096"))).alias("k")).repartition("k")
     return blocks.select(F.explode(F.sequence(F.greatest("a", F.col("k") * 4096), F.least("b", F.col("k") * 4096 + 4095))).alias("frame"))
 
@@ -48,9 +48,10 @@ def flanking_frames(chosen: DataFrame, bucket: int = 4096) -> DataFrame:
     good = F.when(F.col("ok"), F.col("frame"))
     ends = c.groupBy("k").agg(F.max(good).alias("hi"), F.min(good).alias("lo"))
     w = W.orderBy("k")
-    ends = ends.select("k", F.last("hi", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("lo"))
+    ends = ends.select("k", F.last("hi", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("hi"), F.last("lo", True).over(W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, -1)).alias("lo"))
     inside = W.partitionBy("k").orderBy("frame")
-    c = c.withColumn("a", F.last(good, True).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("b", F.first(good, True).over(inside.rowsBetween(0, W.unboundedFollowing)))
+    back = W.partitionBy("k").orderBy(F.desc("frame"))
+    c = c.withColumn("a", F.last(good, True).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("b", F.last(good, True).over(back.rowsBetween(W.unboundedPreceding, 0)))
     c = c.where("not ok").join(ends, "k").select("frame", F.coalesce("a", "hi").alias("before"), F.coalesce("b", "lo").alias("after"))
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
     alpha = F.when(both, (F.col("frame") - F.col("before")) / (F.col("after") - F.col("before")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,20 +16,30 @@ DET = ["recording_id", "frame", "label"]
 MAX_GAP = 11
 
 
+def squared(df: DataFrame, y: str, x: str, reach: Column) -> DataFrame:
+    """df with gy, gx: the square of twice the reach that holds the point."""
+    return df.withColumn("gy", F.floor(F.col(y) / (2 * reach)).cast("long")).withColumn("gx", F.floor(F.col(x) / (2 * reach)).cast("long"))
+
+
+def touching(df: DataFrame, y: str, x: str, reach: Column) -> DataFrame:
+    """df with one row for every square gy, gx of squared that holds a point within reach: four at most."""
+    at = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + s * reach) / (2 * reach)).cast("long") for s in (-1, 1)])))
+    return df.withColumn("gy", at(y)).withColumn("gx", at(x))
+
+
 def link_candidates(det: DataFrame, hop: float = 20.0, max_gap: int = MAX_GAP) -> DataFrame:
     """Pairs of detections 1 to max_gap frames apart within hop * gap.
 
-    A range join as an equi-join: for every gap the plane is cut into squares of side hop * gap; the earlier detection is
-    sent to its square's nine neighbours and meets the later one in its own, so a crowded frame is spread over its squares.
+    A range join as an equi-join: for every gap the plane is cut into squares of twice the reach hop * gap; the earlier detection is
+    sent to the squares its reach touches (four at most) and meets the later one in its own, so a crowded frame is spread
+    over its squares.
     """
     gaps = F.explode(F.sequence(F.lit(1), F.lit(max_gap)))
     side = F.col("gap") * F.lit(float(hop))
-    square = lambda c: F.floor(F.col(c) / side).cast("long")
     a = det.select(*DET, "cy", "cx", gaps.alias("gap"))
-    around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    a = a.withColumn("_d", F.explode(around)).select("recording_id", F.col("frame"), F.col("label"), "cy", "cx", "gap", (F.col("frame") + F.col("gap")).alias("frame2"), (square("cy") + F.col("_d.y")).alias("gy"), (square("cx") + F.col("_d.x")).alias("gx"))
+    a = touching(a.withColumn("frame2", F.col("frame") + F.col("gap")), "cy", "cx", side)
     b = det.select("recording_id", F.col("frame").alias("frame2"), F.col("label").alias("label2"), F.col("cy").alias("cy2"), F.col("cx").alias("cx2"), "area_px", gaps.alias("gap"))
-    b = b.withColumn("gy", F.floor(F.col("cy2") / side).cast("long")).withColumn("gx", F.floor(F.col("cx2") / side).cast("long")).drop("area_px")
+    b = squared(b.drop("area_px"), "cy2", "cx2", side)
     d = F.sqrt((F.col("cy") - F.col("cy2")) ** 2 + (F.col("cx") - F.col("cx2")) ** 2)
     met = a.join(b, ["recording_id", "frame2", "gap", "gy", "gx"]).withColumn("dist", d)
     return met.where(F.col("dist") <= side).select(*DET, "frame2", "label2", "gap", "dist")
@@ -167,7 +177,8 @@ def division_lineage(lives: DataFrame, hop: float = 150.0, low: float = 0.2, hig
     parent = lives.select("recording_id", F.col("track_id").alias("parent_id"), "last_frame", "last_cy", "last_cx", "last_area")
     ratio = F.col("first_area") / F.col("last_area")
     d = F.sqrt((F.col("first_cy") - F.col("last_cy")) ** 2 + (F.col("first_cx") - F.col("last_cx")) ** 2)
-    met = child.join(parent, ["recording_id", "last_frame"]).where((F.col("parent_id") != F.col("track_id")) & (d <= hop) & ratio.between(low, high))
+    child, parent = touching(child, "first_cy", "first_cx", F.lit(float(hop))), squared(parent, "last_cy", "last_cx", F.lit(float(hop)))
+    met = child.join(parent, ["recording_id", "last_frame", "gy", "gx"]).where((F.col("parent_id") != F.col("track_id")) & (d <= hop) & ratio.between(low, high))
     return met.groupBy(*KEYS, "division_frame").agg(F.min_by(F.struct("parent_id", ratio.alias("area_ratio")), "parent_id").alias("p")).select(*KEYS, "division_frame", "p.parent_id", "p.area_ratio")
 
 
@@ -189,7 +200,8 @@ def nearest_detection(expected: DataFrame, det: DataFrame, radius: float = 30.0,
     """The detection nearest to each expected point of its frame, closer than radius, of min_area pixels at least."""
     c = det.where(F.col("area_px") >= min_area).select("recording_id", "frame", "label", F.col("cy").alias("dy"), F.col("cx").alias("dx"), "area_px")
     d = F.sqrt((F.col("cy") - F.col("dy")) ** 2 + (F.col("cx") - F.col("dx")) ** 2)
-    met = expected.join(c, ["recording_id", "frame"]).withColumn("dist", d).where(F.col("dist") < radius)
+    expected, c = touching(expected, "cy", "cx", F.lit(float(radius))), squared(c, "dy", "dx", F.lit(float(radius)))
+    met = expected.join(c, ["recording_id", "frame", "gy", "gx"]).withColumn("dist", d).where(F.col("dist") < radius)
     best = F.min(F.struct("dist", "label", "dy", "dx", "area_px"))
     return met.groupBy(*KEYS, "frame").agg(best.alias("b")).select(*KEYS, "frame", "b.label", F.col("b.dy").alias("cy"), F.col("b.dx").alias("cx"), "b.area_px", "b.dist")
 

@@ -157,10 +157,16 @@ def mask_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return pixels.join(a.select(*FRAME).distinct(), FRAME, "left_semi")
 
 
-def mask_union_per_object(a: DataFrame, b: DataFrame, pad: int = 20) -> DataFrame:
-    """Each object of a joined with the pixels of b inside its padded box; lowest label wins."""
+def mask_union_per_object(a: DataFrame, b: DataFrame, pad: int = 20, tile: int = 64) -> DataFrame:
+    """Each object of a joined with the pixels of b inside its padded box; lowest label wins.
+
+    A box meets pixels on the squares of `tile` pixels that it touches, so a frame of many objects is no product of its boxes and pixels.
+    """
     boxes = a.groupBy(*OBJECT).agg((F.min("row_") - pad).alias("r0"), (F.max("row_") + pad).alias("r1"), (F.min("col_") - pad).alias("c0"), (F.max("col_") + pad).alias("c1"))
-    near = b.select(*FRAME, "row_", "col_").distinct().join(boxes, FRAME).where("row_ between r0 and r1 and col_ between c0 and c1").select(*OBJECT, "row_", "col_")
+    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    boxes = boxes.withColumn("ty", tiles("r0", "r1")).withColumn("tx", tiles("c0", "c1"))
+    pixels = b.select(*FRAME, "row_", "col_").distinct().withColumn("ty", F.floor(F.col("row_") / tile)).withColumn("tx", F.floor(F.col("col_") / tile))
+    near = pixels.join(boxes, [*FRAME, "ty", "tx"]).where("row_ between r0 and r1 and col_ between c0 and c1").select(*OBJECT, "row_", "col_")
     return resolve_overlaps(a.select(*OBJECT, "row_", "col_").union(near))
 
 

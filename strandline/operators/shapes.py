@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.cascade import frame_range
 from strandline.operators.edges import fill_sector_gaps, sector_of
 from strandline.operators.masks import FRAME, boundary_pixels
 
@@ -73,7 +74,7 @@ def shape_heterogeneity(modes: DataFrame, k: int) -> DataFrame:
 
 def frame_modes(modes: DataFrame, frames: DataFrame) -> DataFrame:
     """Mode of every frame 0..last, null where there is no contour."""
-    spine = frames.agg(F.max("vec_id").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("frame"))
+    spine = frame_range(frames.select(F.col("vec_id").alias("frame")), 0)
     return spine.join(modes.select(F.col("vec_id").alias("frame"), "mode_id"), "frame", "left")
 
 

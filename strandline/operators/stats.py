@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.primitives import average_rank, running_sum
+from strandline.functions.primitives import running_sum
+from strandline.functions.staging import staged
 
 BY = ["metric", "grp"]
 
@@ -124,9 +125,12 @@ def welch_t(values: DataFrame) -> DataFrame:
 
 
 def _rank_sums(values: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = average_rank(values, keys, "value")
-    ties = values.groupBy(*keys, "value").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"), F.sum("t").cast("double").alias("total"))
-    return ranked.groupBy(*keys, "grp").agg(F.sum("rank").alias("r"), F.count("*").cast("double").alias("n")).join(ties, keys)
+    """(keys, grp, r, n, ties, total): sums of average ranks and sizes, from one count per (keys, value, grp); no row is ranked by itself."""
+    counts = values.groupBy(*keys, "value", "grp").agg(F.count("*").alias("t"))
+    counts = counts.groupBy(*keys, "value").agg(F.sum("t").alias("t"), F.collect_list(F.struct("grp", "t")).alias("_g"))
+    ties = counts.groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"), F.sum("t").cast("double").alias("total"))
+    ranked = running_sum(counts, keys, "value", "t", "_below").select(*keys, (F.col("_below") + (F.col("t") + 1) / 2).alias("rank"), F.explode("_g").alias("_g"))
+    return ranked.groupBy(*keys, "_g.grp").agg(F.sum(F.col("rank") * F.col("_g.t")).alias("r"), F.sum("_g.t").cast("double").alias("n")).join(ties, keys)
 
 
 def mann_whitney_u(values: DataFrame, first: str, second: str) -> DataFrame:
@@ -168,15 +172,17 @@ def pairwise_bonferroni(values: DataFrame) -> DataFrame:
 
 
 def group_comparison(values: DataFrame) -> DataFrame:
-    """All tests that a metric's total number of groups calls for: Welch t and Mann-Whitney for two, ANOVA and Kruskal-Wallis
-    for more. Groups with fewer than two values are left out of the tests but counted among the groups."""
+    """All tests that a metric's total number of groups calls for: Welch t and Mann-Whitney (statistic U, p by its normal form) for
+    two, ANOVA and Kruskal-Wallis for more. Groups with fewer than two values are left out of the tests but counted
+    among the groups."""
     groups = values.groupBy("metric").agg(F.count_distinct("grp").alias("groups"), F.min("grp").alias("a"), F.max("grp").alias("b"))
     two = values.join(groups.where("groups = 2"), "metric").select("metric", F.when(F.col("grp") == F.col("a"), "a").otherwise("b").alias("grp"), "value")
     more = values.join(groups.where("groups > 2"), "metric", "left_semi")
     shape = lambda df, test, kind: df.select("metric", F.lit(test).alias("test"), F.lit(kind).alias("kind"), "statistic", *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in ("df1", "df2")])
     tests = shape(welch_t(two), "welch_t", "t").unionByName(shape(mann_whitney_u(two, "a", "b"), "mann_whitney_u", "z"))
     tests = tests.unionByName(shape(anova_oneway(more), "anova", "f")).unionByName(shape(kruskal_wallis(more), "kruskal_wallis", "chi2"))
-    return with_p(tests).withColumn("marker", significance_marker(F.col("p")))
+    tested = with_p(tests).join(mann_whitney_u(two, "a", "b").select("metric", F.lit("mann_whitney_u").alias("test"), "u"), ["metric", "test"], "left")
+    return tested.select("metric", "test", "kind", F.coalesce("u", "statistic").alias("statistic"), "df1", "df2", "p", significance_marker(F.col("p")).alias("marker"))
 
 
 def comparison_text(tests: DataFrame) -> DataFrame:
@@ -187,18 +193,18 @@ def comparison_text(tests: DataFrame) -> DataFrame:
 
 
 def _resamples(values: DataFrame, n_boot: int, seed: str) -> DataFrame:
-    """(metric, grp, b, value, count): the values that resample b of a group of two values or more draws, and how often.
+    """(metric, grp, b, value, count): the values that resample b of a group of two values or more draws, one row (count 1) a draw.
 
     Draw i of resample b is row md5(seed-b-i) mod n of the group in the order of its values, so results are the same
-    everywhere. Rows are numbered once, and every number of a draw meets its row in an equi-join.
+    everywhere. Rows are numbered once, and every number of a draw meets its row in an equi-join, whose side of numbered rows
+    Spark broadcasts while it is below the session's threshold: then no draw is shuffled, else each is once.
     """
     counted = running_sum(values.groupBy(*BY, "value").agg(F.count("*").alias("t")), BY, "value", "t", "_before")
     numbered = counted.select(*BY, "value", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("t") - 1)).alias("i"))
     sizes = values.groupBy(*BY).agg(F.count("*").alias("n"))
     draws = numbered.join(sizes, BY).where("n >= 2").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    counts = draws.select(*BY, "b", pick.alias("i")).groupBy(*BY, "b", "i").count()
-    return counts.join(numbered.select(*BY, "i", "value"), [*BY, "i"]).select(*BY, "b", "value", "count")
+    return draws.select(*BY, "b", pick.alias("i")).join(staged(numbered, "numbered"), [*BY, "i"]).select(*BY, "b", "value", F.lit(1).cast("long").alias("count"))
 
 
 def _interval(whole: DataFrame, drawn: DataFrame, value: str, ci: float) -> DataFrame:
