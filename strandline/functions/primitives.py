@@ -36,19 +36,21 @@ def reflected(index: Column, n: Column) -> Column:
 
 
 def convolve(df: DataFrame, keys: list[str], index: str, values: list[str], weights: list[float]) -> DataFrame:
-    """Weighted sums along a dense index 0..n-1 within each key, reflected at the ends.
+    """Weighted sums along a dense index 0..n-1 within each key, reflected at the ends; nulls are left out of the sums.
 
-    Every row is sent to the offsets of the kernel (a literal array), then rows meet on (key, index): the shuffle grows
-    with rows times kernel length, and no group is gathered in one task.
+    A mirrored index is never farther from its row than the one it stands for, so a sliding frame of the kernel's
+    length holds all that a row needs: one shuffle by key, and no more than a frame in memory.
     """
     r = len(weights) // 2
-    sizes = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-    taps = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
-    wanted = df.select(*keys, index).join(sizes, keys).withColumn("_t", F.explode(taps))
-    wanted = wanted.select(*keys, F.col(index).alias("_at"), reflected(F.col(index) + F.col("_t.o"), F.col("_n")).cast("int").alias(index), F.col("_t.w").alias("_w"))
-    source = df.select(*keys, F.col(index).cast("int").alias(index), *values)
-    joined = wanted.join(source, [*keys, index])
-    return joined.groupBy(*keys, F.col("_at")).agg(*[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values]).withColumnRenamed("_at", index)
+    line = W.partitionBy(*keys).orderBy(index)
+    near = F.collect_list(F.struct(*values)).over(line.rowsBetween(-r, r))
+    rows = df.select(*keys, index, near.alias("_near"), F.count("*").over(W.partitionBy(*keys)).alias("_n"))
+    at = [F.get("_near", (reflected(F.col(index) + k - r, F.col("_n")) - F.greatest(F.col(index) - r, F.lit(0))).cast("int")) for k in range(len(weights))]
+
+    def total(v: str) -> Column:
+        parts = [x[v] * w for x, w in zip(at, weights)]
+        return F.when(F.exists("_near", lambda x: x[v].isNotNull()), sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
+    return rows.select(*keys, index, *[total(v).alias(v) for v in values])
 
 
 def fill_linear(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
@@ -77,8 +79,8 @@ def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: st
     windows run inside (key, bucket): no task orders a whole key.
     """
     buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 20 * buckets).alias("_cuts"))
-    b = df.join(cuts, keys).withColumn("_bucket", value_bucket(F.col(order), F.array_distinct("_cuts"), buckets)).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 20 * buckets)).alias("_cuts"))
+    b = df.join(cuts, keys).withColumn("_bucket", value_bucket(F.col(order), F.col("_cuts"), buckets)).drop("_cuts")
     totals = b.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_t"))
     start = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum(amount).over(W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
