@@ -35,8 +35,8 @@ def reflected(index: Column, n: Column) -> Column:
     return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
 
-def convolve(df: DataFrame, keys: list[str], index: str, values: list[str], weights: list[float]) -> DataFrame:
-    """Weighted sums along a dense index 0..n-1 within each key, reflected at the ends; nulls are left out of the sums.
+def convolve(df: DataFrame, keys: list[str], index: str, values: list[str], weights: list[float], keep: list[str] | None = None) -> DataFrame:
+    """Weighted sums along a dense index 0..n-1 within each key, reflected at the ends; nulls are left out of the sums, and columns of keep stay as they are.
 
     A mirrored index is never farther from its row than the one it stands for, so a sliding frame of the kernel's
     length holds all that a row needs: one shuffle by key, and no more than a frame in memory.
@@ -44,13 +44,13 @@ def convolve(df: DataFrame, keys: list[str], index: str, values: list[str], weig
     r = len(weights) // 2
     line = W.partitionBy(*keys).orderBy(index)
     near = F.collect_list(F.struct(*values)).over(line.rowsBetween(-r, r))
-    rows = df.select(*keys, index, near.alias("_near"), F.count("*").over(W.partitionBy(*keys)).alias("_n"))
+    rows = df.select(*keys, index, *(keep or []), near.alias("_near"), F.count("*").over(W.partitionBy(*keys)).alias("_n"))
     at = [F.get("_near", (reflected(F.col(index) + k - r, F.col("_n")) - F.greatest(F.col(index) - r, F.lit(0))).cast("int")) for k in range(len(weights))]
 
     def total(v: str) -> Column:
         parts = [x[v] * w for x, w in zip(at, weights)]
         return F.when(F.exists("_near", lambda x: x[v].isNotNull()), sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
-    return rows.select(*keys, index, *[total(v).alias(v) for v in values])
+    return rows.select(*keys, index, *(keep or []), *[total(v).alias(v) for v in values])
 
 
 def fill_linear(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:

@@ -34,8 +34,8 @@ def polar_sectors(px: DataFrame, n: int = 72, centre: DataFrame | None = None) -
 
 def fill_sector_gaps(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -> DataFrame:
     """Every sector of every frame; empty ones on the line between valid neighbours, ends clamped, only with more than two."""
-    spine = sectors.select(*keys).distinct().withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    s = spine.join(sectors.select(*keys, "sector", "radius"), [*keys, "sector"], "left").withColumn("_k", F.count("radius").over(W.partitionBy(*keys)))
+    known = sectors.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sector", "radius"))).alias("_r"), F.count("radius").alias("_k"))
+    s = known.withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("radius", F.try_element_at("_r", "sector")).drop("_r")
     s = fill_linear(s, keys, "sector", "radius", "_f")
     return s.select(*keys, "sector", F.when(F.col("radius").isNotNull() | (F.col("_k") > 2), F.coalesce("radius", "_f")).alias("radius"))
 
@@ -69,9 +69,9 @@ def edge_kymograph(px: DataFrame, n: int = 72, sigma: float = 1.0, um: float = U
     spine = frame_spine(px, ["recording_id"])
     last = W.partitionBy("recording_id")
     spine = spine.withColumn("_m", F.max("frame").over(last)).where("frame < _m").drop("_m").withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dense = spine.join(v, SECTOR, "left")
-    smooth = convolve(dense.withColumn("velocity", F.coalesce("velocity", F.lit(0.0))), ["recording_id", "sector"], "frame", ["velocity"], gaussian_weights(sigma))
-    return dense.withColumnRenamed("velocity", "_raw").join(smooth, SECTOR).select(*SECTOR, F.when(F.col("_raw").isNotNull(), F.col("velocity")).alias("velocity"))
+    dense = spine.join(v, SECTOR, "left").withColumn("_raw", F.col("velocity")).withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
+    smooth = convolve(dense, ["recording_id", "sector"], "frame", ["velocity"], gaussian_weights(sigma), keep=["_raw"])
+    return smooth.select(*SECTOR, F.when(F.col("_raw").isNotNull(), F.col("velocity")).alias("velocity"))
 
 
 def edge_summary(kymograph: DataFrame) -> DataFrame:
