@@ -233,3 +233,28 @@ def test_failing_user_function_keeps_object(spark):
     def fn(crop):
         raise RuntimeError
     assert objects.per_object_apply(px, fn).count() == px.count()
+
+
+def test_group_comparison_reports_u(spark):
+    a, b = [1.0, 2.0, 2.0, 5.0, 9.0], [2.0, 3.0, 7.0, 8.0, 8.0, 11.0]
+    got = {r["test"]: r for r in stats.group_comparison(groups(spark, A=a, B=b)).collect()}
+    u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+    every = a + b
+    n, ties = len(every), sum(every.count(v) ** 3 - every.count(v) for v in set(every))
+    sd = math.sqrt(len(a) * len(b) / 12 * (n + 1 - ties / (n * (n - 1))))
+    assert got["mann_whitney_u"]["statistic"] == u
+    assert got["mann_whitney_u"]["p"] == pytest.approx(math.erfc((abs(u - len(a) * len(b) / 2) - 0.5) / sd / math.sqrt(2)), abs=1e-6)
+    assert set(got) == {"mann_whitney_u", "welch_t"}
+
+
+def test_nearest_detection_by_squares_as_by_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    det = [("r", 0, k, float(y), float(x), 5) for k, (y, x) in enumerate(rng.uniform(-90, 90, (60, 2)))]
+    want = [("r", k, 0, float(y), float(x)) for k, (y, x) in enumerate(rng.uniform(-90, 90, (40, 2)))]
+    got = {r["track_id"]: (r["label"], r["dist"]) for r in linking.nearest_detection(spark.createDataFrame(want, "recording_id string, track_id int, frame int, cy double, cx double"), spark.createDataFrame(det, "recording_id string, frame int, label int, cy double, cx double, area_px int"), 17.0).collect()}
+    brute = {}
+    for _, t, _, y, x in want:
+        d, label = min((math.hypot(y - q[3], x - q[4]), q[2]) for q in det)
+        if d < 17:
+            brute[t] = (label, pytest.approx(d))
+    assert got == brute and 5 < len(got) < 40
