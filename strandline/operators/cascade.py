@@ -64,6 +64,7 @@ def skip_by_provenance(original: DataFrame, refined: DataFrame, chosen: DataFram
     return original.join(keep, "frame", "left_semi").unionByName(refined.join(keep, "frame", "left_anti"))
 
 
+# Floor, drop_ok, drop_reject and near.
 def config_select(scores: DataFrame, floor: float = 0.55, drop_ok: float = 0.05, drop_reject: float = 0.2, near: float = 0.85) -> DataFrame:
     """Per recording the least aggressive configuration within `near` of the best score = quality * stability.
 

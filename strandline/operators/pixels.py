@@ -176,6 +176,7 @@ def motion_quality(motion: DataFrame, mask: DataFrame) -> DataFrame:
         F.count(F.when(hot & F.col("inside"), 1)).alias("both"), F.count(F.when(hot, 1)).alias("hot"), F.count(F.when(F.col("inside"), 1)).alias("area"))
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     ratio = F.col("mi") / F.greatest("mo", F.lit(0.001))
+    # Weights and limits of the three parts.
     score = 0.3 * clip((ratio - 0.5) / 1.5) + 0.5 * clip(F.col("both") / F.greatest("hot", F.lit(1)) / 0.5) + 0.2 * (1 - clip(F.abs(F.log(F.col("hot") / F.greatest("area", F.lit(1)))) / 1.5))
     return g.select(*FRAME, F.when((F.col("area") == 0) | (F.col("peak") == 0), 0.0).otherwise(score).alias("quality"))
 
