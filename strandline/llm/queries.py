@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.staging import shared_dir
 from strandline.llm import embeddings, langid, licenses, mixing, pieces, shards, simhash, toxicity, url_rules, winnow
 
 # Rules of the URL query.
@@ -21,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_order(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return shards.materialise(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:

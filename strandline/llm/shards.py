@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import os
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from strandline.functions.staging import staged
+from strandline.functions.staging import shuffle_files_dropped, staged
 from strandline.llm.pieces import PieceCoder, slices
 from strandline.llm.ranges import id_ranges, range_of
 
@@ -75,8 +76,8 @@ def _encode(model: str, length: int, schema: pa.Schema):
     return run
 
 
-def _cut(order: Permutation, length: int, schema: pa.Schema, most: int = 16_384):
-    """(id, place, n_ids, ids) to one row per sequence, with its slot."""
+def _cut(order: Permutation, length: int, schema: pa.Schema, low: int, high: int, most: int = 16_384):
+    """(id, place, n_ids, ids) to one row per sequence whose slot is in [low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,20 +85,52 @@ def _cut(order: Permutation, length: int, schema: pa.Schema, most: int = 16_384)
             seqs = -(-n // length)
             part = (np.cumsum(seqs) - seqs) // most
             for a, b in itertools.pairwise(np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(n)]):
-                padded = np.zeros((int(seqs[a:b].sum()), length), "<u2")
                 first = np.cumsum(seqs[a:b]) - seqs[a:b]
                 rows = np.repeat(np.arange(a, b), seqs[a:b])
                 seq = np.arange(len(rows)) - np.repeat(first, seqs[a:b])
+                slots = order.slots(place[rows] + seq)
+                kept = np.flatnonzero((slots >= low) & (slots < high))
+                padded = np.zeros((len(rows), length), "<u2")
                 flat = padded.reshape(-1)
-                for k, at in zip(range(a, b), (first * length).tolist()):
+                for k in np.unique(rows[kept]).tolist():
+                    at = int(first[k - a]) * length
                     flat[at:at + n[k]] = np.frombuffer(pa.decompress(batch.column(3)[k].as_py(), int(2 * n[k]), "zstd", asbytes=True), "<u2")
-                records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(rows), [None, pa.py_buffer(padded)]).cast(pa.binary())
+                rows, seq = rows[kept], seq[kept]
+                records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(rows), [None, pa.py_buffer(padded[kept])]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(order.slots(place[rows] + seq)), batch.column(0).take(pa.array(rows)), pa.array(seq.astype(np.int32)),
+                    pa.array(slots[kept]), batch.column(0).take(pa.array(rows)), pa.array(seq.astype(np.int32)),
                     pa.array(np.minimum(length, n[rows] - seq * length).astype(np.int32)), records], schema=schema)
     return run
 
 
+def _places(docs: DataFrame, model: str, length: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, place, n_ids, ids) of every text, staged once, and the number of sequences; place is that of its first sequence."""
+    if PieceCoder(model).sp.get_piece_size() > 1 << 16:
+        raise ValueError("16-bit records need a vocabulary of at most 65,536 pieces")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bounds, nulls = id_ranges(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    coded = f"range int, id {rows.dtypes[0][1]}, hash long, n_ids long, n_seqs long, ids binary"
+    rows = rows.select(range_of(F.col("id"), F.col("hash"), bounds, nulls).alias("range"), "id", "hash", "text").mapInArrow(_encode(model, length, to_arrow_schema(_parse_datatype_string(coded))), coded)
+    before = W.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "hash").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum("n_seqs").over(before), F.lit(0)))
+    placed = staged(placed.drop("hash"), "encoded", compression="zstd")
+    sizes = placed.groupBy("range").agg(F.sum("n_seqs").alias("n"))
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return placed.join(F.broadcast(starts), "range").select("id", (F.col("start") + F.col("at")).alias("place"), "n_ids", "ids"), total
+
+
+def _ordered(places: DataFrame, order: Permutation, first: int, shards: int, length: int, per_shard: int, shards_per_task: int, id_col: str) -> DataFrame:
+    """The sequences of so many shards from the first on, dealt to tasks by ranges of slots and sorted."""
+    fields = f"slot long, `{id_col}` {places.dtypes[0][1]}, seq int, n_tokens int, record binary"
+    cut = _cut(order, length, to_arrow_schema(_parse_datatype_string(fields)), first * per_shard, (first + shards) * per_shard)
+    tasks = min(shards, max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // shards_per_task)))
+    shard = F.expr(f"slot div {per_shard}")
+    ranges = places.mapInArrow(cut, fields).repartitionById(tasks, ((shard - first) * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    return ranges.select("slot", shard.cast("int").alias("shard"), ((F.col("slot") % per_shard) * (2 * length)).alias("offset"), id_col, "seq", "n_tokens", "record")
+
+
 def training_order(docs: DataFrame, model: str, key: str = "order-1", length: int = 512, per_shard: int = 16_384, shards_per_task: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sequence in training order: slot, shard, offset, id, seq, n_tokens, record.
 
@@ -113,64 +146,78 @@ def training_order(docs: DataFrame, model: str, key: str = "order-1", length: in
     Null and empty texts are one sequence of the begin and end ids; long texts give as many sequences as they need;
     repeated rows have their own; empty tables give no rows; other columns are ignored.
     """
-    if PieceCoder(model).sp.get_piece_size() > 1 << 16:
-        raise ValueError("16-bit records need a vocabulary of at most 65,536 pieces")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bounds, nulls = id_ranges(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    kind = rows.dtypes[0][1]
-    coded = f"range int, id {kind}, hash long, n_ids long, n_seqs long, ids binary"
-    rows = rows.select(range_of(F.col("id"), F.col("hash"), bounds, nulls).alias("range"), "id", "hash", "text").mapInArrow(_encode(model, length, to_arrow_schema(_parse_datatype_string(coded))), coded)
-    before = W.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "hash").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("n_seqs").over(before), F.lit(0)))
-    placed = staged(placed.drop("hash"), "encoded", compression="zstd")
-    sizes = placed.groupBy("range").agg(F.sum("n_seqs").alias("n"))
-    starts = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    places, total = _places(docs, model, length, id_col, text_col)
+    return _ordered(places, Permutation(total, key), 0, max(1, -(-total // per_shard)), length, per_shard, shards_per_task, id_col)
 
-    fields = f"slot long, `{id_col}` {kind}, seq int, n_tokens int, record binary"
-    cut = placed.join(F.broadcast(starts), "range").select("id", (F.col("start") + F.col("at")).alias("place"), "n_ids", "ids")
-    slotted = cut.mapInArrow(_cut(Permutation(total, key), length, to_arrow_schema(_parse_datatype_string(fields))), fields)
-    shards = max(1, -(-total // per_shard))
-    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // shards_per_task)))
-    shard = F.expr(f"slot div {per_shard}")
-    ranges = slotted.repartitionById(tasks, (shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
-    return ranges.select("slot", shard.cast("int").alias("shard"), ((F.col("slot") % per_shard) * (2 * length)).alias("offset"), id_col, "seq", "n_tokens", "record")
 
+def materialise(docs: DataFrame, model: str, folder: str, key: str = "order-1", length: int = 512, per_shard: int = 16_384, shards_per_task: int = 8, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write all shards of training_order into folder and return their index: slot, shard, offset, id, seq, n_tokens.
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write the rows of training_order as folder/shard-NNNNNNNN.bin and return (shard, first_slot, sequences, bytes, sha256).
+    The shards are written in so many waves, each a job over the staged encoded texts that shuffles the records of its own
+    shards only. So the shuffled records of one wave lie on disk at a time, beside encoded texts and shards, and a run that
+    breaks off has whole shards of the waves before. Records are in the shards, at their offset, and not in the index.
+
+    Nulls, empty and long texts, repeated rows, empty tables (no rows, no shards) and other columns: as training_order.
+    """
+    places, total = _places(docs, model, length, id_col, text_col)
+    order, shards = Permutation(total, key), max(1, -(-total // per_shard))
+    per_wave, index = -(-shards // waves), []
+    for first in range(0, shards, per_wave):
+        rows = _ordered(places, order, first, min(per_wave, shards - first), length, per_shard, shards_per_task, id_col)
+        with shuffle_files_dropped(docs.sparkSession):
+            index.append(staged(write_shards(rows, folder, index=True), "index"))
+    return functools.reduce(DataFrame.unionByName, index)
+
+
+def write_shards(ordered: DataFrame, folder: str, index: bool = False) -> DataFrame:
+    """Write the rows of training_order as folder/shard-NNNNNNNN.bin and return (shard, first_slot, sequences, bytes, sha256), or the rows without their records as an index.
 
     folder is a URI that pyarrow's filesystems reach from every executor (file:, hdfs:, s3:). A shard is written under a
     temporary name and moved into place, so a task that runs twice leaves the same file. The result is lazy; shards are written
-    when it is computed. Readers resume at a slot by seeking to its offset in its shard. Other columns than shard, slot and
-    record are ignored; no rows leave no shard.
+    when it is computed. Readers resume at a slot by seeking to its offset in its shard. Of the columns only shard, slot and
+    record are read; no rows leave no shard.
     """
+    rest = [c for c in ordered.columns if c != "record"] if index else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         now, stream, temp, digest, first, count, size = None, None, "", None, 0, 0, 0
 
-        def close():
+        def close() -> list[pa.RecordBatch]:
             stream.close()
-            store.move(temp, f"{root}/shard-{now:08d}.bin")
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (now, first, count, size, digest.hexdigest())], schema=schema)
+            path = f"{root}/shard-{now:08d}.bin"
+            if store.get_file_info(path).type != fs.FileType.NotFound:
+                store.delete_file(path)
+            store.move(temp, path)
+            line = (now, first, count, size, digest.hexdigest())
+            return [] if index else [pa.RecordBatch.from_arrays([pa.array([v]) for v in line], schema=schema)]
 
         for batch in batches:
-            for shard, slot, record in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != now:
+            if not batch.num_rows:
+                continue
+            shard, slot = (batch.column(k).to_numpy() for k in (0, 1))
+            records = batch.column(2)
+            at = np.frombuffer(records.buffers()[1], np.int32)[records.offset:records.offset + len(records) + 1].tolist()
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]):
+                if shard[a] != now:
                     if stream:
-                        yield close()
-                    now, temp = shard, f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}-{os.getpid()}"
-                    stream, digest, first, count, size = store.open_output_stream(temp), hashlib.sha256(), slot, 0, 0
-                stream.write(record)
-                digest.update(record)
-                count += 1
-                size += len(record)
+                        yield from close()
+                    now, temp = int(shard[a]), f"{root}/.shard-{shard[a]:08d}-{TaskContext.get().taskAttemptId()}-{os.getpid()}"
+                    stream, digest, first, count, size = store.open_output_stream(temp), hashlib.sha256(), int(slot[a]), 0, 0
+                data = records.buffers()[2].slice(at[a], at[b] - at[a])
+                stream.write(data)
+                digest.update(data)
+                count += b - a
+                size += len(data)
+            if index:
+                yield pa.RecordBatch.from_arrays(batch.columns[3:], schema=schema)
         if stream:
-            yield close()
+            yield from close()
 
-    fields = "shard long, first_slot long, sequences long, bytes long, sha256 string"
+    types = dict(ordered.dtypes)
+    fields = ", ".join(f"`{c}` {types[c]}" for c in rest) if index else "shard long, first_slot long, sequences long, bytes long, sha256 string"
     schema = to_arrow_schema(_parse_datatype_string(fields))
-    return ordered.select(F.col("shard").cast("long"), "slot", "record").mapInArrow(run, fields)
+    keys = [F.col("shard").cast("long").alias("_shard"), F.col("slot").alias("_slot"), F.col("record").alias("_record")]
+    return ordered.select(*keys, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, fields)

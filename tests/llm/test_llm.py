@@ -80,6 +80,12 @@ def test_training_order_and_shards(spark, odd, none, tmp_path):
             f.seek(r["offset"])
             assert f.read(32) == r["record"]
     assert shards.training_order(none, model()).count() == 0
+    for waves in (1, 3):
+        index = shards.materialise(odd, model(), f"file://{tmp_path}/w{waves}", length=16, per_shard=100, waves=waves)
+        assert sorted(map(tuple, index.collect())) == sorted(tuple(r)[:-1] for r in got)
+        for name in os.listdir(f"{tmp_path}/s"):
+            assert (tmp_path / f"w{waves}" / name).read_bytes() == (tmp_path / "s" / name).read_bytes()
+    assert shards.materialise(none, model(), f"file://{tmp_path}/none").count() == 0
 
 
 # --- 2 -------------------------------------------------------------------------------------------------------------
