@@ -46,7 +46,14 @@ def track_assign(d):
     return L.track_assign(d)
 
 
-@query("anchor_single", DET)
+@query("anchor_single", DET, ctes="""
+fr AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY frame) AS n FROM detections),
+walk AS MATERIALIZED (WITH RECURSIVE r(recording_id, n, label, y, x) AS (
+  SELECT recording_id, n, arg_max(label, (area_px, -label)), arg_max(cy, (area_px, -label)), arg_max(cx, (area_px, -label)) FROM fr WHERE n = 1 GROUP BY recording_id, n
+  UNION ALL SELECT recording_id, n, near.label, coalesce(near.cy, y), coalesce(near.cx, x) FROM (
+    SELECT r.recording_id, fr.n, y, x, arg_min({'label': fr.label, 'cy': cy, 'cx': cx}, (sqrt(pow(cy - y, 2) + pow(cx - x, 2)), fr.label)) FILTER (sqrt(pow(cy - y, 2) + pow(cx - x, 2)) <= 80) AS near
+    FROM r JOIN fr ON fr.recording_id = r.recording_id AND fr.n = r.n + 1 GROUP BY r.recording_id, fr.n, y, x) q) SELECT * FROM r)
+""", sql="SELECT recording_id, frame, label, cy, cx, area_px FROM fr JOIN walk USING (recording_id, n, label)")
 def anchor_single(d):
     return L.anchor_single(d)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from strandline.operators import stats as S
@@ -28,6 +30,29 @@ rk AS (SELECT metric, value, t, coalesce(sum(t) OVER (PARTITION BY metric ORDER
 tied AS (SELECT metric, sum(pow(t, 3) - t) AS ties, sum(t)::DOUBLE AS total FROM cnt GROUP BY ALL),
 rs AS (SELECT metric, grp, sum(rank) AS r, count(*)::DOUBLE AS n FROM vals JOIN rk USING (metric, value) GROUP BY ALL)
 """
+#: Tails of the tests' distributions as ratios of two integrals of one density, by Simpson's rule: the t and F tails over the angle whose
+#: squared sine is the beta variable, normal and chi-square tails over the root of the chi-square variable.
+TAILS = """,
+span AS (SELECT *, CASE kind WHEN 'z' THEN 0 ELSE df1 - 1 END AS c, CASE kind WHEN 'f' THEN df2 - 1 ELSE 0 END AS d,
+  CASE kind WHEN 't' THEN atan(abs(raw) / sqrt(df1)) WHEN 'f' THEN 0 WHEN 'z' THEN abs(raw) ELSE sqrt(greatest(raw, 0)) END AS lo,
+  CASE kind WHEN 't' THEN pi() / 2 WHEN 'f' THEN asin(sqrt(df2 / (df2 + df1 * raw))) WHEN 'z' THEN abs(raw) + 40 ELSE sqrt(greatest(raw, 0)) + 40 END AS hi, CASE WHEN kind IN ('t', 'f') THEN pi() / 2 ELSE 40 END AS whole FROM tests),
+bits AS (SELECT *, CASE WHEN i = 0 OR i = 20000 THEN 1 ELSE 2 + 2 * (i % 2) END AS w, lo + (hi - lo) * i / 20000 AS u, whole * i / 20000 AS v FROM span CROSS JOIN range(0, 20001) r(i)),
+tail AS (SELECT metric, test, kind, max(statistic) AS statistic, max(df1) AS df1, max(df2) AS df2, max(hi - lo) * sum(w * CASE WHEN kind IN ('t', 'f') THEN pow(abs(cos(u)), c) * pow(sin(u), d) ELSE pow(u, c) * exp(-u * u / 2) END)
+  / (max(whole) * sum(w * CASE WHEN kind IN ('t', 'f') THEN pow(abs(cos(v)), c) * pow(sin(v), d) ELSE pow(v, c) * exp(-v * v / 2) END)) AS p FROM bits GROUP BY metric, test, kind)
+"""
+MARK = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END"
+MORE = """SELECT metric, 'anova' AS test, 'f' AS kind, f AS statistic, f AS raw, k - 1 AS df1, n - k AS df2
+  FROM (SELECT metric, k, n, ((nmm - nm * nm / n) / (k - 1)) / (w / (n - k)) AS f FROM (SELECT metric, count(*)::DOUBLE AS k, sum(n) AS n, sum(n * m) AS nm, sum(n * m * m) AS nmm, sum((n - 1) * v) AS w FROM s GROUP BY ALL) x) x
+UNION ALL SELECT metric, 'kruskal_wallis', 'chi2', h, h, k - 1, 0 FROM (SELECT metric, k, (12 / (total * (total + 1)) * q - 3 * (total + 1)) / (1 - ties / (pow(total, 3) - total)) AS h
+  FROM (SELECT metric, count(*)::DOUBLE AS k, sum(r * r / n) AS q FROM rs GROUP BY ALL) x JOIN tied USING (metric)) x"""
+BOTH = """SELECT metric || '_by_cohort', 'welch_t', 't', statistic, statistic, df1, 0 FROM welch2
+UNION ALL SELECT metric || '_by_cohort', 'mann_whitney_u', 'z', u, (abs(u - n1 * n2 / 2) - 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * (total + 1 - ties / (total * (total - 1)))), 0, 0
+  FROM (SELECT a.metric, a.r - a.n * (a.n + 1) / 2 AS u, a.n AS n1, b.n AS n2, ties, total FROM rs2 a JOIN rs2 b ON a.metric = b.metric AND a.grp = 'F' AND b.grp = 'O' JOIN tied2 t ON t.metric = a.metric) x"""
+
+
+def second(ctes: str) -> str:
+    """The common table expressions under names that end in 2."""
+    return re.sub(r"\b(wide|vals|s|pairs|welch|cnt|rk|tied|rs)\b", r"\g<1>2", ctes)
 
 
 def by_grp(rm):
@@ -72,9 +97,11 @@ def kruskal_wallis(rm):
     return rounded(S.kruskal_wallis(by_grp(rm)), "statistic", n=4)
 
 
-@query("pairwise_bonferroni", RM)
+@query("pairwise_bonferroni", RM, ctes=BY_GRP + PAIRS + ",\ntests AS (SELECT metric, grp_a || '/' || grp_b AS test, 't' AS kind, statistic, statistic AS raw, df1, 0 AS df2 FROM welch)" + TAILS + """,
+times AS (SELECT metric, grp_a, grp_b, tail.statistic, least(1, p * count(*) OVER (PARTITION BY metric)) AS p, d FROM tail JOIN welch USING (metric) WHERE test = grp_a || '/' || grp_b)
+""", sql=f"SELECT metric, grp_a, grp_b, round(statistic, 6) AS statistic, round(p, 6) AS p, round(d, 6) AS d, {MARK} AS marker FROM times")
 def pairwise_bonferroni(rm):
-    return S.pairwise_bonferroni(by_grp(rm))
+    return rounded(S.pairwise_bonferroni(by_grp(rm)), "statistic", "p", "d")
 
 
 @query("significance_marker", RM, ctes=BY_GRP + PAIRS, sql="SELECT metric, grp_a, grp_b, CASE WHEN abs(d) / 10 < 0.001 THEN '***' WHEN abs(d) / 10 < 0.01 THEN '**' WHEN abs(d) / 10 < 0.05 THEN '*' ELSE 'ns' END AS marker FROM welch")
@@ -82,12 +109,15 @@ def significance_marker(rm):
     return S.cohens_d(by_grp(rm)).select("metric", "grp_a", "grp_b", S.significance_marker(F.abs("d") / 10).alias("marker"))
 
 
-@query("group_comparison", RM)
+@query("group_comparison", RM, ctes=BY_GRP + PAIRS + RANKS + "," + second(TWO + PAIRS + RANKS) + f",\ntests AS ({MORE}\nUNION ALL {BOTH})" + TAILS,
+       sql=f"SELECT metric, test, kind, round(statistic, 4) AS statistic, round(df1, 4) AS df1, round(df2::DOUBLE, 4) AS df2, round(p, 6) AS p, {MARK} AS marker FROM tail")
 def group_comparison(rm):
-    return S.group_comparison(by_grp(rm)).unionByName(S.group_comparison(two(rm).withColumn("metric", F.concat("metric", F.lit("_by_cohort")))))
+    both = S.group_comparison(by_grp(rm)).unionByName(S.group_comparison(two(rm).withColumn("metric", F.concat("metric", F.lit("_by_cohort")))))
+    return rounded(rounded(both, "p"), "statistic", "df1", "df2", n=4)
 
 
-@query("comparison_text", RM)
+@query("comparison_text", RM, ctes=BY_GRP + PAIRS + RANKS + f",\ntests AS ({MORE})" + TAILS,
+       sql=f"SELECT metric, string_agg(printf('%s: %.4f (p=%s) %s', test, statistic, CASE WHEN p < 0.0001 THEN printf('%.3e', p) ELSE printf('%.' || (3 - floor(log10(p)))::INT || 'f', p) END, {MARK}), chr(10) ORDER BY test) AS report FROM tail GROUP BY metric")
 def comparison_text(rm):
     return S.comparison_text(S.group_comparison(by_grp(rm)))
 

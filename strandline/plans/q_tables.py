@@ -13,7 +13,8 @@ from strandline.operators import objects as O
 from strandline.operators import tracks
 from strandline.plans.fixtures import view
 from strandline.plans.q_tracks import STEPS, rounded
-from strandline.plans.registry import QUERIES, query
+from strandline.plans import q_linking  # noqa: F401
+from strandline.plans.registry import ORACLE_SQL, QUERIES, query
 from strandline.sources import readers as R
 from strandline.sources import sinks as K
 from strandline.streaming import sessions as S
@@ -73,10 +74,16 @@ def read_masks(px):
 
 
 METRIC_SCHEMA = T.StructType([T.StructField("recording_id", T.LongType()), T.StructField("motion", T.StructType([T.StructField("mean_speed", T.DoubleType())])), T.StructField("shape", T.StructType([T.StructField("mean_area", T.DoubleType()), T.StructField("n_cells", T.DoubleType())]))])
+def json_fields(*columns: str) -> str:
+    """SQL text of the JSON fields of columns; missing values are left out, texts quoted."""
+    value = lambda c: f"'\"' || {c} || '\"'" if c in ("grp", "cohort") else f"{c}::VARCHAR"
+    return "concat_ws(',', " + ", ".join(f"'\"{c}\":' || {value(c)}" for c in columns) + ")"
+
+
 NESTED = {"motion": ["mean_speed"], "shape": ["mean_area", "n_cells"]}
 
 
-@query("metrics_json", RM)
+@query("metrics_json", RM, sql=f"""SELECT recording_id, '{{' || {json_fields("recording_id", "grp", "cohort")} || ',"motion":{{' || {json_fields("mean_speed")} || '}},"shape":{{' || {json_fields("mean_area", "n_cells")} || '}}}}' AS document FROM recording_metrics""")
 def metrics_json(rm):
     return K.metrics_documents(rm, ["recording_id"], NESTED)
 
@@ -88,7 +95,7 @@ def read_metrics(rm):
     return R.read_metrics(docs, METRIC_SCHEMA).select("recording_id", "label", "value")
 
 
-@query("export_metrics_subset", RM)
+@query("export_metrics_subset", RM, sql=f"""SELECT recording_id, '{{' || {json_fields("recording_id", "mean_speed", "n_cells")} || '}}' AS document FROM recording_metrics""")
 def export_metrics_subset(rm):
     return K.export_metrics_subset(rm, ["mean_speed", "n_cells", "absent"], ["recording_id"])
 
@@ -99,7 +106,7 @@ def batch_summary_csv(rm):
     return K.recording_metrics(rows).select("group", "name", "mean_speed_um_min", "refinement_chosen")
 
 
-@query("project_record", RM)
+@query("project_record", RM, sql=f"""SELECT recording_id, '{{"version":1,"state":{{' || {json_fields("recording_id", "grp", "cohort", "mean_speed", "mean_area", "n_cells")} || '}},"masks":"/masks/recording_id=' || recording_id || '"}}' AS document FROM recording_metrics""")
 def project_record(rm):
     return K.project_records(rm, "/masks")
 
@@ -170,3 +177,4 @@ def stream_gap_sessions(spark, sf_dir):
 
 QUERIES["stream_tracker"] = stream_tracker
 QUERIES["stream_gap_sessions"] = stream_gap_sessions
+ORACLE_SQL["stream_gap_sessions"] = "SELECT recording_id, label, first_frame, last_frame, n FROM (" + ORACLE_SQL["gap_sessions"] + ") x"

@@ -62,7 +62,7 @@ def test_query(spark, duck, sf_dir, name):
     compare(spark, duck, sf_dir, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["track_assign", "anchor_single", "edge_summary", "group_comparison", "normality_check", "shape_modes", "stream_gap_sessions"])
+@pytest.mark.parametrize("name", ["track_assign", "normality_check", "shape_modes"])
 def test_rows_only(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
