@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.staging import shared_dir
+from strandline.operators import assembled
 from strandline.operators import masks as M
 from strandline.operators import objects as O
+from strandline.operators import pixels as P
 from strandline.operators import tracks
-from strandline.plans.fixtures import view
+from strandline.plans.fixtures import duckdb_with, view
 from strandline.plans.q_tracks import STEPS, rounded
-from strandline.plans import q_linking  # noqa: F401
+from strandline.plans import q_linking, q_masks, q_pixels  # noqa: F401
 from strandline.plans.registry import ORACLE_SQL, QUERIES, query
 from strandline.sources import readers as R
 from strandline.sources import sinks as K
@@ -178,3 +181,33 @@ def stream_gap_sessions(spark, sf_dir):
 QUERIES["stream_tracker"] = stream_tracker
 QUERIES["stream_gap_sessions"] = stream_gap_sessions
 ORACLE_SQL["stream_gap_sessions"] = "SELECT recording_id, label, first_frame, last_frame, n FROM (" + ORACLE_SQL["gap_sessions"] + ") x"
+
+#: Pixels of at least 128 as masks of one object a frame.
+SEEDS = duckdb_with("pixels") + ",\nmask_px AS MATERIALIZED (SELECT recording_id, frame, 1 AS label, row_, col_ FROM pixels WHERE intensity >= 128)"
+FIGURES = ["mean_speed_um_min", "total_distance_um", "net_displacement_um", "persistence", "mean_area_um2", "area_cv", "mean_consec_iou", "mean_boundary_confidence", *assembled.EDGE_NAMES.values()]
+
+
+def seeded(name: str) -> str:
+    """The SQL of a query over masks, over SEEDS instead; its figures keep 12 digits, to be rounded once."""
+    return "(" + re.sub(r", [456]\) AS", ", 12) AS", ORACLE_SQL[name].replace(duckdb_with("mask_px"), SEEDS)) + ")"
+
+
+def analyze_masks(spark, sf_dir):
+    px = view(spark, sf_dir, "pixels")
+    rows = assembled.analyze_masks(P.seed_mask(px), px)
+    named = K.recording_metrics(rows.withColumn("group", F.lit("all")).withColumn("name", F.col("recording_id").cast("string")))
+    return rounded(named, *FIGURES, n=4)
+
+
+QUERIES["analyze_masks"] = analyze_masks
+ORACLE_SQL["analyze_masks"] = SEEDS + """,
+path AS (SELECT *, lead(frame) OVER w AS nf, sqrt(pow(lead(cy) OVER w - cy, 2) + pow(lead(cx) OVER w - cx, 2)) * 0.65::DOUBLE AS step FROM (
+  SELECT s.recording_id, s.frame, avg(row_) AS cy, avg(col_) AS cx FROM (SELECT recording_id, unnest(range(0, m + 1))::INT AS frame FROM (SELECT recording_id, max(frame) AS m FROM mask_px GROUP BY ALL) q) s
+  LEFT JOIN mask_px USING (recording_id, frame) GROUP BY ALL) x WINDOW w AS (PARTITION BY recording_id ORDER BY frame)),
+moved AS (SELECT recording_id, count(*) AS n_frames, avg(step) / 5.0::DOUBLE AS speed, coalesce(sum(step), 0) AS total,
+  CASE WHEN count(cy) >= 2 THEN 0.65::DOUBLE * sqrt(pow(arg_max(cy, frame) - arg_min(cy, frame), 2) + pow(arg_max(cx, frame) - arg_min(cx, frame), 2)) END AS net FROM path GROUP BY ALL)
+SELECT 'all' AS "group", recording_id::VARCHAR AS name, n_frames, round(speed, 4) AS mean_speed_um_min, round(total, 4) AS total_distance_um, round(net, 4) AS net_displacement_um, round(CASE WHEN total > 0 THEN net / total END, 4) AS persistence,
+  round(mean_area_um2, 4) AS mean_area_um2, round(area_cv, 4) AS area_cv, n_large_jumps, round(mean_consec_iou, 4) AS mean_consec_iou, round(confidence, 4) AS mean_boundary_confidence,
+  """ + ", ".join(f"round({a}, 4) AS {b}" for a, b in assembled.EDGE_NAMES.items()) + """, '?' AS refinement_chosen
+FROM moved LEFT JOIN """ + seeded("area_stability") + " a USING (recording_id) LEFT JOIN " + seeded("edge_summary") + """ e USING (recording_id)
+LEFT JOIN (SELECT recording_id, avg(confidence) AS confidence FROM """ + seeded("boundary_confidence") + " b GROUP BY ALL) c USING (recording_id)"
