@@ -106,7 +106,9 @@ def export_metrics_subset(rm):
 @query("batch_summary_csv", RM, sql="SELECT grp AS \"group\", recording_id::VARCHAR AS name, mean_speed::DOUBLE AS mean_speed_um_min, '?' AS refinement_chosen FROM recording_metrics")
 def batch_summary_csv(rm):
     rows = rm.select(F.col("grp").alias("group"), F.col("recording_id").cast("string").alias("name"), F.col("mean_speed").cast("double").alias("mean_speed_um_min"))
-    return K.recording_metrics(rows).select("group", "name", "mean_speed_um_min", "refinement_chosen")
+    path = f"{shared_dir(rm.sparkSession)}/summary-{uuid.uuid4().hex}"
+    K.batch_summary_csv(rows, path)
+    return rm.sparkSession.read.schema(K.recording_metrics(rows).schema).option("header", True).csv(path).select("group", "name", "mean_speed_um_min", "refinement_chosen")
 
 
 @query("project_record", RM, sql=f"""SELECT recording_id, '{{"version":1,"state":{{' || {json_fields("recording_id", "grp", "cohort", "mean_speed", "mean_area", "n_cells")} || '}},"masks":"/masks/recording_id=' || recording_id || '"}}' AS document FROM recording_metrics""")
@@ -123,7 +125,9 @@ def params_record(rm):
 
 @query("run_log_sink", LOG, sql="SELECT kind, ts, concat('- **', strftime(ts, '%Y-%m-%d %H:%M:%S'), '** ', message) AS line FROM run_log")
 def run_log_sink(log):
-    return K.log_markdown(log)
+    path = f"{shared_dir(log.sparkSession)}/log-{uuid.uuid4().hex}"
+    K.append_log(log, path)
+    return K.log_markdown(R.read_log(log.sparkSession, path, log.schema))
 
 
 @query("latest_log", LOG, sql="SELECT ts, kind, message, details FROM run_log QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ts DESC, message) = 1")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.sources.sinks import LOG_TIMES
+
 # File types of recordings.
 VIDEO = ("mp4", "avi", "mov", "tif", "tiff")
 
@@ -133,6 +135,11 @@ def load_detection(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The events that append_log wrote; their kind is the folder's name."""
+    return spark.read.schema(schema).options(**LOG_TIMES).json(path)
+
+
 def latest_log(log: DataFrame) -> DataFrame:
     """The last entry of every kind."""
     return log.withColumn("_r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("ts"), "message"))).where("_r = 1").drop("_r")

@@ -66,6 +66,10 @@ def log_markdown(log: DataFrame) -> DataFrame:
     return log.select("kind", "ts", line.alias("line"))
 
 
+#: Times of a log keep their microseconds.
+LOG_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append_log(log: DataFrame, path: str) -> None:
     """Append events as JSON lines, one folder per kind."""
-    log.write.mode("append").partitionBy("kind").json(path)
+    log.write.mode("append").options(**LOG_TIMES).partitionBy("kind").json(path)
