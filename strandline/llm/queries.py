@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.staging import shared_dir
-from strandline.llm import embeddings, langid, licenses, mixing, pieces, shards, simhash, toxicity, url_rules, winnow
+from strandline.llm import embeddings, infill, langid, licenses, mixing, negatives, pieces, shards, simhash, toxicity, url_rules, winnow
 
 # Rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -73,6 +73,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 def _license_sql() -> str:
     """The license query in SQL: every window against every template, without an index."""
     cut = [(k, licenses.template_words(t), label) for k, (t, label) in enumerate(licenses.TEMPLATES)]
@@ -109,6 +120,8 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_url_rules": op10_url_rules,
+    "op12_negatives": op12_negatives,
+    "op13_infill": op13_infill,
 }
 
 ORACLE_SQL = {
@@ -153,4 +166,32 @@ v AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJ
 SELECT v.page_id, v.host, v.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, coalesce(arg_max(r.action, length(r.h || r.p)), 'allow') AS verdict
 FROM v LEFT JOIN r ON (v.host = r.h OR ends_with(v.host, '.' || r.h)) AND starts_with(v.path, r.p)
 GROUP BY v.n, v.page_id, v.host, v.path""",
+    "op12_negatives": r"""
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.rid AS a, a.vec_id AS anchor_id, c.rid AS c, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.rid <> c.rid AND len(a.v) = len(c.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, c) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.id, s.c) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_infill": r"""
+WITH h AS (
+  SELECT coalesce(text, '') AS t, doc_id, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+k AS (SELECT t, doc_id, n, [('0x' || substr(d, 8 * j + 1, 8))::BIGINT for j in [0, 1, 2, 3]] AS h FROM h),
+c AS (
+  SELECT t, doc_id, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k),
+x AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x""",
 }
