@@ -23,32 +23,37 @@ REPORTS = frozenset("said says claimed called quoted reported wrote according sa
 THREATS = frozenset("kill hurt murder destroy strangle stab shoot slaughter umbringen töten tuer matar".split())
 INSULTS = frozenset("idiot moron stupid imbecile scum loser trottel dummkopf crétin imbécile idiota estúpido".split())
 
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+#: Words, and marks that end a clause; a mark before a closing quotation mark, or a colon before an opening one, ends none, so that a speaker belongs to what is said.
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?](?![\"”»])|;|:(?!\s*[\"“„«])|\n")
 ENDS = frozenset(".!?;:\n")
 STEMS = range(4, 9)
-SEED_WEIGHT = {"insult": 2.0, "threat": 1.5}
+#: Weights of the seeds, and the most that a learned word can weigh.
+SEED_WEIGHT, MOST_WEIGHT = 3.0, 4.0
 
-#: A transducer is {(state, symbol): (next state, factor now, factor held)}: of a weight read, the first share counts at once
-#: and the second when the clause still names a target; a symbol without an arc leaves a state unchanged, with factors 1 and 0.
+#: A transducer is {(state, symbol): (next state, factor now, factor held, scale)}: of a weight read, the first share counts at once
+#: and the second when the clause still names a target; scale weakens what the clause has counted and holds so far. A symbol
+#: without an arc leaves a state unchanged, with factors 1 and 0 and scale 1.
 #: A target on either side in the clause makes an insult weigh half as much again, and a threat weigh at all.
-TARGETED = {(0, "target"): (1, 1.0, 0.0), (0, "insult"): (0, 1.0, 0.5), (1, "insult"): (1, 1.5, 0.0), (0, "threat"): (0, 0.0, 1.5), (1, "threat"): (1, 1.5, 0.0), (1, "end"): (0, 1.0, 0.0)}
-#: A negation weakens what follows within two words.
-NEGATED = {(0, "negation"): (2, 1.0, 1.0), (1, "negation"): (2, 1.0, 1.0), (2, "word"): (1, 1.0, 1.0), (1, "word"): (0, 1.0, 1.0), (2, "target"): (1, 1.0, 1.0), (1, "target"): (0, 1.0, 1.0),
-           (2, "insult"): (0, 0.4, 0.4), (1, "insult"): (0, 0.4, 0.4), (2, "threat"): (0, 0.2, 0.2), (1, "threat"): (0, 0.2, 0.2), (2, "end"): (0, 1.0, 1.0), (1, "end"): (0, 1.0, 1.0)}
-#: Reported speech weakens the rest of its clause.
-REPORTED = {(0, "report"): (1, 1.0, 1.0), (1, "insult"): (1, 0.6, 0.6), (1, "threat"): (1, 0.4, 0.4), (1, "end"): (0, 1.0, 1.0)}
+TARGETED = {(0, "target"): (1, 1.0, 0.0, 1.0), (0, "insult"): (0, 1.0, 0.5, 1.0), (1, "insult"): (1, 1.5, 0.0, 1.0), (0, "threat"): (0, 0.0, 1.5, 1.0), (1, "threat"): (1, 1.5, 0.0, 1.0), (1, "end"): (0, 1.0, 0.0, 1.0)}
+#: A negation takes nearly all weight from what follows within two words.
+DENIED = 0.05
+NEGATED = {(0, "negation"): (2, 1.0, 1.0, 1.0), (1, "negation"): (2, 1.0, 1.0, 1.0), (2, "word"): (1, 1.0, 1.0, 1.0), (1, "word"): (0, 1.0, 1.0, 1.0), (2, "target"): (1, 1.0, 1.0, 1.0), (1, "target"): (0, 1.0, 1.0, 1.0),
+           (2, "insult"): (0, DENIED, DENIED, 1.0), (1, "insult"): (0, DENIED, DENIED, 1.0), (2, "threat"): (0, DENIED, DENIED, 1.0), (1, "threat"): (0, DENIED, DENIED, 1.0), (2, "end"): (0, 1.0, 1.0, 1.0), (1, "end"): (0, 1.0, 1.0, 1.0)}
+#: Reported speech weakens its whole clause, before and after the verb.
+TOLD = 0.1
+REPORTED = {(0, "report"): (1, 1.0, 1.0, TOLD), (1, "insult"): (1, TOLD, TOLD, 1.0), (1, "threat"): (1, TOLD, TOLD, 1.0), (1, "end"): (0, 1.0, 1.0, 1.0)}
 
 
 def compose(first: dict, second: dict) -> dict:
-    """The product of two transducers; factors multiply. The second one scales what the first counts and holds alike."""
+    """The product of two transducers; factors and scales multiply. The second one changes what the first counts and holds alike."""
     symbols = {s for _, s in first} | {s for _, s in second}
     states = lambda t: {q for q, _ in t} | {arc[0] for arc in t.values()}
     made = {}
     for p in states(first):
         for q in states(second):
             for s in symbols:
-                (p2, now, held), (q2, x, y) = first.get((p, s), (p, 1.0, 0.0)), second.get((q, s), (q, 1.0, 1.0))
-                made[((p, q), s)] = ((p2, q2), now * x, held * y)
+                (p2, now, held, scale), (q2, x, y, z) = first.get((p, s), (p, 1.0, 0.0, 1.0)), second.get((q, s), (q, 1.0, 1.0, 1.0))
+                made[((p, q), s)] = ((p2, q2), now * x, held * y, scale * z)
     return made
 
 
@@ -69,9 +74,10 @@ class Grammar:
         return max(found, key=lambda x: x[1], default=None)
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """log(1 + sum of clause scores), the largest clause score, matches that weigh (threats only beside a target) per 100 words.
+        """log(1 + sum of clause scores), the largest clause score, the sum for each 100 words of a text that is 50 words longer.
 
-        Clauses without an insult or threat score nothing and leave the machine in its start state, so only the others are read.
+        All three follow the clauses' scores alone. Clauses without an insult or threat score nothing and leave the machine in its
+        start state, so only the others are read.
         """
         if len(self.seen) > self.CACHE:
             self.seen.clear()
@@ -79,27 +85,26 @@ class Grammar:
         for w in set(tokens).difference(seen):
             seen[w] = self.symbol(w)
         hits = [k for k, w in enumerate(tokens) if seen[w]]
-        state, total, largest, matches, done = ((0, 0), 0), 0.0, 0.0, 0, -1
+        state, total, largest, done = ((0, 0), 0), 0.0, 0.0, -1
         for k in hits:
             if k <= done:
                 continue
             lo = k
             while lo > 0 and tokens[lo - 1] not in ENDS:
                 lo -= 1
-            score, held, waiting, done = 0.0, 0.0, 0, lo
+            score, held, done = 0.0, 0.0, lo
             while done < len(tokens) and tokens[done] not in ENDS:
                 w = tokens[done]
                 kind, weight = seen[w] or ("target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "word", 0.0)
-                state, now, later = self.arcs.get((state, kind), (state, 1.0, 0.0))
-                score, held = score + weight * now, held + weight * later
-                matches, waiting = matches + (kind == "insult"), waiting + (kind == "threat")
+                state, now, later, scale = self.arcs.get((state, kind), (state, 1.0, 0.0, 1.0))
+                score, held = score * scale + weight * now, held * scale + weight * later
                 if state[0][0]:
-                    score, held, matches, waiting = score + held, 0.0, matches + waiting, 0
+                    score, held = score + held, 0.0
                 done += 1
             state = self.arcs[state, "end"][0]
             total += score
             largest = max(largest, score)
-        return math.log1p(total), largest, 100.0 * matches / max(1, len(tokens))
+        return math.log1p(total), largest, 100.0 * total / (len(tokens) + 50)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic: int, clean: int) -> DataFrame:
@@ -136,7 +141,7 @@ def _counts(sample: DataFrame, pos: int, neg: int) -> DataFrame:
     return found.withColumn("x", _odds(F.col("p"), F.col("n"), pos, neg)).withColumn("x0", _odds(F.col("p0"), F.col("n0"), pos, neg))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 3000, clean_rows: int = 6000, least_rows: int = 5, least_share: float = 0.01, least_odds: float = 3.0) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 3000, clean_rows: int = 6000, least_rows: int = 8, least_share: float = 0.02, least_odds: float = 3.0) -> dict:
     """Lexicon and calibration from labelled rows (id_col, toxic) joined to docs (id_col, text).
 
     The fit uses a sample of about toxic_rows toxic and clean_rows clean rows, chosen by the hash of the id (a bound in
@@ -145,8 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows
     hold them and the log-odds reach least_odds. A word that tells a toxic text only beside a target is a threat: least_rows texts
     hold it in a clause without one, and by those alone its log-odds are below half of least_odds, while with a target in the clause they
     reach least_odds. All others are insults. Of nested beginnings the longest that still covers 95 % of the shorter
-    one's rows stays. Seed words whose log-odds are not positive leave the lexicon. The calibration is a logistic
-    regression of the label on the grammar's three features over the same sample.
+    one's rows stays. No word weighs more than MOST_WEIGHT. Seed words whose log-odds are not positive leave the lexicon. The
+    calibration is a logistic regression of the label on the grammar's three features, all of clause scores, over the same sample.
 
     Null texts and labels teach nothing; empty texts count as texts without words; rows of equal ids and labels count as often as
     docs holds the id; without rows of both labels the seeds and a fixed calibration are the model. Other columns are ignored.
@@ -155,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     seeds = dict.fromkeys(INSULTS, "insult") | dict.fromkeys(THREATS, "threat")
-    lexicon = {w: (kind, SEED_WEIGHT[kind]) for w, kind in seeds.items()}
+    lexicon = {w: (kind, SEED_WEIGHT) for w, kind in seeds.items()}
     if pos and neg:
         counts = _counts(sample, pos, neg).withColumn("x1", _odds(F.col("p") - F.col("p0"), F.col("n") - F.col("n0"), pos, neg))
         threat = (F.col("p0") + F.col("n0") >= least_rows) & (F.col("x0") < least_odds / 2) & (F.col("x1") >= least_odds)
@@ -168,13 +173,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows
         for s in sorted(stems, key=lambda s: (len(s), s)):
             if any(s.startswith(k) for k in kept) or any(t != s and t.startswith(s) and stems[t]["p"] >= 0.95 * stems[s]["p"] for t in stems):
                 continue
-            kept[s] = (kind(stems[s]), stems[s]["weight"])
+            kept[s] = (kind(stems[s]), min(stems[s]["weight"], MOST_WEIGHT))
         for r in rows:
             if r["g"] in seeds and r["weight"] <= 0:
                 del lexicon[r["g"]]
             elif r["g"] in seeds:
-                lexicon[r["g"]] = (seeds[r["g"]], max(r["weight"], SEED_WEIGHT[seeds[r["g"]]]))
-        lexicon |= {g: (kind(r), r["weight"]) for g, r in told.items() if g not in seeds and not g.endswith("*") and not any(g.startswith(k) for k in kept)}
+                lexicon[r["g"]] = (seeds[r["g"]], min(max(r["weight"], SEED_WEIGHT), MOST_WEIGHT))
+        lexicon |= {g: (kind(r), min(r["weight"], MOST_WEIGHT)) for g, r in told.items() if g not in seeds and not g.endswith("*") and not any(g.startswith(k) for k in kept)}
         lexicon |= {f"{s}*": x for s, x in kept.items()}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows
             x = np.array([grammar.features(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
 
-    weights = [-2.0, 1.0, 0.0, 0.0]
+    weights = [-3.0, 1.0, 0.0, 0.5]
     if pos and neg:
         rows = np.array([tuple(r) for r in sample.mapInArrow(featured, "toxic int, a double, b double, c double").collect()], np.float64)
         weights = _logistic(rows[:, 1:], rows[:, 0])

@@ -421,22 +421,19 @@ def test_language_against_brute_force(spark, docs, sf_dir):
 
 def brute_clause(words, lexicon):
     """Score of a clause, weight by weight: no transducers."""
-    total, since, reported = 0.0, 9, False
-    aimed = any(w in toxicity.TARGETS for w in words if w not in lexicon)
+    total, since = 0.0, 9
+    other = [w for w in words if w not in lexicon]
+    aimed, told = any(w in toxicity.TARGETS for w in other), any(w in toxicity.REPORTS and w not in toxicity.TARGETS | toxicity.NEGATIONS for w in other)
     for w in words:
         if w in lexicon:
             kind, weight = lexicon[w]
-            x = weight * (1.5 if aimed else 1.0 if kind == "insult" else 0.0)
-            x *= 1.0 if since >= 2 else 0.4 if kind == "insult" else 0.2
-            total += x * (1.0 if not reported else 0.6 if kind == "insult" else 0.4)
+            total += weight * (1.5 if aimed else 1.0 if kind == "insult" else 0.0) * (1.0 if since >= 2 else 0.05) * (0.1 if told else 1.0)
             since = 9
         elif w in toxicity.TARGETS:
             since += 1
         elif w in toxicity.NEGATIONS:
             since = 0
-        elif w in toxicity.REPORTS:
-            reported = True
-        else:
+        elif w not in toxicity.REPORTS:
             since += 1
     return total
 
@@ -449,17 +446,16 @@ def brute_features(t, lexicon):
             found = [lexicon[k] for k in [w] + [w[:n] + "*" for n in range(4, 9) if len(w) >= n] if k in lexicon]
             words[w] = max(found, key=lambda x: x[1], default=None)
         return words[w]
-    tokens = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]", (t or "").lower())
-    clauses = [[]]
-    for w in tokens:
-        if w in ".!?;:\n":
-            clauses.append([])
-        else:
+    t, clauses, marks = (t or "").lower(), [[]], 0
+    for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]", t):
+        w, after = m[0], t[m.end():]
+        if w not in ".!?;:\n":
             clauses[-1].append(w)
+        elif not (w in ".!?" and after[:1] in tuple('"”»') or w == ":" and after.lstrip()[:1] in tuple('"“„«')):
+            clauses.append([])
+            marks += 1
     scores = [brute_clause(c, {w: look(w) for w in c if look(w)}) for c in clauses]
-    aimed = lambda c: any(w in toxicity.TARGETS for w in c if not look(w))
-    matches = sum(look(w)[0] == "insult" or aimed(c) for c in clauses for w in c if look(w))
-    return np.log1p(sum(scores)), max(scores), 100 * matches / max(1, len(tokens))
+    return np.log1p(sum(scores)), max(scores), 100 * sum(scores) / (sum(map(len, clauses)) + marks + 50)
 
 
 def brute_toxic(t, model):
@@ -488,7 +484,7 @@ def test_toxicity_against_brute_force(spark, docs, sf_dir):
 def test_grammar_against_brute_force():
     rng = np.random.default_rng(3)
     lexicon = {"idiot": ("insult", 2.0), "kill": ("threat", 1.5), "clow*": ("insult", 1.0), "clowns": ("threat", 3.0)}
-    every = ["idiot", "kill", "clown", "clowns", "you", "them", "not", "never", "said", "the", "process", "a", "now", ".", "!"]
+    every = ["idiot", "kill", "clown", "clowns", "you", "them", "not", "never", "said", "the", "process", "a", "now", ".", "!", '!"', ': "', ":", '"']
     g = toxicity.Grammar(lexicon)
     for _ in range(400):
         t = " ".join(rng.choice(every, int(rng.integers(0, 25))))
@@ -499,7 +495,7 @@ def test_grammar_weighs_clauses():
     g = toxicity.Grammar({"idiot": ("insult", 2.0), "scumm*": ("insult", 3.0), "kill": ("threat", 1.5)})
     score = lambda t: g.features(t)[1]
     assert score("you idiot") == score("idiot like you") > score("idiot here") > score("not an idiot") > 0 == score("nothing here")
-    assert score("he said some idiot came") < score("some idiot came he said") and score("Scummery") == 3.0
+    assert score("he said some idiot came") == pytest.approx(score("some idiot came he said")) == score('"some idiot came!" he said') == score('he said: "some idiot came"') < score("some idiot came") / 5 and score("Scummery") == 3.0
     assert score("kill the process") == 0 < score("I will make you pay and kill you") and g.features("")[:2] == (0, 0)
 
 
@@ -507,7 +503,30 @@ def test_threats_wait_for_a_target():
     g = toxicity.Grammar({"kill": ("threat", 1.5)})
     score = lambda t: g.features(t)[1]
     assert score("I will kill you") == score("you I will kill") == score("kill them all") > score("I will not kill you") > 0
-    assert score("kill the process") == score("kill the process. you can") == 0 < score("he said I will kill you") < score("I will kill you now, he said")
+    assert score("kill the process") == score("kill the process. you can") == 0 < score("he said I will kill you") == pytest.approx(score("I will kill you now, he said")) and score("he said I will kill you") < score("I will kill you now")
+
+
+#: (sentence, whether it is toxic): plain ones, and the same negated, reported and without a target.
+SENTENCES = [("you idiot", 1), ("what a moron", 1), ("I will kill you", 1), ("you are a stupid loser", 1), ("you are not an idiot", 0), ("he said you idiot", 0), ('"you idiot", he said', 0), ('"You idiot!" she said', 0),
+             ('he wrote: "what a moron"', 0), ("kill the process", 0), ("I will not kill you", 0), ("you are never stupid", 0), ("a nice day", 0), ("", 0)]
+
+
+def test_clauses_decide_the_prediction(spark, sf_dir, monkeypatch):
+    """Learned from the tables, the score weighs negation, report and target; with these factors at 1 the same model calls the sentences toxic."""
+    path = sf_dir.replace("sf0.001", "sf0.01")
+    model = queries.toxicity_model(queries.documents(spark, path), spark.read.parquet(f"{path}/labels.parquet"))
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SENTENCES)], "doc_id long, text string")
+    judged = lambda: {r["doc_id"]: (r["predicted"], r["score"]) for r in toxicity.score_toxicity(texts, model).collect()}
+    got = judged()
+    assert [got[k][0] for k in range(len(SENTENCES))] == [x for _, x in SENTENCES]
+    assert got[4][1] < 0.5 < got[0][1]
+    flat = {arc: (to, 1.0, 0.0, 1.0) for arc, (to, *_) in toxicity.compose(toxicity.compose(toxicity.TARGETED, toxicity.NEGATED), toxicity.REPORTED).items()}
+    g = toxicity.Grammar(model["lexicon"])
+    g.arcs = flat
+    w = model["weights"]
+    for k, (t, x) in enumerate(SENTENCES):
+        neutral = w[0] + np.dot(w[1:], g.features(t))
+        assert (neutral >= 0) == (k < 12)
 
 
 def test_threats_and_insults_are_learned(spark):
