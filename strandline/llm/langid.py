@@ -47,11 +47,12 @@ class Encoder:
         base = NARROW + HASHED
         grams, counts = np.unique((codes[:-2] * base + codes[1:-1]) * base + codes[2:], return_counts=True)
         a, b, c = self.turned
-        bound = a[grams // (base * base)] * b[grams // base % base]
-        bound *= c[grams % base]
         total = np.zeros(self.dims, np.float32)
         for lo in range(0, len(grams), 4096):
-            total += counts[lo:lo + 4096].astype(np.float32) @ bound[lo:lo + 4096].astype(np.float32)
+            g = grams[lo:lo + 4096]
+            bound = a[g // (base * base)] * b[g // base % base]
+            bound *= c[g % base]
+            total += counts[lo:lo + 4096].astype(np.float32) @ bound.astype(np.float32)
         norm = float(np.linalg.norm(total))
         return total / norm if norm else total
 

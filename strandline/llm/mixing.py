@@ -16,9 +16,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def random_key(id_col: str, seed: str) -> Column:
-    """A key uniform in [0, 2^60) that depends on the seed and the id alone."""
-    text = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def random_key(id_col: str, size: Column, seed: str) -> Column:
+    """A key uniform in [0, 2^60) that depends on the seed, the id and the size alone: rows that share an id (or null) spread by their sizes."""
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("-"), size.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -60,7 +60,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     Null texts have size 0 and take 0 words; null sources are a source of their own, last; rows with equal id and size
     are interchangeable and each has its own place; empty tables give no rows; further columns of docs are ignored.
     """
-    rows = docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(id_col, seed).alias("_key"))
+    rows = docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = rows.withColumn("_key", random_key(id_col, F.col("size"), seed))
     largest = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 1
     width = -(-(1 << KEY_BITS) // max(1, -(-largest // rows_per_bucket)))
     rows = staged(rows.withColumn("_bucket", F.expr(f"_key div {width}")), "sizes")

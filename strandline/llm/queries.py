@@ -143,7 +143,7 @@ FROM v JOIN reach USING (rid) GROUP BY v.rid, v.vec_id""",
     "op5_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('mix-' || coalesce(doc_id::VARCHAR, 'null') || '-' || size), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (

@@ -11,7 +11,7 @@ def _below(value: Column, bounds: list[int], equal: bool) -> Column:
     if not bounds:
         return F.lit(0)
     steps = [1 << j for j in range(len(bounds).bit_length() - 1, -1, -1)]
-    table = F.array(*[F.lit(b) for b in bounds])
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # one literal, folded once: a hundred thousand bounds are planned in a moment
     passed = (lambda x: x <= value) if equal else (lambda x: x < value)
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & passed(F.get(table, at + s - 1)), at + s).otherwise(at))
 

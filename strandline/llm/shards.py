@@ -6,12 +6,13 @@ import functools
 import hashlib
 import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -169,15 +170,23 @@ def materialise(docs: DataFrame, model: str, folder: str, key: str = "order-1",
     return functools.reduce(DataFrame.unionByName, index)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder as a URI, resolved as Spark resolves paths: without a scheme it lies in the cluster's default file system and not on an executor's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", uri)
+
+
 def write_shards(ordered: DataFrame, folder: str, index: bool = False) -> DataFrame:
     """Write the rows of training_order as folder/shard-NNNNNNNN.bin and return (shard, first_slot, sequences, bytes, sha256), or the rows without their records as an index.
 
-    folder is a URI that pyarrow's filesystems reach from every executor (file:, hdfs:, s3:). A shard is written under a
+    folder is a path of Spark's, in a file system that pyarrow too reaches from every executor (file:, hdfs:, s3:). A shard is written under a
     temporary name and moved into place, so a task that runs twice leaves the same file. The result is lazy; shards are written
     when it is computed. Readers resume at a slot by seeking to its offset in its shard. Of the columns only shard, slot and
     record are read; no rows leave no shard.
     """
     rest = [c for c in ordered.columns if c != "record"] if index else []
+    folder = qualified(ordered.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,6 +138,12 @@ def test_hot_ids_are_spread_in_order(spark):
     got = [(r["i"] is None, r["i"] or 0, r["h"], r["r"]) for r in df.withColumn("r", ranges.range_of(F.col("i"), F.col("h"), bounds, nulls)).collect()]
     numbers = [x[3] for x in sorted(got)]
     assert numbers == sorted(numbers) and max(Counter(numbers).values()) < 200
+    many = sorted(range(0, 3_000_000, 30))
+    began = time.time()
+    far = spark.range(0, 3_000_000, 7_919).withColumn("r", ranges.range_of(F.col("id"), F.lit(0).cast("long"), many, 1))
+    far.schema
+    assert time.time() - began < 2
+    assert all(r["r"] == -(-r["id"] // 30) + (r["id"] % 30 == 0) for r in far.collect())
     assert ranges.id_ranges(df.limit(0), "i")[0] == [] and ranges.id_ranges(df.where("i is null"), "i", ranges=4) == ([], 4)
 
 
@@ -238,6 +245,20 @@ def test_mix(spark, odd, none, docs):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_keys_of_shared_ids_are_spread(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), (F.col("id") % 200 + 1).alias("size"))
+    keys = rows.withColumn("k", mixing.random_key("doc_id", F.col("size"), "mix"))
+    assert keys.groupBy("k").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_bundles_of_many_trigrams_in_chunks():
+    encoder = langid.Encoder(64, 1)
+    text = "".join(chr(0x4E00 + k) for k in np.random.default_rng(0).integers(0, 900, 30_000))
+    codes, (a, b, c) = encoder.codes(text), encoder.turned
+    total = sum((a[x].astype(int) * b[y] * c[z] for x, y, z in zip(codes, codes[1:], codes[2:])), np.zeros(64, int))
+    assert np.allclose(encoder.bundle(text), total / np.linalg.norm(total), atol=1e-5)
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 def components(n, pairs):
@@ -579,7 +600,7 @@ def brute_copies(rows):
     for k, (i, t, source) in enumerate(rows):
         h = xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
         name = f"{{{'null' if i is None else i}, {h - 2**64 if h >= 2**63 else h}}}"
-        by[source].append((int(hashlib.md5(f"mix-{name}".encode()).hexdigest()[:15], 16), k, size(t)))
+        by[source].append((int(hashlib.md5(f"mix-{name}-{size(t)}".encode()).hexdigest()[:15], 16), k, size(t)))
     order = sorted(s for s in by if s is not None) + [None] * (None in by)
     weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {s: sum(x[2] for x in by[s]) for s in by}
     left, active, target = 1.5 * sum(total.values()), set(order), {}
