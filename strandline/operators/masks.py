@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,39 +81,152 @@ def paste_back(cropped: DataFrame) -> DataFrame:
     return cropped.select(*OBJECT, (F.col("row_") + F.col("r0")).alias("row_"), (F.col("col_") + F.col("c0")).alias("col_"))
 
 
-def boundary_pixels(px: DataFrame) -> DataFrame:
-    """Pixels with a 4-neighbour that is not of their object (holes included). Pixels are unique within an object.
+def _with_neighbours(px: DataFrame) -> DataFrame:
+    """Distinct pixels dealt by object, with the columns before and after in their row and the rows before and after in their column."""
+    rows, cols = W.partitionBy(*OBJECT, "row_").orderBy("col_"), W.partitionBy(*OBJECT, "col_").orderBy("row_")
+    p = px.select(*OBJECT, "row_", "col_").repartition(*OBJECT)
+    return p.withColumns({"_w": F.lag("col_").over(rows), "_e": F.lead("col_").over(rows), "_n": F.lag("row_").over(cols), "_s": F.lead("row_").over(cols)})
+
+
+def _open_sides() -> Column:
+    """The 4-neighbours of a pixel that are not of its object, as (row_, col_)."""
+    at = lambda r, c: F.struct(r.cast("int").alias("row_"), c.cast("int").alias("col_"))
+    r, c = F.col("row_"), F.col("col_")
+    absent = lambda seen, want, where: F.when(~F.coalesce(F.col(seen) == want, F.lit(False)), where)
+    return F.array_compact(F.array(absent("_w", c - 1, at(r, c - 1)), absent("_e", c + 1, at(r, c + 1)), absent("_n", r - 1, at(r - 1, c)), absent("_s", r + 1, at(r + 1, c))))
+
+
+def edge_pixels(px: DataFrame) -> DataFrame:
+    """Pixels with a 4-neighbour that is not of their object, edges of holes included. Pixels are unique within an object.
 
     One shuffle by object; a pixel is inner when its neighbours in the sorted row and column are the adjacent ones.
     """
-    rows, cols = W.partitionBy(*OBJECT, "row_").orderBy("col_"), W.partitionBy(*OBJECT, "col_").orderBy("row_")
-    beside = lambda c, w: (F.lag(c).over(w) == F.col(c) - 1) & (F.lead(c).over(w) == F.col(c) + 1)
-    p = px.select(*OBJECT, "row_", "col_").repartition(*OBJECT).withColumn("_h", beside("col_", rows)).withColumn("_v", beside("row_", cols))
-    return p.where(~F.coalesce(F.col("_h") & F.col("_v"), F.lit(False))).select(*OBJECT, "row_", "col_")
+    return _with_neighbours(px).where(F.size(_open_sides()) > 0).select(*OBJECT, "row_", "col_")
+
+
+def _enclosed(gaps: pd.DataFrame) -> pd.DataFrame:
+    """The gaps of one object that no chain of gaps, each overlapping one of the next row, connects with an open one."""
+    gaps = gaps.sort_values(["row_", "c0"], ignore_index=True)
+    rows, lo, hi, seen = (gaps[c].to_numpy() for c in ("row_", "c0", "c1", "open"))
+    values, starts = np.unique(rows, return_index=True)
+    at = {r: range(a, b) for r, a, b in zip(values, starts, np.append(starts[1:], len(rows)))}
+    seen = seen.copy()
+    todo = np.flatnonzero(seen).tolist()
+    while todo:
+        k = todo.pop()
+        for r in (rows[k] - 1, rows[k] + 1):
+            for j in at.get(r, ()):
+                if not seen[j] and lo[j] <= hi[k] and hi[j] >= lo[k]:
+                    seen[j] = True
+                    todo.append(j)
+    return gaps.loc[~seen, [*OBJECT, "row_", "c0", "c1"]]
+
+
+def holes(px: DataFrame) -> DataFrame:
+    """(recording_id, frame, label, row_, c0, c1): the runs of background that an object encloses.
+
+    Only the gaps between an object's runs in a row can be holes. A gap is open where it meets the outside of the row above or
+    below (a missing row, or columns before its first or after its last pixel); background hangs together by rows and
+    columns, so gaps of neighbouring rows that overlap are one area, and areas without an open gap are holes. Gaps are few and
+    those of one object bounded by its box: only they are grouped.
+    """
+    p = _with_neighbours(px)
+    gap = F.when(F.col("col_") - F.col("_w") > 1, F.struct((F.col("_w") + 1).cast("int").alias("c0"), (F.col("col_") - 1).cast("int").alias("c1")))
+    lines = p.groupBy(*OBJECT, "row_").agg(F.min("col_").alias("f0"), F.max("col_").alias("f1"), F.collect_list(gap).alias("gaps"))
+    rows = W.partitionBy(*OBJECT).orderBy("row_")
+    beside = lambda move, step: F.when(move("row_").over(rows) == F.col("row_") + step, F.struct(move("f0").over(rows).alias("f0"), move("f1").over(rows).alias("f1")))
+    lines = lines.withColumn("_up", beside(F.lag, -1)).withColumn("_down", beside(F.lead, 1)).where(F.size("gaps") > 0)
+    gaps = lines.select(*OBJECT, F.col("row_").cast("int").alias("row_"), "_up", "_down", F.explode("gaps").alias("g")).select(*OBJECT, "row_", "_up", "_down", "g.*")
+    leaves = lambda side: F.coalesce((F.col("c0") < F.col(f"{side}.f0")) | (F.col("c1") > F.col(f"{side}.f1")), F.lit(True))
+    gaps = gaps.select(*OBJECT, "row_", "c0", "c1", (leaves("_up") | leaves("_down")).alias("open"))
+    kinds = dict(px.dtypes)
+    return gaps.groupBy(*OBJECT).applyInPandas(_enclosed, ", ".join([*(f"{c} {kinds[c]}" for c in OBJECT), "row_ int, c0 int, c1 int"]))
+
+
+def boundary_pixels(px: DataFrame) -> DataFrame:
+    """Pixels of an object's outer boundary: those with a 4-neighbour outside of it that lies in none of its holes.
+
+    So a ring and its filled disc have one boundary. Pixels are unique within an object. Pixels are shuffled once by object; the
+    holes of an object, mostly none, come to it as an array in a join by object.
+    """
+    enclosed = holes(px).groupBy(*OBJECT).agg(F.collect_list(F.struct("row_", "c0", "c1")).alias("_holes"))
+    edge = _with_neighbours(px).withColumn("_open", _open_sides()).where(F.size("_open") > 0).join(enclosed, OBJECT, "left")
+    outside = lambda o: ~F.exists("_holes", lambda h: (h["row_"] == o["row_"]) & o["col_"].between(h["c0"], h["c1"]))
+    return edge.where(F.col("_holes").isNull() | F.exists("_open", outside)).select(*OBJECT, "row_", "col_")
+
+
+HULL = "array<struct<y:bigint,x:bigint>>"
+
+
+def _chain(points: list) -> list:
+    out = []
+    for p in points:
+        while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            out.pop()
+        out.append(p)
+    return out
+
+
+def hull_points(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull, in order; those of a union follow from those of its parts."""
+    points = sorted(set(points))
+    return points if len(points) < 3 else _chain(points)[:-1] + _chain(points[::-1])[:-1]
+
+
+def lattice_points(hull: list[tuple[int, int]]) -> int:
+    """Pixel centres in a closed hull whose coordinates are twice those of pixels."""
+    points = sorted(hull)
+    low, high = _chain(points), _chain(points[::-1])[::-1]
+    y = np.arange(-(-points[0][0] // 2), points[-1][0] // 2 + 1) * 2
+    one, two = (np.interp(y, [p[0] for p in side], [p[1] for p in side]) for side in (low, high))
+    left, right = np.minimum(one, two), np.maximum(one, two)
+    return int((np.floor(right / 2 + 1e-9) - np.ceil(left / 2 - 1e-9) + 1).sum())
+
+
+def convex_areas(px: DataFrame, band: int = 256) -> DataFrame:
+    """(recording_id, frame, label, convex): pixels whose centre lies in the convex hull of the object's pixel edges' midpoints.
+
+    Of a row only its first and last pixel enter, counted before the shuffle. Hulls of bands of rows merge into that of the object by
+    their corners, so no task holds more than a band's rows or an object's corners.
+    """
+    @F.pandas_udf(HULL)
+    def hull(points: pd.Series) -> pd.Series:
+        return pd.Series([[{"y": y, "x": x} for y, x in hull_points([(p["y"], p["x"]) for p in ps])] for ps in points])
+
+    @F.pandas_udf("bigint")
+    def size(points: pd.Series) -> pd.Series:
+        return pd.Series([lattice_points(hull_points([(p["y"], p["x"]) for p in ps])) for ps in points], dtype="int64")
+
+    ends = px.groupBy(*OBJECT, "row_").agg(F.min("col_").cast("long").alias("a"), F.max("col_").cast("long").alias("b"))
+    y, a, b = 2 * F.col("row_").cast("long"), 2 * F.col("a"), 2 * F.col("b")
+    at = lambda r, c: F.struct(r.alias("y"), c.alias("x"))
+    ends = ends.select(*OBJECT, F.floor(F.col("row_") / band).alias("_band"), F.array(at(y, a - 1), at(y, b + 1), at(y - 1, a), at(y - 1, b), at(y + 1, a), at(y + 1, b)).alias("p"))
+    bands = ends.groupBy(*OBJECT, "_band").agg(F.flatten(F.collect_list("p")).alias("p")).withColumn("p", hull("p"))
+    return bands.groupBy(*OBJECT).agg(F.flatten(F.collect_list("p")).alias("p")).select(*OBJECT, size("p").alias("convex"))
 
 
 def shape_descriptors(px: DataFrame, um: float = UM_PER_PX) -> DataFrame:
-    """area_um2, perimeter_um, circularity, aspect_ratio (bbox width / height) and eccentricity of every object.
+    """area_um2, perimeter_um, circularity, solidity, aspect_ratio (bbox width / height) and eccentricity of every object.
 
-    The perimeter is the length of the chain of boundary pixels: 1 for neighbours in a row or column, the root of 2 for
-    diagonal ones. Eccentricity comes from the eigenvalues of the pixel covariance (each pixel a unit square). The
-    circularity of an object without length is null.
+    The perimeter is the length of the chain of edge pixels, those of holes too: 1 for neighbours in a row or column, the root of 2 for
+    diagonal ones. Solidity is the area over that of the convex hull (convex_areas). Eccentricity comes from the eigenvalues of
+    the pixel covariance (each pixel a unit square). The circularity of an object without length is null.
     """
     sides = px.groupBy(*OBJECT).agg(
         F.count("*").alias("n"), (F.max("col_") - F.min("col_") + 1).alias("w"), (F.max("row_") - F.min("row_") + 1).alias("h"),
         (F.var_pop("row_") + F.lit(1 / 12)).alias("vr"), (F.var_pop("col_") + F.lit(1 / 12)).alias("vc"), F.covar_pop("row_", "col_").alias("cov"))
-    s = sides.join(chain_length(px), OBJECT)
+    s = sides.join(chain_length(px), OBJECT).join(convex_areas(px), OBJECT)
     half, spread = (F.col("vr") + F.col("vc")) / 2, F.sqrt(((F.col("vr") - F.col("vc")) / 2) ** 2 + F.col("cov") ** 2)
     area, perimeter = F.col("n") * um * um, F.col("length") * um
     return s.select(*OBJECT, area.alias("area_um2"), perimeter.alias("perimeter_um"), F.when(perimeter > 0, 4 * math.pi * area / (perimeter * perimeter)).alias("circularity"),
-                    (F.col("w") / F.col("h")).alias("aspect_ratio"), F.sqrt(1 - (half - spread) / (half + spread)).alias("eccentricity"))
+                    (F.col("n") / F.col("convex")).alias("solidity"), (F.col("w") / F.col("h")).alias("aspect_ratio"), F.sqrt(1 - (half - spread) / (half + spread)).alias("eccentricity"))
 
 
 def chain_length(px: DataFrame) -> DataFrame:
-    """Length of every object's boundary chain. Each boundary pixel marks its corner of the four 2 x 2 cells around it;
+    """Length of every object's edge chain. Each edge pixel marks its corner of the four 2 x 2 cells around it;
     a straight pair is seen by two cells, a lone diagonal pair by one."""
     corners = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(b).alias("b")) for r, c, b in ((0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8))]))
-    cells = boundary_pixels(px).withColumn("_k", corners)
+    cells = edge_pixels(px).withColumn("_k", corners)
     cells = cells.groupBy(*OBJECT, (F.col("row_") + F.col("_k.r")).alias("r"), (F.col("col_") + F.col("_k.c")).alias("c")).agg(F.sum("_k.b").alias("m"))
     straight = [F.when(F.col("m").bitwiseAND(F.lit(pair).cast("long")) == pair, 0.5).otherwise(0.0) for pair in (3, 12, 5, 10)]
     weight = straight[0] + straight[1] + straight[2] + straight[3] + F.when(F.col("m").isin(6, 9), math.sqrt(2)).otherwise(0.0)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strandline.operators.masks import OBJECT, boundary_pixels
+from strandline.operators.masks import OBJECT, convex_areas
 
 
 def per_object_apply(px: DataFrame, fn: Callable[[np.ndarray], np.ndarray], pad: int = 5) -> DataFrame:
@@ -33,29 +33,6 @@ def per_object_apply(px: DataFrame, fn: Callable[[np.ndarray], np.ndarray], pad:
     return px.groupBy(*OBJECT).applyInPandas(run, f"recording_id {kinds['recording_id']}, frame int, label int, row_ int, col_ int")
 
 
-def hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull of integer pixels taken as unit squares (monotone chain over their corners)."""
-    corners = np.unique(np.concatenate([points + d for d in ((0, 0), (0, 1), (1, 0), (1, 1))]), axis=0)
-
-    def chain(ps):
-        out = []
-        for p in ps:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = np.array(chain(corners.tolist()) + chain(corners[::-1].tolist()), float)
-    x, y = hull[:, 0], hull[:, 1]
-    return 0.5 * abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
-
-
 def solidity(px: DataFrame) -> DataFrame:
-    """Area over convex-hull area of every object; hulls are built from boundary pixels only."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({k: [group[k].iat[0]] for k in OBJECT} | {"hull": [hull_area(group[["row_", "col_"]].to_numpy())]})
-
-    kinds = dict(px.dtypes)
-    hulls = boundary_pixels(px).groupBy(*OBJECT).applyInPandas(run, f"recording_id {kinds['recording_id']}, frame int, label int, hull double")
-    areas = px.groupBy(*OBJECT).count()
-    return areas.join(hulls, OBJECT).selectExpr(*OBJECT, "count / hull as solidity")
+    """Area over convex-hull area of every object (masks.convex_areas)."""
+    return px.groupBy(*OBJECT).count().join(convex_areas(px), OBJECT).selectExpr(*OBJECT, "count / convex as solidity")

@@ -19,13 +19,14 @@ FROM (SELECT event_id, event_type AS recording_id, CAST(floor((unix_micros(CAST(
              value AS cy, 5 * CAST(get_json_object(props,'$.k') AS DOUBLE) AS cx, 200 + event_id % 1800 AS area_px FROM events) e""",
     "mask_px": r"""
 WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS frame FROM part), o AS (
-SELECT p_brand AS recording_id, frame, label, r, c, h, w FROM (
+SELECT p_brand AS recording_id, frame, label, r, c, h, w, p_size FROM (
   SELECT p_brand, p_partkey, frame, 1 AS label, 20 + frame % 20 + p_size % 3 AS r, 20 + 2 * (frame % 10) AS c, 3 + p_size % 8 AS h, CAST(3 + p_partkey % 5 AS INT) AS w, p_size FROM b
   UNION ALL
   SELECT p_brand, p_partkey, frame, 2, 23 + frame % 20 + p_size % 3, 31 + 2 * (frame % 10), CAST(3 + p_partkey % 5 AS INT), 3 + p_size % 8, p_size FROM b WHERE p_size % 2 = 1) o
 WHERE p_partkey % 13 <> 0) SELECT recording_id, frame, label, r + dr AS row_, c + dc AS col_ FROM o
  LATERAL VIEW explode(sequence(-10, 10)) a AS dr LATERAL VIEW explode(sequence(-10, 10)) q AS dc
- WHERE dr * dr * w * w + dc * dc * h * h <= h * h * w * w""",
+ WHERE dr * dr * w * w + dc * dc * h * h <= h * h * w * w
+ AND NOT (p_size % 4 = 0 AND 4 * (dr * dr * w * w + dc * dc * h * h) < h * h * w * w) AND NOT (p_size % 8 = 4 AND dr = 0 AND dc > 0)""",
     "media_files": r"""
 SELECT concat('/exp/', CASE WHEN s_nationkey % 2 = 0 THEN 'control' ELSE 'treated' END, '/cell_',
        lpad(CAST(s_suppkey AS VARCHAR(20)), 4, '0'),
@@ -84,13 +85,14 @@ FROM (SELECT event_id, event_type AS recording_id, CAST(floor((epoch_us(ts) - ep
              value AS cy, 5 * CAST(json_extract_string(props,'$.k') AS DOUBLE) AS cx, 200 + event_id % 1800 AS area_px FROM events) e""",
     "mask_px": r"""
 WITH b AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS frame FROM part), o AS (
-SELECT p_brand AS recording_id, frame, label, r, c, h, w FROM (
+SELECT p_brand AS recording_id, frame, label, r, c, h, w, p_size FROM (
   SELECT p_brand, p_partkey, frame, 1 AS label, 20 + frame % 20 + p_size % 3 AS r, 20 + 2 * (frame % 10) AS c, 3 + p_size % 8 AS h, CAST(3 + p_partkey % 5 AS INT) AS w, p_size FROM b
   UNION ALL
   SELECT p_brand, p_partkey, frame, 2, 23 + frame % 20 + p_size % 3, 31 + 2 * (frame % 10), CAST(3 + p_partkey % 5 AS INT), 3 + p_size % 8, p_size FROM b WHERE p_size % 2 = 1) o
 WHERE p_partkey % 13 <> 0) SELECT recording_id, frame, label, r + dr AS row_, c + dc AS col_ FROM o,
  (SELECT CAST(range AS INT) AS dr FROM range(-10, 11)) a, (SELECT CAST(range AS INT) AS dc FROM range(-10, 11)) q
- WHERE dr * dr * w * w + dc * dc * h * h <= h * h * w * w""",
+ WHERE dr * dr * w * w + dc * dc * h * h <= h * h * w * w
+ AND NOT (p_size % 4 = 0 AND 4 * (dr * dr * w * w + dc * dc * h * h) < h * h * w * w) AND NOT (p_size % 8 = 4 AND dr = 0 AND dc > 0)""",
     "pixels": r"""
 SELECT CAST(label AS INT) AS recording_id, frame, CAST(floor(pos / 8.0) AS INT) AS row_, CAST(pos % 8 AS INT) AS col_,
        CAST(least(255, greatest(0, floor(128 + 400 * CAST(x AS DOUBLE)))) AS DOUBLE) AS intensity

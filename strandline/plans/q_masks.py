@@ -39,12 +39,32 @@ chain AS (SELECT recording_id, frame, label, sum((CASE WHEN m & 3 = 3 THEN 0.5 E
 sides AS (
   SELECT recording_id, frame, label, count(*) AS n, max(col_) - min(col_) + 1 AS w, max(row_) - min(row_) + 1 AS ht,
          var_pop(row_) + 1.0::DOUBLE / 12 AS vr, var_pop(col_) + 1.0::DOUBLE / 12 AS vc, covar_pop(row_, col_) AS cov FROM {src} GROUP BY ALL),
+ends AS (SELECT recording_id, frame, label, row_, min(col_) AS a, max(col_) AS b FROM {src} GROUP BY ALL),
+mids AS (SELECT recording_id, frame, label, y, min(lo) AS lo, max(hi) AS hi FROM (SELECT recording_id, frame, label, 2 * row_ AS y, 2 * a - 1 AS lo, 2 * b + 1 AS hi FROM ends
+  UNION ALL SELECT recording_id, frame, label, 2 * row_ - 1, 2 * a, 2 * b FROM ends UNION ALL SELECT recording_id, frame, label, 2 * row_ + 1, 2 * a, 2 * b FROM ends) x GROUP BY ALL),
+span AS (SELECT recording_id, frame, label, unnest(range(min(row_), max(row_) + 1)) AS r FROM ends GROUP BY recording_id, frame, label),
+wide AS (SELECT s.recording_id, s.frame, s.label, r, min(i.lo + CASE WHEN j.y > i.y THEN (j.lo - i.lo)::DOUBLE * (2 * r - i.y) / (j.y - i.y) ELSE 0 END) AS lo, max(i.hi + CASE WHEN j.y > i.y THEN (j.hi - i.hi)::DOUBLE * (2 * r - i.y) / (j.y - i.y) ELSE 0 END) AS hi
+  FROM span s JOIN mids i ON i.recording_id = s.recording_id AND i.frame = s.frame AND i.label = s.label AND i.y <= 2 * r JOIN mids j ON j.recording_id = s.recording_id AND j.frame = s.frame AND j.label = s.label AND j.y >= 2 * r GROUP BY ALL),
+convex AS (SELECT recording_id, frame, label, sum(floor(hi / 2 + 1e-9) - ceil(lo / 2 - 1e-9) + 1) AS convex FROM wide GROUP BY ALL),
 shapes AS (
-  SELECT recording_id, frame, label, n * 0.4225::DOUBLE AS area_um2, len * 0.65::DOUBLE AS perimeter_um, CASE WHEN len > 0 THEN 4 * pi() * n / (len * len) END AS circularity, w::DOUBLE / ht AS aspect_ratio,
+  SELECT recording_id, frame, label, n * 0.4225::DOUBLE AS area_um2, len * 0.65::DOUBLE AS perimeter_um, CASE WHEN len > 0 THEN 4 * pi() * n / (len * len) END AS circularity, n / convex AS solidity, w::DOUBLE / ht AS aspect_ratio,
          sqrt(1 - ((vr + vc) / 2 - sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + cov * cov)) / ((vr + vc) / 2 + sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + cov * cov))) AS eccentricity
-  FROM sides JOIN chain USING (recording_id, frame, label))
+  FROM sides JOIN chain USING (recording_id, frame, label) JOIN convex USING (recording_id, frame, label))
 """
-DESCR = ["area_um2", "perimeter_um", "circularity", "aspect_ratio", "eccentricity"]
+#: Outer boundary (bound) of the objects of {src}: gaps of rows that no chain of gaps leads out of are holes.
+OUTER = """
+lines AS (SELECT recording_id, frame, label, row_, min(col_) AS f0, max(col_) AS f1 FROM {src} GROUP BY ALL),
+gap AS (SELECT recording_id, frame, label, row_, p + 1 AS g0, col_ - 1 AS g1 FROM (SELECT *, lag(col_) OVER (PARTITION BY recording_id, frame, label, row_ ORDER BY col_) AS p FROM {src}) x WHERE col_ - p > 1),
+opened AS (SELECT g.* FROM gap g LEFT JOIN lines u ON u.recording_id = g.recording_id AND u.frame = g.frame AND u.label = g.label AND u.row_ = g.row_ - 1
+  LEFT JOIN lines d ON d.recording_id = g.recording_id AND d.frame = g.frame AND d.label = g.label AND d.row_ = g.row_ + 1
+  WHERE u.f0 IS NULL OR d.f0 IS NULL OR g0 < u.f0 OR g1 > u.f1 OR g0 < d.f0 OR g1 > d.f1),
+outside AS MATERIALIZED (WITH RECURSIVE o AS (SELECT * FROM opened UNION SELECT g.* FROM o JOIN gap g ON g.recording_id = o.recording_id AND g.frame = o.frame AND g.label = o.label AND abs(g.row_ - o.row_) = 1 AND g.g0 <= o.g1 AND g.g1 >= o.g0) SELECT * FROM o),
+hole AS (SELECT * FROM gap ANTI JOIN outside USING (recording_id, frame, label, row_, g0, g1)),
+bound AS (SELECT DISTINCT p.recording_id, p.frame, p.label, p.row_, p.col_ FROM (SELECT p.*, a, b FROM {src} p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)) p
+  LEFT JOIN {src} q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.label = p.label AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b
+  LEFT JOIN hole h ON h.recording_id = p.recording_id AND h.frame = p.frame AND h.label = p.label AND h.row_ = p.row_ + a AND p.col_ + b BETWEEN h.g0 AND h.g1 WHERE q.label IS NULL AND h.g0 IS NULL)
+"""
+DESCR = ["area_um2", "perimeter_um", "circularity", "solidity", "aspect_ratio", "eccentricity"]
 DESCR_SQL = ", ".join(f"round({c}, 5) AS {c}" for c in DESCR)
 
 
@@ -89,12 +109,7 @@ def crop_and_paste(px):
     return M.crop(px, M.object_bbox(px, per_frame=False))
 
 
-@query("boundary_pixels", PX, sql="""SELECT * FROM mask_px p WHERE (SELECT count(*) FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)
-  JOIN mask_px q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.label = p.label AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b) < 4""".replace(
-    """SELECT * FROM mask_px p WHERE (SELECT count(*) FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)
-  JOIN mask_px q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.label = p.label AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b) < 4""",
-    """SELECT p.* FROM (SELECT p.*, a, b FROM mask_px p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)) p
-LEFT JOIN mask_px q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.label = p.label AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b WHERE q.label IS NULL""").replace("SELECT p.* FROM", "SELECT DISTINCT p.recording_id, p.frame, p.label, p.row_, p.col_ FROM"))
+@query("boundary_pixels", PX, ctes=OUTER.replace("{src}", "mask_px"), sql="SELECT * FROM bound")
 def boundary_pixels(px):
     return M.boundary_pixels(px)
 
@@ -209,9 +224,8 @@ def frame_status(px):
     return M.frame_status(spine, px, spine.where("frame % 4 = 0"))
 
 
-SECT = BIG + """,
-edge AS (SELECT DISTINCT p.recording_id, p.frame, p.row_, p.col_ FROM (SELECT p.*, a, b FROM big p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)) p
-  LEFT JOIN big q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b WHERE q.label IS NULL),
+SECT = BIG + "," + OUTER.replace("{src}", "big") + """,
+edge AS (SELECT DISTINCT recording_id, frame, row_, col_ FROM bound),
 cen AS (SELECT recording_id, frame, avg(row_) AS cy, avg(col_) AS cx FROM big GROUP BY ALL),
 polar AS (SELECT e.recording_id, e.frame, sqrt((row_ - cy) * (row_ - cy) + (col_ - cx) * (col_ - cx)) AS r,
    ((floor((atan2(row_ - cy, col_ - cx) + pi() + pi() / 72 + 1e-9) / (pi() / 36))::INT % 72) + 72) % 72 AS sector FROM edge e JOIN cen c USING (recording_id, frame)),

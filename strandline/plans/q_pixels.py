@@ -8,6 +8,7 @@ from strandline.functions.primitives import gaussian_weights
 from strandline.operators import masks as M
 from strandline.operators import pixels as P
 from strandline.operators import shapes as H
+from strandline.plans.q_masks import OUTER
 from strandline.plans.q_tracks import rounded
 from strandline.plans.registry import query
 
@@ -42,9 +43,9 @@ diff0 AS (SELECT *, abs(intensity - lag(intensity) OVER (PARTITION BY recording_
 diff AS (SELECT recording_id, frame, row_, col_, coalesce(d, lead(d) OVER (PARTITION BY recording_id, row_, col_ ORDER BY frame), 0) AS intensity FROM diff0)
 """
 SEED_EDGE = """
-seed AS (SELECT recording_id, frame, row_, col_ FROM pixels WHERE intensity >= 128),
-edge AS (SELECT DISTINCT p.recording_id, p.frame, p.row_, p.col_ FROM (SELECT p.*, a, b FROM seed p CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)) p
-  LEFT JOIN seed q ON q.recording_id = p.recording_id AND q.frame = p.frame AND q.row_ = p.row_ + a AND q.col_ = p.col_ + b WHERE q.frame IS NULL)
+seed AS (SELECT recording_id, frame, 1 AS label, row_, col_ FROM pixels WHERE intensity >= 128),
+""" + OUTER.replace("{src}", "seed") + """,
+edge AS (SELECT recording_id, frame, row_, col_ FROM bound)
 """
 KEY = "recording_id, frame, row_, col_"
 

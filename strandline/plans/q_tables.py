@@ -15,6 +15,7 @@ from strandline.operators import objects as O
 from strandline.operators import pixels as P
 from strandline.operators import tracks
 from strandline.plans.fixtures import duckdb_with, view
+from strandline.plans.q_masks import SHAPES
 from strandline.plans.q_tracks import STEPS, rounded
 from strandline.plans import q_linking, q_masks, q_pixels  # noqa: F401
 from strandline.plans.registry import ORACLE_SQL, QUERIES, query
@@ -135,9 +136,9 @@ def latest_log(log):
     return R.latest_log(log)
 
 
-@query("convex_solidity", PX)
+@query("convex_solidity", PX, ctes=SHAPES.replace("{src}", "mask_px"), sql="SELECT recording_id, frame, label, round(n / convex, 6) AS solidity FROM sides JOIN convex USING (recording_id, frame, label)")
 def convex_solidity(px):
-    return O.solidity(px)
+    return rounded(O.solidity(px), "solidity")
 
 
 @query("per_object_apply", PX, sql="SELECT recording_id, frame, label, min(row_) - 2 AS r0, min(col_) - 2 AS c0, count(*) AS kept FROM mask_px GROUP BY ALL")
