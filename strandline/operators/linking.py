@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.graph import connected_components
-from strandline.functions.primitives import fill_linear
+from strandline.functions.primitives import fill_linear, running_sum
+from strandline.functions.staging import staged
 from strandline.operators.tracks import KEYS, valid
 
 DET = ["recording_id", "frame", "label"]
@@ -53,12 +54,24 @@ def link_mutual_nearest(det: DataFrame, hop: float = 20.0) -> DataFrame:
     return c.withColumn("_o", out).withColumn("_b", back).where("_o = 1 and _b = 1").select(*DET, "frame2", "label2", "dist")
 
 
+def numbered_tracks(rooted: DataFrame) -> DataFrame:
+    """rooted(recording_id, root_frame, root_label, ...) with track_id: the number of its root among the recording's roots in order of frame and label.
+
+    Only the roots are numbered, one row a track, by distributed running sums; no task orders the detections of a recording.
+    """
+    roots = rooted.select("recording_id", "root_frame", "root_label").distinct()
+    roots = roots.withColumn("_at", F.col("root_frame").cast("long") * F.lit(1 << 32) + F.col("root_label")).withColumn("_one", F.lit(1))
+    ids = running_sum(roots, ["recording_id"], "_at", "_one", "_id").select("recording_id", "root_frame", "root_label", F.col("_id").cast("int").alias("track_id"))
+    return rooted.join(ids, ["recording_id", "root_frame", "root_label"])
+
+
 def tracks_from_links(det: DataFrame, links: DataFrame) -> DataFrame:
     """Detections with track_id: components of the link graph, numbered within a recording by their first detection."""
     a, b = F.struct("recording_id", "frame", "label"), F.struct("recording_id", F.col("frame2").alias("frame"), F.col("label2").alias("label"))
     parts = connected_components(links.select(a.alias("a"), b.alias("b")))
     d = det.withColumn("node", a).join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    return d.withColumn("track_id", F.dense_rank().over(W.partitionBy("recording_id").orderBy("root")) - 1).select("recording_id", "track_id", "frame", "label", "cy", "cx", "area_px")
+    d = d.withColumn("root_frame", F.col("root.frame")).withColumn("root_label", F.col("root.label"))
+    return numbered_tracks(d).select("recording_id", "track_id", "frame", "label", "cy", "cx", "area_px")
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -103,6 +116,34 @@ def match(near: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     return [(i, j) for i, j in pairs if allowed[i, j]]
 
 
+def match_sparse(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """match over allowed pairs (track, point, distance) alone: tracks and points that hang together are matched by themselves."""
+    of: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def root(x: tuple[str, int]) -> tuple[str, int]:
+        while of.setdefault(x, x) != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    for t, p, _ in edges:
+        of[root(("t", t))] = root(("p", p))
+    groups: dict[tuple[str, int], list] = {}
+    for e in edges:
+        groups.setdefault(root(("t", e[0])), []).append(e)
+    out = []
+    for group in groups.values():
+        if len(group) == 1:
+            out.append(group[0][:2])
+            continue
+        tracks, points = sorted({t for t, _, _ in group}), sorted({p for _, p, _ in group})
+        near = np.full((len(tracks), len(points)), np.inf)
+        for t, p, d in group:
+            near[tracks.index(t), points.index(p)] = d
+        out += [(tracks[i], points[j]) for i, j in match(np.where(np.isfinite(near), near, 0.0), np.isfinite(near))]
+    return out
+
+
 def step_tracks(live: dict, frame: int, points: np.ndarray, hop: float, max_gap: int, spawn: bool, next_id: int) -> tuple[list[int], int]:
     """Advance live {track: (y, x, last frame)} by one frame's points; the track of every point (-1: none) and the next free id."""
     for t in [t for t, (_, _, last) in live.items() if frame - last > max_gap]:
@@ -114,54 +155,106 @@ def step_tracks(live: dict, frame: int, points: np.ndarray, hop: float, max_gap:
         for i, j in match(near, near <= hop * (frame - at[:, 2])[:, None]):
             owner[j] = ids[i]
     for j, (y, x) in enumerate(points):
-        if owner[j] < 0 and (spawn or next_id == 0 or not live and not ids):
+        if owner[j] < 0 and spawn:
             owner[j], next_id = next_id, next_id + 1
         if owner[j] >= 0:
             live[owner[j]] = (y, x, frame)
     return owner, next_id
 
 
-TRACKED = "recording_id {kind}, track_id int, frame int, label int, cy double, cx double, area_px long"
+def _follow(spawn: bool):
+    """Roots of the detections of one component, frame by frame, from its candidate pairs (from, to, dist)."""
+
+    def run(key: tuple, det: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        det = det.sort_values(["frame", "label"], kind="stable", ignore_index=True)
+        at = {(f, k): i for i, (f, k) in enumerate(zip(det["frame"], det["label"]))}
+        came: dict[int, list] = {}
+        for f, k, f2, k2, d in zip(pairs["frame"], pairs["label"], pairs["frame2"], pairs["label2"], pairs["dist"]):
+            came.setdefault(at[f2, k2], []).append((at[f, k], d))
+        root, tail = np.full(len(det), -1), np.zeros(len(det), bool)
+        first = det["first"].to_numpy()
+        for _, rows in det.groupby("frame", sort=True).indices.items():
+            edges = [(i, j, d) for j in rows for i, d in came.get(j, ()) if tail[i]]
+            for i, j in match_sparse(edges):
+                root[j], tail[i] = root[i], False
+            for j in rows:
+                if root[j] < 0 and (spawn or first[j]):
+                    root[j] = j
+                tail[j] = root[j] >= 0
+        det["root_frame"], det["root_label"] = det["frame"].to_numpy()[root], det["label"].to_numpy()[root]
+        return det.loc[root >= 0, ["recording_id", "root_frame", "root_label", "frame", "label", "cy", "cx", "area_px"]]
+    return run
 
 
 def track_assign(det: DataFrame, hop: float = 20.0, max_gap: int = MAX_GAP, spawn: bool = True, min_length: int = 1) -> DataFrame:
     """Exact one-to-one assignment frame by frame: as many links as possible, then the least total distance.
 
-    A track may miss max_gap - 1 frames; its hop grows with the gap. Unmatched detections start tracks (only those of the first
-    occupied frame without spawn). Recordings run in parallel; within one the frames follow each other by nature.
+    A track may miss max_gap - 1 frames; its hop grows with the gap. Unmatched detections start tracks (only those of the recording's
+    first occupied frame without spawn). Every pair that may ever be matched is a link candidate, so the connected components of the
+    candidates do not touch each other: each is followed by itself, in one task, and a frame's matching is split again
+    into the tracks and points that hang together. Track ids number the roots of a recording.
     """
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "label"], kind="stable").reset_index(drop=True)
-        live, out, free, first = {}, np.full(len(group), -1), 0, True
-        for frame, rows in group.groupby("frame", sort=True).groups.items():
-            owner, free = step_tracks(live, frame, group.loc[rows, ["cy", "cx"]].to_numpy(float), hop, max_gap, spawn or first, free)
-            out[rows] = owner
-            first = False
-        group["track_id"] = out.astype("int32")
-        kept = group[group["track_id"] >= 0]
-        return kept[kept.groupby("track_id")["frame"].transform("count") >= min_length][["recording_id", "track_id", *DET[1:], "cy", "cx", "area_px"]]
-
-    kind = dict(det.dtypes)["recording_id"]
-    return det.groupBy("recording_id").applyInPandas(run, TRACKED.format(kind=kind))
+    pairs = staged(link_candidates(det, hop, max_gap), "candidates")
+    a, b = F.struct("recording_id", "frame", "label"), F.struct("recording_id", F.col("frame2").alias("frame"), F.col("label2").alias("label"))
+    parts = connected_components(pairs.select(a.alias("a"), b.alias("b")))
+    first = det.groupBy("recording_id").agg(F.min("frame").alias("_first"))
+    rows = det.join(first, "recording_id").withColumn("node", a).join(parts, "node", "left")
+    rows = rows.select("recording_id", F.coalesce("component", "node").alias("part"), "frame", "label", F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"), "area_px", (F.col("frame") == F.col("_first")).alias("first"))
+    near = pairs.withColumn("node", a).join(parts, "node").select(F.col("component").alias("part"), "frame", "label", "frame2", "label2", "dist")
+    kinds = dict(det.dtypes)
+    fields = f"recording_id {kinds['recording_id']}, root_frame int, root_label int, frame int, label int, cy double, cx double, area_px {kinds['area_px']}"
+    rooted = rows.groupBy("part").cogroup(near.groupBy("part")).applyInPandas(_follow(spawn), fields)
+    tracks = numbered_tracks(staged(rooted, "rooted"))
+    if min_length > 1:
+        long = tracks.groupBy(*KEYS).agg(F.count_distinct("frame").alias("n")).where(F.col("n") >= min_length)
+        tracks = tracks.join(long.select(*KEYS), KEYS, "left_semi")
+    return tracks.select("recording_id", "track_id", *DET[1:], "cy", "cx", "area_px")
+
+
+def nearest_later(det: DataFrame, hop: float) -> DataFrame:
+    """(recording_id, n, label, next_n, next_label): of every detection the nearest one within hop (lowest label among equals) in the first later frame that has any.
+
+    det carries n, the number of its frame among the recording's occupied ones. Detections are sent to the squares that hop touches and to
+    blocks of frames that double in length from round to round; those that have found a follower leave, so that rounds grow with
+    the logarithm of the frames and only detections without one nearby look far ahead.
+    """
+    b = squared(det.select("recording_id", F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("cy").alias("cy2"), F.col("cx").alias("cx2")), "cy2", "cx2", F.lit(float(hop)))
+    open_, found, reach = touching(det.select("recording_id", "n", "label", "cy", "cx"), "cy", "cx", F.lit(float(hop))), None, 1
+    last = det.agg(F.max("n")).first()[0] or 0
+    d = F.sqrt((F.col("cy") - F.col("cy2")) ** 2 + (F.col("cx") - F.col("cx2")) ** 2)
+    while reach <= last:
+        blocks = F.explode(F.sequence(F.floor((F.col("n") + reach) / reach), F.floor((F.col("n") + 2 * reach - 1) / reach)))
+        met = open_.withColumn("block", blocks).join(b.withColumn("block", F.floor(F.col("n2") / reach)), ["recording_id", "block", "gy", "gx"]).withColumn("dist", d)
+        met = met.where(F.col("n2").between(F.col("n") + reach, F.col("n") + 2 * reach - 1) & (F.col("dist") <= hop))
+        met = staged(met.groupBy("recording_id", "n", "label").agg(F.min(F.struct("n2", "dist", "label2")).alias("m")).select("recording_id", "n", "label", F.col("m.n2").alias("next_n"), F.col("m.label2").alias("next_label")), "followers")
+        found = met if found is None else found.unionByName(met)
+        open_ = staged(open_.join(met, ["recording_id", "n", "label"], "left_anti"), "open")
+        reach *= 2
+    return found if found is not None else det.select("recording_id", "n", "label", F.col("n").alias("next_n"), F.col("label").alias("next_label")).limit(0)
 
 
 def anchor_single(det: DataFrame, hop: float = 80.0) -> DataFrame:
-    """The object that starts as the largest of the first occupied frame, followed by nearest centroid within hop; a miss keeps the anchor."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "label"], kind="stable").reset_index(drop=True)
-        chosen, anchor = [], None
-        for _, rows in group.groupby("frame", sort=True):
-            if anchor is None:
-                k = rows["area_px"].idxmax()
-            else:
-                d = np.hypot(rows["cy"] - anchor[0], rows["cx"] - anchor[1])
-                k = d.idxmin() if d.min() <= hop else None
-            if k is not None:
-                chosen.append(k)
-                anchor = group.at[k, "cy"], group.at[k, "cx"]
-        return group.loc[chosen, [*DET, "cy", "cx", "area_px"]]
-
-    return det.groupBy("recording_id").applyInPandas(run, f"recording_id {dict(det.dtypes)['recording_id']}, frame int, label int, cy double, cx double, area_px long")
+    """The object that starts as the largest of the first occupied frame (lowest label among equals), followed by nearest centroid within hop; a miss keeps the anchor.
+
+    Every detection has one follower (nearest_later), and the chain from the start is found by pointer doubling: in each round the
+    detections reached so far reach as many steps further, and jumps double. No task follows a recording.
+    """
+    frames = det.select("recording_id", "frame").distinct().withColumn("_one", F.lit(1))
+    order = running_sum(frames, ["recording_id"], "frame", "_one", "n").select("recording_id", "frame", F.col("n").cast("int").alias("n"))
+    rows = staged(det.join(order, ["recording_id", "frame"]), "ordered")
+    jump = staged(nearest_later(rows, hop), "jumps")
+    start = rows.where("n = 0").groupBy("recording_id").agg(F.max_by("label", F.struct("area_px", -F.col("label"))).alias("label")).select("recording_id", F.lit(0).alias("n"), "label")
+    reached, steps = staged(start, "reached"), 1
+    last = rows.agg(F.max("n")).first()[0] or 0
+    here = ["recording_id", "n", "label"]
+    while steps <= last:
+        ahead = reached.join(jump, here).select("recording_id", F.col("next_n").alias("n"), F.col("next_label").alias("label"))
+        reached = staged(reached.unionByName(ahead).distinct(), "reached")
+        steps *= 2
+        if steps <= last:
+            then = jump.select("recording_id", F.col("n").alias("next_n"), F.col("label").alias("next_label"), F.col("next_n").alias("far_n"), F.col("next_label").alias("far_label"))
+            jump = staged(jump.join(then, ["recording_id", "next_n", "next_label"]).select(*here, F.col("far_n").alias("next_n"), F.col("far_label").alias("next_label")), "jumps")
+    return rows.join(reached, here, "left_semi").select(*DET, "cy", "cx", "area_px")
 
 
 def min_track_length(points: DataFrame, least: int = 8) -> DataFrame:
