@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.primitives import MINUTES, UM_PER_PX, convolve, fill_linear, frame_spine, gaussian_weights
+from strandline.functions.quantiles import exact_quantiles
 from strandline.operators.masks import FRAME, boundary_pixels
 
 SECTOR = [*FRAME, "sector"]
@@ -95,5 +96,6 @@ def smooth_radii_over_time(sectors: DataFrame, sigma: float = 1.5) -> DataFrame:
 
 def kymograph_limits(kymograph: DataFrame) -> DataFrame:
     """Colour range: 95th percentile and maximum of |velocity|."""
-    a = F.abs("velocity")
-    return kymograph.groupBy("recording_id").agg(F.percentile(a, F.lit(0.95)).alias("p95"), F.max(a).alias("max_abs"))
+    speed = kymograph.withColumn("_speed", F.abs("velocity"))
+    found = exact_quantiles(speed, ["recording_id"], "_speed", {"p95": 0.95, "max_abs": 1.0})
+    return kymograph.select("recording_id").distinct().join(found, "recording_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -215,22 +217,24 @@ def nearest_later(det: DataFrame, hop: float) -> DataFrame:
     """(recording_id, n, label, next_n, next_label): of every detection the nearest one within hop (lowest label among equals) in the first later frame that has any.
 
     det carries n, the number of its frame among the recording's occupied ones. Detections are sent to the squares that hop touches and to
-    blocks of frames that double in length from round to round; those that have found a follower leave, so that rounds grow with
+    blocks of frames that are four times as long from round to round; those that have found a follower leave, so that rounds grow with
     the logarithm of the frames and only detections without one nearby look far ahead.
     """
+    here = ["recording_id", "n", "label"]
     b = squared(det.select("recording_id", F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("cy").alias("cy2"), F.col("cx").alias("cx2")), "cy2", "cx2", F.lit(float(hop)))
-    open_, found, reach = touching(det.select("recording_id", "n", "label", "cy", "cx"), "cy", "cx", F.lit(float(hop))), None, 1
+    open_, found, reach = det.select(*here, "cy", "cx"), [], 1
     last = det.agg(F.max("n")).first()[0] or 0
     d = F.sqrt((F.col("cy") - F.col("cy2")) ** 2 + (F.col("cx") - F.col("cx2")) ** 2)
     while reach <= last:
-        blocks = F.explode(F.sequence(F.floor((F.col("n") + reach) / reach), F.floor((F.col("n") + 2 * reach - 1) / reach)))
-        met = open_.withColumn("block", blocks).join(b.withColumn("block", F.floor(F.col("n2") / reach)), ["recording_id", "block", "gy", "gx"]).withColumn("dist", d)
-        met = met.where(F.col("n2").between(F.col("n") + reach, F.col("n") + 2 * reach - 1) & (F.col("dist") <= hop))
-        met = staged(met.groupBy("recording_id", "n", "label").agg(F.min(F.struct("n2", "dist", "label2")).alias("m")).select("recording_id", "n", "label", F.col("m.n2").alias("next_n"), F.col("m.label2").alias("next_label")), "followers")
-        found = met if found is None else found.unionByName(met)
-        open_ = staged(open_.join(met, ["recording_id", "n", "label"], "left_anti"), "open")
-        reach *= 2
-    return found if found is not None else det.select("recording_id", "n", "label", F.col("n").alias("next_n"), F.col("label").alias("next_label")).limit(0)
+        low, high, size = F.col("n") + reach, F.col("n") + 4 * reach - 1, 3 * reach
+        sent = touching(open_, "cy", "cx", F.lit(float(hop))).withColumn("block", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+        met = sent.join(b.withColumn("block", F.floor(F.col("n2") / size)), ["recording_id", "block", "gy", "gx"]).withColumn("dist", d).where(F.col("n2").between(low, high) & (F.col("dist") <= hop))
+        met = met.groupBy(*here).agg(F.min(F.struct("n2", "dist", "label2")).alias("m"))
+        seen = staged(open_.join(met, here, "left").select(*here, "cy", "cx", F.col("m.n2").alias("next_n"), F.col("m.label2").alias("next_label")), "followers")
+        found.append(seen.where("next_n is not null").drop("cy", "cx"))
+        open_, reach = seen.where("next_n is null").drop("next_n", "next_label"), 4 * reach
+    none = det.select(*here, F.col("n").alias("next_n"), F.col("label").alias("next_label")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found, none)
 
 
 def anchor_single(det: DataFrame, hop: float = 80.0) -> DataFrame:
@@ -242,18 +246,23 @@ def anchor_single(det: DataFrame, hop: float = 80.0) -> DataFrame:
     frames = det.select("recording_id", "frame").distinct().withColumn("_one", F.lit(1))
     order = running_sum(frames, ["recording_id"], "frame", "_one", "n").select("recording_id", "frame", F.col("n").cast("int").alias("n"))
     rows = staged(det.join(order, ["recording_id", "frame"]), "ordered")
-    jump = staged(nearest_later(rows, hop), "jumps")
-    start = rows.where("n = 0").groupBy("recording_id").agg(F.max_by("label", F.struct("area_px", -F.col("label"))).alias("label")).select("recording_id", F.lit(0).alias("n"), "label")
-    reached, steps = staged(start, "reached"), 1
-    last = rows.agg(F.max("n")).first()[0] or 0
     here = ["recording_id", "n", "label"]
+    start = rows.where("n = 0").groupBy("recording_id").agg(F.max_by("label", F.struct("area_px", -F.col("label"))).alias("label"))
+    jump, reached, steps = staged(nearest_later(rows, hop), "jumps"), start.select("recording_id", F.lit(0).alias("n"), "label"), 1
+    last = rows.agg(F.max("n")).first()[0] or 0
+
+    def beyond(nodes: DataFrame, by: DataFrame) -> DataFrame:
+        """nodes and where one jump takes them."""
+        return nodes.unionByName(nodes.join(by, here).select("recording_id", F.col("next_n").alias("n"), F.col("next_label").alias("label"))).distinct()
+
+    def doubled(by: DataFrame) -> DataFrame:
+        then = by.select("recording_id", F.col("n").alias("next_n"), F.col("label").alias("next_label"), F.col("next_n").alias("far_n"), F.col("next_label").alias("far_label"))
+        return staged(by.join(then, ["recording_id", "next_n", "next_label"]).select(*here, F.col("far_n").alias("next_n"), F.col("far_label").alias("next_label")), "jumps")
+
     while steps <= last:
-        ahead = reached.join(jump, here).select("recording_id", F.col("next_n").alias("n"), F.col("next_label").alias("label"))
-        reached = staged(reached.unionByName(ahead).distinct(), "reached")
-        steps *= 2
-        if steps <= last:
-            then = jump.select("recording_id", F.col("n").alias("next_n"), F.col("label").alias("next_label"), F.col("next_n").alias("far_n"), F.col("next_label").alias("far_label"))
-            jump = staged(jump.join(then, ["recording_id", "next_n", "next_label"]).select(*here, F.col("far_n").alias("next_n"), F.col("far_label").alias("next_label")), "jumps")
+        twice = doubled(jump)
+        reached, steps = staged(beyond(beyond(reached, jump), twice), "reached"), 4 * steps
+        jump = doubled(twice) if steps <= last else jump
     return rows.join(reached, here, "left_semi").select(*DET, "cy", "cx", "area_px")
 
 

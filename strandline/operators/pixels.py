@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.primitives import gaussian_weights
+from strandline.functions.quantiles import exact_quantiles
 from strandline.operators import masks as M
 
 PIXEL = ["recording_id", "frame", "row_", "col_"]
@@ -37,9 +38,9 @@ def _total(parts: list[Column]) -> Column:
 
 def rescale_intensity(px: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """0..255 between two percentiles of the whole recording, clipped; with equal percentiles between min and max, else 0."""
-    p = px.groupBy("recording_id").agg(F.percentile("intensity", F.array(F.lit(low), F.lit(high))).alias("p"), F.min("intensity").alias("a"), F.max("intensity").alias("b"))
-    flat = F.col("p")[0] == F.col("p")[1]
-    p = p.select("recording_id", F.when(flat, F.col("a")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("b")).otherwise(F.col("p")[1]).alias("hi"))
+    ends = exact_quantiles(px, ["recording_id"], "intensity", {"a": 0.0, "low": low, "high": high, "b": 1.0})
+    flat = F.col("low") == F.col("high")
+    p = ends.select("recording_id", F.when(flat, F.col("a")).otherwise(F.col("low")).alias("lo"), F.when(flat, F.col("b")).otherwise(F.col("high")).alias("hi"))
     v = (F.col("intensity") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255
     out = F.when(F.col("hi") > F.col("lo"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)))).otherwise(0).cast("double")
     return px.join(p, "recording_id").select(*PIXEL, out.alias("intensity"))

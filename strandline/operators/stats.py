@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.primitives import running_sum
-from strandline.functions.staging import staged
+from strandline.functions.quantiles import exact_median
 
 BY = ["metric", "grp"]
 
@@ -100,7 +100,8 @@ def long_metrics(rows: DataFrame, metrics: list[str], group: str = "grp") -> Dat
 def group_stats(values: DataFrame) -> DataFrame:
     """n, mean, sample std, sem and median per metric and group; std and sem are 0 for one value."""
     std = F.when(F.count("value") > 1, F.stddev_samp("value")).otherwise(0.0)
-    return values.groupBy(*BY).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), std.alias("std"), (std / F.sqrt(F.count("value"))).alias("sem"), F.median("value").alias("median"))
+    moments = values.groupBy(*BY).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), std.alias("std"), (std / F.sqrt(F.count("value"))).alias("sem"))
+    return moments.join(exact_median(values, BY, "value"), BY, "left")
 
 
 def _pairs(values: DataFrame) -> DataFrame:
@@ -192,58 +193,6 @@ def comparison_text(tests: DataFrame) -> DataFrame:
     return tests.groupBy("metric").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("report"))
 
 
-def _resamples(values: DataFrame, n_boot: int, seed: str) -> DataFrame:
-    """(metric, grp, b, value, count): the values that resample b of a group of two values or more draws, one row (count 1) a draw.
-
-    Draw i of resample b is row md5(seed-b-i) mod n of the group in the order of its values, so results are the same
-    everywhere. Rows are numbered once, and every number of a draw meets its row in an equi-join, whose side of numbered rows
-    Spark broadcasts while it is below the session's threshold: then no draw is shuffled, else each is once.
-    """
-    counted = running_sum(values.groupBy(*BY, "value").agg(F.count("*").alias("t")), BY, "value", "t", "_before")
-    numbered = counted.select(*BY, "value", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("t") - 1)).alias("i"))
-    sizes = values.groupBy(*BY).agg(F.count("*").alias("n"))
-    draws = numbered.join(sizes, BY).where("n >= 2").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    return draws.select(*BY, "b", pick.alias("i")).join(staged(numbered, "numbered"), [*BY, "i"]).select(*BY, "b", "value", F.lit(1).cast("long").alias("count"))
-
-
-def _interval(whole: DataFrame, drawn: DataFrame, value: str, ci: float) -> DataFrame:
-    """whole(metric, grp, value) with the percentile interval and population std of drawn(metric, grp, b, m)."""
-    a = (1 - ci) / 2
-    found = drawn.groupBy(*BY).agg(F.percentile("m", F.lit(a)).alias("ci_low"), F.percentile("m", F.lit(1 - a)).alias("ci_high"), F.stddev_pop("m").alias("se"))
-    out = whole.join(found, BY, "left")
-    return out.select(*BY, value, *[F.coalesce(c, value).alias(c) for c in ("ci_low", "ci_high")], F.coalesce("se", F.lit(0.0)).alias("se"))
-
-
-def bootstrap_ci(values: DataFrame, n_boot: int = 1000, ci: float = 0.95, seed: str = "42") -> DataFrame:
-    """Mean, percentile interval and population std of bootstrap means per (metric, grp); only sums of a draw are kept."""
-    means = _resamples(values, n_boot, seed).groupBy(*BY, "b").agg((F.sum(F.col("value") * F.col("count")) / F.sum("count")).alias("m"))
-    return _interval(values.groupBy(*BY).agg(F.avg("value").alias("mean")), means, "mean", ci)
-
-
-def group_statistic(values: DataFrame, statistic) -> DataFrame:
-    """A user's statistic (array -> float) of every group, as a grouped-aggregate pandas UDF over Arrow batches."""
-    udf = F.pandas_udf(lambda s: float(statistic(s.to_numpy())), "double", F.PandasUDFType.GROUPED_AGG)
-    return values.groupBy(*BY).agg(udf("value").alias("statistic"))
-
-
-def bootstrap_statistic(values: DataFrame, statistic=None, n_boot: int = 1000, ci: float = 0.95, seed: str = "42", aggregate=None) -> DataFrame:
-    """A user's statistic of every group with its percentile interval and population std over n_boot resamples.
-
-    statistic (array -> float) gets the values of a group or resample whole. aggregate (value column, count column ->
-    aggregate column) stands for one that built-in aggregates of weighted values make: no group is gathered then.
-    """
-    if (statistic is None) == (aggregate is None):
-        raise ValueError("either statistic or aggregate")
-    if aggregate is None:
-        udf = F.pandas_udf(lambda v, n: float(statistic(np.repeat(v.to_numpy(), n.to_numpy()))), "double", F.PandasUDFType.GROUPED_AGG)
-        aggregate = lambda v, n: udf(v, n)
-    counted = values.groupBy(*BY, "value").agg(F.count("*").alias("count"))
-    whole = counted.groupBy(*BY).agg(aggregate(F.col("value"), F.col("count")).alias("statistic"))
-    drawn = _resamples(values, n_boot, seed).groupBy(*BY, "b").agg(aggregate(F.col("value"), F.col("count")).alias("m"))
-    return _interval(whole, drawn, "statistic", ci)
-
-
 def _normal_quantile(p: np.ndarray) -> np.ndarray:
     """Inverse normal distribution by Newton steps on erfc."""
     x = np.zeros_like(p)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.quantiles import exact_quantiles
+
 
 def group_summary(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """n and mean, std, sem of every metric per group. std is the sample deviation, 0 for one value, null without values;
@@ -43,8 +45,8 @@ def metric_pivot(rows: DataFrame, group: str, metrics: list[str], groups: list)
 
 def box_stats(rows: DataFrame, group: str, metric: str) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers per group (whiskers end at the farthest value inside); violin tells whether n >= 2."""
-    q = rows.where(F.col(metric).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    sizes = rows.where(F.col(metric).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    q = sizes.join(exact_quantiles(rows, [group], metric, {"q1": 0.25, "median": 0.5, "q3": 0.75}), group)
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(metric).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     ends = rows.where(F.col(metric).isNotNull()).join(q, group).groupBy(group).agg(F.min(F.when(inside, F.col(metric))).alias("low"), F.max(F.when(inside, F.col(metric))).alias("high"))

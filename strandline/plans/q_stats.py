@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from strandline.operators import resampling as B
 from strandline.operators import stats as S
 from strandline.operators import summaries as U
 from strandline.plans.q_tracks import rounded
@@ -122,31 +123,26 @@ def comparison_text(rm):
     return S.comparison_text(S.group_comparison(by_grp(rm)))
 
 
-@query("bootstrap_ci", RM, ctes=BY_GRP + """,
-num AS (SELECT *, row_number() OVER (PARTITION BY metric, grp ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric, grp) AS n FROM vals),
-drawn AS (SELECT metric, grp, b, ('0x' || substr(md5('42-' || b || '-' || i), 1, 8))::BIGINT % n AS i FROM num CROSS JOIN range(0, 20) r(b)),
-means AS (SELECT d.metric, d.grp, b, avg(value) AS m FROM drawn d JOIN num USING (metric, grp, i) GROUP BY ALL)
-""", sql="""SELECT metric, grp, round(v.mean, 5) AS mean, round(quantile_cont(m, 0.025), 5) AS ci_low, round(quantile_cont(m, 0.975), 5) AS ci_high, round(stddev_pop(m), 5) AS se
-FROM means JOIN (SELECT metric, grp, avg(value) AS mean FROM vals GROUP BY ALL) v USING (metric, grp) GROUP BY metric, grp, v.mean""")
+@query("bootstrap_ci", RM)
 def bootstrap_ci(rm):
-    return rounded(S.bootstrap_ci(by_grp(rm), 20), "mean", "ci_low", "ci_high", "se", n=5)
+    return rounded(B.bootstrap_ci(by_grp(rm)), "mean", "ci_low", "ci_high", "se", n=5)
 
 
 @query("bootstrap_ci_1000", RM)
 def bootstrap_ci_1000(rm):
-    """bootstrap_ci at the operator's own number of resamples, for which the SQL above is not written."""
-    return rounded(S.bootstrap_ci(by_grp(rm)), "mean", "ci_low", "ci_high", "se", n=5)
+    """The older name of bootstrap_ci at 1,000 resamples."""
+    return bootstrap_ci(rm)
 
 
 @query("pluggable_statistic", RM, ctes=BY_GRP, sql="SELECT metric, grp, round(max(value) - min(value), 6) AS statistic FROM vals GROUP BY ALL")
 def pluggable_statistic(rm):
-    return rounded(S.group_statistic(by_grp(rm), lambda x: x.max() - x.min()), "statistic")
+    return rounded(B.group_statistic(by_grp(rm), B.Extent()), "statistic")
 
 
 @query("pluggable_bootstrap", RM)
 def pluggable_bootstrap(rm):
     """The statistic of pluggable_statistic with its bootstrap interval, which the SQL above does not have."""
-    return rounded(S.bootstrap_statistic(by_grp(rm), aggregate=lambda v, n: F.max(v) - F.min(v)), "statistic", "ci_low", "ci_high", "se")
+    return rounded(B.bootstrap_statistic(by_grp(rm), B.Extent()), "statistic", "ci_low", "ci_high", "se")
 
 
 @query("normality_check", RM)

@@ -1,6 +1,5 @@
 """Known answers and edge cases of the tracking operators."""
 
-import hashlib
 import itertools
 import math
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.graph import connected_components
 from strandline.functions.primitives import average_rank, convolve, fill_linear, gaussian_weights
-from strandline.operators import linking, masks, objects, quality, stats, tracks
+from strandline.operators import linking, masks, objects, quality, resampling, stats, tracks
 
 
 def square(spark, frames, r0=20, c0=10, size=10, step=2, skip=()):
@@ -171,40 +170,13 @@ def test_p_values_against_tables(args, p):
 def test_ranks_bootstrap_normality(spark):
     r = {(x["value"], x["rank"], x["ties"]) for x in average_rank(groups(spark, A=[1, 2, 2, 5]), ["metric"], "value").collect()}
     assert r == {(1.0, 1.0, 1), (2.0, 2.5, 2), (5.0, 4.0, 1)}
-    b = stats.bootstrap_ci(groups(spark, A=[1, 2, 3, 4, 5], B=[7])).orderBy("grp").collect()
+    b = resampling.bootstrap_ci(groups(spark, A=[1, 2, 3, 4, 5], B=[7])).orderBy("grp").collect()
     assert b[0]["ci_low"] < b[0]["mean"] < b[0]["ci_high"] and (b[1]["ci_low"], b[1]["ci_high"], b[1]["se"]) == (7, 7, 0)
     rng = np.random.default_rng(1)
     n = {x["grp"]: x["normal"] for x in stats.normality_check(groups(spark, N=rng.normal(size=200), E=rng.exponential(size=200), F=[1, 2])).collect()}
     assert n == {"N": True, "E": False, "F": True}
 
 
-def draws(values, b):
-    """The values of resample b, by hand."""
-    v = sorted(values)
-    return np.array([v[int(hashlib.md5(f"42-{b}-{i}".encode()).hexdigest()[:8], 16) % len(v)] for i in range(len(v))])
-
-
-def test_bootstrap_draws_a_thousand_resamples(spark):
-    from strandline.plans import catalog
-    v = [1, 2, 2, 5, 9, 11]
-    m = np.array([draws(v, b).mean() for b in range(1000)])
-    got = stats.bootstrap_ci(groups(spark, A=v)).first()
-    assert np.allclose([got["mean"], got["ci_low"], got["ci_high"], got["se"]], [np.mean(v), *np.percentile(m, [2.5, 97.5]), m.std()])
-    assert "bootstrap_ci_1000" in catalog.QUERIES
-
-
-def test_plugged_statistic_is_bootstrapped(spark):
-    v = [1, 2, 2, 5, 9, 11]
-    m = np.array([np.ptp(draws(v, b)) for b in range(200)])
-    want = [10, *np.percentile(m, [2.5, 97.5]), m.std()]
-    g = groups(spark, A=v, B=[7])
-    for how in ({"statistic": np.ptp}, {"aggregate": lambda x, n: F.max(x) - F.min(x)}):
-        a, b = stats.bootstrap_statistic(g, n_boot=200, **how).orderBy("grp").collect()
-        assert np.allclose([a["statistic"], a["ci_low"], a["ci_high"], a["se"]], want) and tuple(b[2:]) == (0, 0, 0, 0)
-    median = stats.bootstrap_statistic(g, np.median, 200).orderBy("grp").first()
-    assert np.allclose(median["se"], np.std([np.median(draws(v, b)) for b in range(200)]))
-
-
 def test_markers(spark):
     df = spark.createDataFrame([(0.0001,), (0.005,), (0.03,), (0.1,)], "p double")
     assert [r[0] for r in df.select(stats.significance_marker(F.col("p"))).collect()] == ["***", "**", "*", "ns"]
