@@ -97,5 +97,4 @@ def smooth_radii_over_time(sectors: DataFrame, sigma: float = 1.5) -> DataFrame:
 def kymograph_limits(kymograph: DataFrame) -> DataFrame:
     """Colour range: 95th percentile and maximum of |velocity|."""
     speed = kymograph.withColumn("_speed", F.abs("velocity"))
-    found = exact_quantiles(speed, ["recording_id"], "_speed", {"p95": 0.95, "max_abs": 1.0})
-    return kymograph.select("recording_id").distinct().join(found, "recording_id", "left")
+    return exact_quantiles(speed, ["recording_id"], "_speed", {"p95": 0.95, "max_abs": 1.0})

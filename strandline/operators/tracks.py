@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from strandline.functions.primitives import MINUTES, UM_PER_PX, convolve, gaussian_weights
 
@@ -76,38 +84,91 @@ def persistence_ratio(points: DataFrame) -> DataFrame:
     return joined.select(*KEYS, F.when(F.col("total_distance") > 0, F.col("net_displacement") / F.col("total_distance")).alias("persistence"))
 
 
-def compacted(points: DataFrame) -> DataFrame:
-    """Valid points numbered 0..n-1 in order of frame, with n."""
-    return valid(points).select(*KEYS, "cy", "cx", (F.row_number().over(along()) - 1).alias("idx"), F.count("*").over(W.partitionBy(*KEYS)).cast("int").alias("n"))
+#: Points of a track up to which lags are summed directly; longer tracks use transforms.
+DIRECT = 16_384
+
+
+def _curves(points: DataFrame, curve: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]) -> DataFrame:
+    """curve (y, x of a track's valid points in order of frame -> lags and figures) of every track.
+
+    A track becomes one row with its points as an array, so rows shuffled are the points themselves, and one Arrow batch holds
+    many tracks.
+    """
+    at = F.sort_array(F.collect_list(F.struct("frame", F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))))
+    rows = valid(points).groupBy(*KEYS).agg(at.alias("_points"))
+    fields = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:2]), "lag int", *(f"{n} double" for n in names)])
+    schema = to_arrow_schema(_parse_datatype_string(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            y, x = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cy", "cx"))
+            found = [curve(y[i:j], x[i:j]) for i, j in itertools.pairwise(bounds.tolist())]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
+            made = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(made[0].astype(np.int32)), *(pa.array(m.astype(np.float64)) for m in made[1:])], schema=schema)
+
+    return rows.mapInArrow(run, fields)
+
+
+def lag_sums(a: np.ndarray, b: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of a[t] * b[t + lag] over t for the lags 0 to lags - 1, by transforms padded against wrapping round."""
+    size = 1 << int(len(a) + lags - 1).bit_length()
+    return np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[:lags]
+
+
+def squared_displacements(y: np.ndarray, x: np.ndarray, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lag, mean, standard error) of squared displacements, lags 1 to n // 2 - 1."""
+    n = len(y)
+    lags = np.arange(1, max(1, n // 2))
+    if n <= direct:
+        each = [(y[k:] - y[:-k]) ** 2 + (x[k:] - x[:-k]) ** 2 for k in lags]
+        return lags, np.array([d.mean() for d in each]), np.array([d.std() / np.sqrt(len(d)) for d in each])
+    y, x, most = y - y.mean(), x - x.mean(), n // 2
+    q = y * y + x * x
+    dots = lag_sums(y, y, most) + lag_sums(x, x, most)
+    count = n - np.arange(most)
+    tops, tails = (lambda v: (np.cumsum(v)[n - 1 - np.arange(most)], np.cumsum(v[::-1])[n - 1 - np.arange(most)]))(q)
+    mean = (tops + tails - 2 * dots) / count
+    tops, tails = (lambda v: (np.cumsum(v)[n - 1 - np.arange(most)], np.cumsum(v[::-1])[n - 1 - np.arange(most)]))(q * q)
+    square = tops + tails + 2 * lag_sums(q, q, most) + 4 * (lag_sums(y * y, y * y, most) + lag_sums(x * x, x * x, most) + 2 * lag_sums(y * x, y * x, most))
+    square -= 4 * sum(lag_sums(q * v, v, most) + lag_sums(v, q * v, most) for v in (y, x))
+    return lags, mean[1:], np.sqrt(np.maximum(square / count - mean**2, 0) / count)[1:]
 
 
 def msd(points: DataFrame) -> DataFrame:
-    """Mean squared displacement and its standard error per lag over valid points, lags 1 to min(n // 2, n) - 1.
+    """Mean squared displacement and its standard error per lag over valid points, lags 1 to n // 2 - 1.
 
-    Every point is sent to its lags and meets the later point by equality of (track, index).
+    Tracks of up to DIRECT points are summed lag by lag; the sums of longer ones are sums of products, which running sums and transforms give for all
+    lags in n log n steps (to about twelve digits of the largest squared distance from the track's centre).
     """
-    p = compacted(points)
-    last = F.floor(F.col("n") / 2) - 1
-    sent = p.where("n >= 4").withColumn("lag", F.explode(F.sequence(F.lit(1), last.cast("int")))).where("idx + lag < n")
-    sent = sent.select(*KEYS, "lag", (F.col("idx") + F.col("lag")).alias("idx"), F.col("cy").alias("y0"), F.col("cx").alias("x0"))
-    d2 = (F.col("cy") - F.col("y0")) ** 2 + (F.col("cx") - F.col("x0")) ** 2
-    pairs = sent.join(p.select(*KEYS, "idx", "cy", "cx"), [*KEYS, "idx"]).select(*KEYS, "lag", d2.alias("d2"))
-    return pairs.groupBy(*KEYS, "lag").agg(F.avg("d2").alias("msd"), (F.stddev_pop("d2") / F.sqrt(F.count("*"))).alias("sem"))
+    return _curves(points, squared_displacements, ("msd", "sem"))
+
+
+def turning(y: np.ndarray, x: np.ndarray, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lag, mean, standard error) of cosines between unit steps, lags 0 to (n - 1) // 2 - 1 (0 at least); lag 0 is 1."""
+    m = len(y) - 1
+    if m < 2:
+        return np.zeros(0), np.zeros(0), np.zeros(0)
+    dy, dx = np.diff(y), np.diff(x)
+    norm = np.maximum(np.sqrt(dy * dy + dx * dx), 1e-8)
+    dy, dx, most = dy / norm, dx / norm, max(1, m // 2)
+    lags = np.arange(most)
+    if m < direct:
+        each = [dy[k:] * dy[:m - k] + dx[k:] * dx[:m - k] for k in lags[1:]]
+        return lags, np.array([1.0, *(c.mean() for c in each)]), np.array([0.0, *(c.std() / np.sqrt(len(c)) for c in each)])
+    count = m - lags
+    mean = (lag_sums(dy, dy, most) + lag_sums(dx, dx, most)) / count
+    square = (lag_sums(dy * dy, dy * dy, most) + lag_sums(dx * dx, dx * dx, most) + 2 * lag_sums(dy * dx, dy * dx, most)) / count
+    error = np.sqrt(np.maximum(square - mean**2, 0) / count)
+    mean[0], error[0] = 1.0, 0.0
+    return lags, mean, error
 
 
 def direction_autocorrelation(points: DataFrame) -> DataFrame:
-    """Mean cosine between unit steps at each lag from 0 to min((n - 1) // 2, n - 1) - 1; lag 0 is 1."""
-    p = compacted(points).where("n >= 3")
-    order = W.partitionBy(*KEYS).orderBy("idx")
-    dy, dx = F.lead("cy").over(order) - F.col("cy"), F.lead("cx").over(order) - F.col("cx")
-    norm = F.greatest(F.sqrt(dy * dy + dx * dx), F.lit(1e-8))
-    u = p.select(*KEYS, "idx", "n", (dy / norm).alias("uy"), (dx / norm).alias("ux")).where("uy is not null")
-    lags = F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / 2) - 1, F.lit(0)).cast("int"))
-    sent = u.where("(n - 1) div 2 >= 1").withColumn("lag", F.explode(lags)).where("idx + lag < n - 1")
-    sent = sent.select(*KEYS, "lag", (F.col("idx") + F.col("lag")).alias("idx"), F.col("uy").alias("vy"), F.col("ux").alias("vx"))
-    cosine = F.when(F.col("lag") == 0, 1.0).otherwise(F.col("uy") * F.col("vy") + F.col("ux") * F.col("vx"))
-    pairs = sent.join(u.select(*KEYS, "idx", "uy", "ux"), [*KEYS, "idx"]).select(*KEYS, "lag", cosine.alias("c"))
-    return pairs.groupBy(*KEYS, "lag").agg(F.avg("c").alias("autocorrelation"), (F.stddev_pop("c") / F.sqrt(F.count("*"))).alias("sem"))
+    """Mean cosine between unit steps at each lag from 0 to min((n - 1) // 2, n - 1) - 1, with its standard error; lag 0 is 1. Sums as in msd."""
+    return _curves(points, turning, ("autocorrelation", "sem"))
 
 
 def msd_diffusion_fit(curve: DataFrame, minutes: float = MINUTES) -> DataFrame:

@@ -93,7 +93,7 @@ def test_group_statistics_merge(spark, flush):
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     groups = {"one": [3.5], "ties": [1.0] * 50 + [2.0] * 50, "many": rng.normal(size=3000), "hot": [0.0] * 900 + rng.normal(size=100).tolist()}
-    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("many", None), ("many", float("nan"))]
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("many", None), ("many", float("nan")), ("bare", None)]
     shares = {"low": 0.0, "p1": 0.01, "q1": 0.25, "median": 0.5, "p95": 0.95, "high": 1.0}
     got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares).collect()
-    assert {r["g"]: tuple(r[n] for n in shares) for r in got} == {g: pytest.approx(tuple(np.quantile(v, list(shares.values())))) for g, v in groups.items()}
+    assert {r["g"]: tuple(r[n] for n in shares) for r in got} == {g: pytest.approx(tuple(np.quantile(v, list(shares.values())))) for g, v in groups.items()} | {"bare": (None,) * 6}
