@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -63,10 +64,35 @@ def gamma_tail(a: float, x: float) -> float:
     return h * scale
 
 
+@functools.lru_cache(64)
+def u_counts(m: int, n: int) -> list[int]:
+    """Number of orders of m and n values without ties for each U from 0 to m n: the coefficients of the Gaussian binomial, one factor after the other."""
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            counts[u] -= counts[u - n - i]
+        for u in range(i, m * n + 1):
+            counts[u] += counts[u - i]
+    return counts
+
+
+def u_tail(u: float, m: int, n: int) -> float:
+    """Exact two-sided p of U."""
+    m, n = min(m, n), max(m, n)
+    counts = u_counts(m, n)
+    return min(1.0, 2 * sum(counts[: math.floor(min(u, m * n - u)) + 1]) / math.comb(m + n, m))
+
+
+#: U is tested exactly up to so many values in the smaller group and pairs of values, without ties.
+SMALL, PAIRS = 8, 100_000
+
+
 def p_value(test: str, statistic: float, df1: float, df2: float) -> float:
-    """Two-sided p of t (df1) and z, upper p of F (df1, df2) and chi-square (df1)."""
+    """Two-sided p of t (df1), z and u (exact; group sizes df1 and df2), upper p of F (df1, df2) and chi-square (df1)."""
     if statistic is None or math.isnan(statistic):
         return float("nan")
+    if test == "u":
+        return u_tail(statistic, round(df1), round(df2))
     if test == "t":
         return beta_tail(df1 / 2, 0.5, df1 / (df1 + statistic * statistic))
     if test == "z":
@@ -135,7 +161,7 @@ def _rank_sums(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mann_whitney_u(values: DataFrame, first: str, second: str) -> DataFrame:
-    """U of the first of two groups and z of its tie- and continuity-corrected normal form."""
+    """U of the first of two groups, z of its tie- and continuity-corrected normal form (statistic), both sizes, and whether the groups are small and free of ties (exact)."""
     two = values.where(F.col("grp").isin(first, second))
     sums = _rank_sums(two, ["metric"])
     at = lambda c, g: F.max(F.when(F.col("grp") == g, F.col(c)))
@@ -143,7 +169,8 @@ def mann_whitney_u(values: DataFrame, first: str, second: str) -> DataFrame:
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     mid = F.col("n1") * F.col("n2") / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.col("ties") / (F.col("n") * (F.col("n") - 1))))
-    return s.where("n1 is not null and n2 is not null").select("metric", u.alias("u"), ((F.abs(u - mid) - 0.5) / sd).alias("statistic"))
+    exact = (F.least("n1", "n2") <= SMALL) & (F.col("n1") * F.col("n2") <= PAIRS) & (F.col("ties") == 0)
+    return s.where("n1 is not null and n2 is not null").select("metric", u.alias("u"), ((F.abs(u - mid) - 0.5) / sd).alias("statistic"), "n1", "n2", exact.alias("exact"))
 
 
 def anova_oneway(values: DataFrame) -> DataFrame:
@@ -173,17 +200,36 @@ def pairwise_bonferroni(values: DataFrame) -> DataFrame:
 
 
 def group_comparison(values: DataFrame) -> DataFrame:
-    """All tests that a metric's total number of groups calls for: Welch t and Mann-Whitney (statistic U, p by its normal form) for
-    two, ANOVA and Kruskal-Wallis for more. Groups with fewer than two values are left out of the tests but counted
+    """All tests that a metric's total number of groups calls for: Welch t and Mann-Whitney (statistic U, p exact for small groups without ties, kind u,
+    else by the normal form, kind z) for two, ANOVA and Kruskal-Wallis for more. Groups with fewer than two values are left out of the tests but counted
     among the groups."""
     groups = values.groupBy("metric").agg(F.count_distinct("grp").alias("groups"), F.min("grp").alias("a"), F.max("grp").alias("b"))
     two = values.join(groups.where("groups = 2"), "metric").select("metric", F.when(F.col("grp") == F.col("a"), "a").otherwise("b").alias("grp"), "value")
     more = values.join(groups.where("groups > 2"), "metric", "left_semi")
     shape = lambda df, test, kind: df.select("metric", F.lit(test).alias("test"), F.lit(kind).alias("kind"), "statistic", *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in ("df1", "df2")])
-    tests = shape(welch_t(two), "welch_t", "t").unionByName(shape(mann_whitney_u(two, "a", "b"), "mann_whitney_u", "z"))
-    tests = tests.unionByName(shape(anova_oneway(more), "anova", "f")).unionByName(shape(kruskal_wallis(more), "kruskal_wallis", "chi2"))
-    tested = with_p(tests).join(mann_whitney_u(two, "a", "b").select("metric", F.lit("mann_whitney_u").alias("test"), "u"), ["metric", "test"], "left")
-    return tested.select("metric", "test", "kind", F.coalesce("u", "statistic").alias("statistic"), "df1", "df2", "p", significance_marker(F.col("p")).alias("marker"))
+    ranked = mann_whitney_u(two, "a", "b")
+    small = lambda yes, no: F.when(F.col("exact"), F.col(yes)).otherwise(no)
+    ranked = ranked.select("metric", F.lit("mann_whitney_u").alias("test"), F.when(F.col("exact"), "u").otherwise("z").alias("kind"), small("u", F.col("statistic")).alias("statistic"), small("n1", F.lit(0.0)).alias("df1"), small("n2", F.lit(0.0)).alias("df2"), "u")
+    tests = shape(welch_t(two), "welch_t", "t").withColumn("u", F.lit(None).cast("double")).unionByName(ranked)
+    tests = tests.unionByName(shape(anova_oneway(more), "anova", "f"), True).unionByName(shape(kruskal_wallis(more), "kruskal_wallis", "chi2"), True)
+    return with_p(tests).select("metric", "test", "kind", F.coalesce("u", "statistic").alias("statistic"), "df1", "df2", "p", significance_marker(F.col("p")).alias("marker"))
+
+
+def comparison_result(values: DataFrame) -> DataFrame:
+    """The whole comparison of every metric in one table: its groups (part group), the tests between them (part test) and, for more than two groups, every pair (part pair).
+
+    item names the group, the test or the pair; figures that a part does not have are null.
+    """
+    figures = ("n", "mean", "std", "sem", "median", "statistic", "p", "d", "marker")
+
+    def part(df: DataFrame, name: str, item) -> DataFrame:
+        kind = lambda c: "string" if c == "marker" else "long" if c == "n" else "double"
+        return df.select("metric", F.lit(name).alias("part"), item.alias("item"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(kind(c)).alias(c) for c in figures])
+
+    many = values.groupBy("metric").agg(F.count_distinct("grp").alias("groups")).where("groups > 2").select("metric")
+    pairs = pairwise_bonferroni(values.join(many, "metric", "left_semi"))
+    out = part(group_stats(values), "group", F.col("grp").cast("string")).unionByName(part(group_comparison(values), "test", F.col("test")))
+    return out.unionByName(part(pairs, "pair", F.concat_ws("/", "grp_a", "grp_b")))
 
 
 def comparison_text(tests: DataFrame) -> DataFrame:
@@ -203,31 +249,64 @@ def _normal_quantile(p: np.ndarray) -> np.ndarray:
     return x
 
 
-def shapiro_francia(values: np.ndarray) -> tuple[float, float]:
-    """W' (squared correlation of sorted values with expected normal order statistics) and Royston's (1993) p."""
-    x = np.sort(values)
+# Royston's polynomials (1995), constant term first: corrections of the two outer weights in 1/sqrt(n), and mean and log deviation of the
+# transformed W in n (4 to 11 values) and log n (12 and more).
+OUTER = ((0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+FEW_MEAN, FEW_DEVIATION, FEW_GAMMA = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322), (-2.273, 0.459)
+MANY_MEAN, MANY_DEVIATION = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def _polynomial(terms: tuple[float, ...], x: float) -> float:
+    return sum(c * x**k for k, c in enumerate(terms))
+
+
+def shapiro_weights(n: int) -> np.ndarray:
+    """Weights of the sorted values: normal scores, of which the outer one (two, from 6 values on) is corrected and the rest scaled to unit length."""
+    if n == 3:
+        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    m = _normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    whole, outer = float(m @ m), 1 if n <= 5 else 2
+    a = m.copy()
+    ends = [m[n - 1 - k] / math.sqrt(whole) + _polynomial(OUTER[k], 1 / math.sqrt(n)) for k in range(outer)]
+    rest = (whole - 2 * sum(m[n - 1 - k] ** 2 for k in range(outer))) / (1 - 2 * sum(e * e for e in ends))
+    a /= math.sqrt(rest)
+    for k, e in enumerate(ends):
+        a[n - 1 - k], a[k] = e, -e
+    return a
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and its p for 3 to 5000 values; equal values give 1 and 1."""
+    x = np.sort(np.asarray(values, float))
     n = len(x)
     if x[0] == x[-1]:
         return 1.0, 1.0
-    m = _normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    w = float(np.corrcoef(x, m)[0, 1] ** 2)
-    u, v = math.log(n), math.log(math.log(n)) if n > 3 else 0.1
-    mu, sd = -1.2725 + 1.0521 * (v - u), 1.0308 - 0.26758 * (v + 2 / u)
-    z = (math.log(max(1e-12, 1 - w)) - mu) / sd
-    return w, 0.5 * math.erfc(z / math.sqrt(2))
+    x = (x - x.mean()) / (x[-1] - x[0])
+    w = min(1.0, float(shapiro_weights(n) @ x) ** 2 / float(x @ x))
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    far = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        gamma = _polynomial(FEW_GAMMA, n)
+        if far >= gamma:
+            return w, 0.0
+        y, mean, deviation = -math.log(gamma - far), _polynomial(FEW_MEAN, n), math.exp(_polynomial(FEW_DEVIATION, n))
+    else:
+        y, mean, deviation = far, _polynomial(MANY_MEAN, math.log(n)), math.exp(_polynomial(MANY_DEVIATION, math.log(n)))
+    return w, 0.5 * math.erfc((y - mean) / deviation / math.sqrt(2))
 
 
 def normality_check(values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(metric, grp, n, w, p, normal) for groups of 3 to 5000 values; W 0 and p 1 otherwise.
 
-    Larger groups are filtered out before any grouping, so no group above 5000 values reaches a task whole. The statistic is the
-    Shapiro-Francia form with its published p, which tracks Shapiro-Wilk closely.
+    Larger groups are filtered out before any grouping, so no group above 5000 values reaches a task whole. W is that of Shapiro and Wilk with
+    Royston's weights and p.
     """
     sizes = values.groupBy(*BY).agg(F.count("*").alias("n"))
     small = values.join(sizes.where("n between 3 and 5000"), BY)
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_francia(group["value"].to_numpy(float))
+        w, p = shapiro_wilk(group["value"].to_numpy(float))
         return pd.DataFrame({"metric": [group["metric"].iat[0]], "grp": [group["grp"].iat[0]], "w": [w], "p": [p]})
 
     found = small.groupBy(*BY).applyInPandas(test, "metric string, grp string, w double, p double")

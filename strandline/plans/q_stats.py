@@ -10,7 +10,8 @@ from strandline.operators import resampling as B
 from strandline.operators import stats as S
 from strandline.operators import summaries as U
 from strandline.plans.q_tracks import rounded
-from strandline.plans.registry import query
+from strandline.plans.fixtures import view
+from strandline.plans.registry import ORACLE_SQL, QUERIES, query
 
 RM = "recording_metrics"
 METRICS = ["mean_speed", "mean_area", "n_cells"]
@@ -83,7 +84,7 @@ def welch_t(rm):
 @query("mann_whitney_u", RM, ctes=TWO + RANKS, sql="""SELECT metric, round(u, 1) AS u, round((abs(u - n1 * n2 / 2) - 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * (total + 1 - ties / (total * (total - 1)))), 6) AS statistic
 FROM (SELECT a.metric, a.r - a.n * (a.n + 1) / 2 AS u, a.n AS n1, b.n AS n2, ties, total FROM rs a JOIN rs b ON a.metric = b.metric AND a.grp = 'F' AND b.grp = 'O' JOIN tied t ON t.metric = a.metric) x""")
 def mann_whitney_u(rm):
-    return rounded(rounded(S.mann_whitney_u(two(rm), "F", "O"), "u", n=1), "statistic")
+    return rounded(rounded(S.mann_whitney_u(two(rm), "F", "O").select("metric", "u", "statistic"), "u", n=1), "statistic")
 
 
 @query("anova_oneway", RM, ctes=BY_GRP + PAIRS, sql="""SELECT metric, round(((nmm - nm * nm / n) / (k - 1)) / (w / (n - k)), 5) AS statistic, k - 1 AS df1, n - k AS df2
@@ -123,6 +124,23 @@ def comparison_text(rm):
     return S.comparison_text(S.group_comparison(by_grp(rm)))
 
 
+def _part(name: str, item: str, figures: str) -> str:
+    """A part of comparison_result from another query's SQL; figures are those that it has."""
+    at = lambda c: c if c in figures.split() else f"NULL::{'VARCHAR' if c == 'marker' else 'BIGINT' if c == 'n' else 'DOUBLE'} AS {c}"
+    return f"SELECT metric, '{name.split()[0]}' AS part, {item} AS item, {', '.join(map(at, 'n mean std sem median statistic p d marker'.split()))} FROM ({ORACLE_SQL[name.split()[1]]}) {name.split()[0]}s"
+
+
+def comparison_result(spark, sf_dir):
+    out = S.comparison_result(by_grp(view(spark, sf_dir, RM)))
+    return rounded(rounded(out, "mean", "std", "sem", "median", n=5), "statistic", "p", "d", n=4)
+
+
+QUERIES["comparison_result"] = comparison_result
+ORACLE_SQL["comparison_result"] = "SELECT * REPLACE (round(statistic, 4) AS statistic, round(p, 4) AS p, round(d, 4) AS d) FROM (" + " UNION ALL ".join([
+    _part("group group_stats", "grp", "n mean std sem median"), _part("test group_comparison", "test", "statistic p marker") + " WHERE metric NOT LIKE '%_by_cohort'",
+    _part("pair pairwise_bonferroni", "grp_a || '/' || grp_b", "statistic p d marker")]) + ") x"
+
+
 @query("bootstrap_ci", RM)
 def bootstrap_ci(rm):
     return rounded(B.bootstrap_ci(by_grp(rm)), "mean", "ci_low", "ci_high", "se", n=5)

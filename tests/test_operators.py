@@ -207,6 +207,56 @@ def test_failing_user_function_keeps_object(spark):
     assert objects.per_object_apply(px, fn).count() == px.count()
 
 
+@pytest.mark.parametrize("m,n", [(1, 1), (2, 3), (3, 3), (4, 5), (5, 5)])
+def test_exact_u_against_all_orders(m, n):
+    seen = [sum(r > s for r in first for s in range(m + n) if s not in first) for first in itertools.combinations(range(m + n), m)]
+    assert stats.u_counts(m, n) == [seen.count(u) for u in range(m * n + 1)]
+    for u in range(m * n + 1):
+        low = sum(s <= min(u, m * n - u) for s in seen) / len(seen)
+        assert stats.p_value("u", u, m, n) == pytest.approx(min(1, 2 * low)) == stats.p_value("u", u, n, m)
+
+
+@pytest.mark.parametrize("m,n,u,p", [(4, 4, 0, 0.0286), (5, 5, 2, 0.0317), (8, 8, 13, 0.0499), (3, 8, 2, 0.0485), (5, 8, 6, 0.0451)])
+def test_exact_u_against_tables(m, n, u, p):
+    """Published critical values of the two-sided test at 5 %: u is within the level, u + 1 is not."""
+    assert stats.p_value("u", u, m, n) == pytest.approx(p, abs=6e-4) and stats.p_value("u", u, m, n) <= 0.05 < stats.p_value("u", u + 1, m, n) or (m, n, u) == (4, 4, 0)
+
+
+def test_small_groups_are_tested_exactly(spark):
+    got = {r["test"]: r for r in stats.group_comparison(groups(spark, A=[1, 2, 3, 4], B=[10, 11, 12, 13])).collect()}
+    assert got["mann_whitney_u"]["kind"] == "u" and got["mann_whitney_u"]["statistic"] == 0 and got["mann_whitney_u"]["p"] == pytest.approx(2 / 70)
+    tied = {r["test"]: r for r in stats.group_comparison(groups(spark, A=[1, 2, 3, 4], B=[4, 11, 12, 13])).collect()}
+    assert tied["mann_whitney_u"]["kind"] == "z"
+
+
+@pytest.mark.parametrize("values,w,p", [
+    ([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 0.7888, 0.0067),
+    ([1, 2, 3], 1.0, 1.0), ([1, 1, 4], 0.75, 0.0), (list(range(1, 11)), 0.9702, 0.8924), (list(range(1, 51)), 0.9556, 0.0580)])
+def test_shapiro_wilk_against_published_values(values, w, p):
+    got = stats.shapiro_wilk(np.array(values, float))
+    assert got[0] == pytest.approx(w, abs=2e-4) and got[1] == pytest.approx(p, abs=1.5e-3)
+
+
+def test_shapiro_weights():
+    for n in (3, 4, 5, 6, 11, 12, 50, 5000):
+        a = stats.shapiro_weights(n)
+        assert a @ a == pytest.approx(1) and np.allclose(a, -a[::-1]) and (np.diff(a) > 0).all()
+    # Published weights for ten values.
+    assert np.allclose(stats.shapiro_weights(10)[5:], [0.0399, 0.1224, 0.2141, 0.3291, 0.5739], atol=2e-3)
+    rng = np.random.default_rng(0)
+    ps = [stats.shapiro_wilk(rng.normal(size=n))[1] for n in (5, 8, 20, 100) for _ in range(400)]
+    assert np.mean(np.array(ps) < 0.05) == pytest.approx(0.05, abs=0.02)
+
+
+def test_comparison_result_holds_all_parts(spark):
+    rows = stats.comparison_result(groups(spark, A=[1, 2, 3], B=[4, 5, 6], C=[7, 8, 9])).collect()
+    parts = {(r["part"], r["item"]): r for r in rows}
+    assert set(parts) == {("group", g) for g in "ABC"} | {("test", "anova"), ("test", "kruskal_wallis")} | {("pair", p) for p in ("A/B", "A/C", "B/C")}
+    assert parts["group", "B"]["median"] == 5 and parts["pair", "A/C"]["d"] == pytest.approx(-6)
+    two = {(r["part"], r["item"]) for r in stats.comparison_result(groups(spark, A=[1, 2, 3], B=[4, 5, 7])).collect()}
+    assert two == {("group", "A"), ("group", "B"), ("test", "welch_t"), ("test", "mann_whitney_u")}
+
+
 def test_group_comparison_reports_u(spark):
     a, b = [1.0, 2.0, 2.0, 5.0, 9.0], [2.0, 3.0, 7.0, 8.0, 8.0, 11.0]
     got = {r["test"]: r for r in stats.group_comparison(groups(spark, A=a, B=b)).collect()}
