@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,10 +40,40 @@ def _components(vectors: DataFrame) -> tuple[DataFrame, int]:
     return f, max(1, min(20, n - 1, dims))
 
 
-def shape_pca(vectors: DataFrame) -> DataFrame:
-    """Scores of every vector on the first min(20, n - 1, dims) principal directions; the mean shape is not subtracted."""
+def _principal(vectors: DataFrame, most: int = 20):
+    """(features, model, directions as columns, mean shape): the principal directions of vectors about their mean, each with its largest element positive.
+
+    Spark adds up one covariance matrix of the points' number squared; the driver holds that and the mean.
+    """
     f, k = _components(vectors)
-    return PCA(k=k, inputCol="features", outputCol="pc").fit(f).transform(f).withColumn("scores", vector_to_array("pc")).drop("features", "pc", "v")
+    model = PCA(k=min(k, most), inputCol="features", outputCol="pc").fit(f)
+    mean = f.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    pc = model.pc.toArray()
+    return f, model, pc * np.where(pc[np.abs(pc).argmax(axis=0), np.arange(pc.shape[1])] < 0, -1.0, 1.0), mean
+
+
+def _scored(f: DataFrame, model, directions: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """f with scores: what each vector less the mean shape has of every direction."""
+    turn = np.sign((model.pc.toArray() * directions).sum(axis=0))
+    at = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(m)).alias("m")) for t, m in zip(turn, mean @ directions)])
+    return model.transform(f).withColumn("scores", F.zip_with(vector_to_array("pc"), at, lambda s, a: s * a["t"] - a["m"])).drop("features", "pc")
+
+
+def shape_pca(vectors: DataFrame) -> DataFrame:
+    """Scores of every vector, less the mean shape, on the first min(20, n - 1, dims) principal directions; an empty table gives none."""
+    if vectors.isEmpty():
+        return vectors.drop("v").withColumn("scores", F.lit(None).cast("array<double>"))
+    return _scored(*_principal(vectors)).drop("v")
+
+
+def shape_components(vectors: DataFrame) -> DataFrame:
+    """(component, explained, direction, mean): the principal directions with the share of the variance each explains, and the mean shape."""
+    fields = "component int, explained double, direction array<double>, mean array<double>"
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], fields)
+    _, model, directions, mean = _principal(vectors)
+    rows = [(k, float(e), directions[:, k].tolist(), mean.tolist()) for k, e in enumerate(model.explainedVariance.toArray())]
+    return vectors.sparkSession.createDataFrame(rows, fields)
 
 
 def shape_modes(vectors: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -50,9 +81,8 @@ def shape_modes(vectors: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     n = vectors.count()
     if n < 5:
         return vectors.select("vec_id", F.lit(None).cast("int").alias("mode")).limit(0)
-    f, c = _components(vectors)
-    scored = PCA(k=c, inputCol="features", outputCol="pc").fit(f).transform(f)
-    model = KMeans(k=k if n >= k else max(2, n // 2), seed=seed, featuresCol="pc", predictionCol="mode").fit(scored)
+    scored = _scored(*_principal(vectors)).withColumn("features", array_to_vector("scores"))
+    model = KMeans(k=k if n >= k else max(2, n // 2), seed=seed, maxIter=100, featuresCol="features", predictionCol="mode").fit(scored)
     return model.transform(scored).select("vec_id", "mode")
 
 
@@ -80,9 +110,6 @@ def frame_modes(modes: DataFrame, frames: DataFrame) -> DataFrame:
 
 def eigenshapes(vectors: DataFrame, count: int = 4, amount: float = 0.3) -> DataFrame:
     """(component, point, low, mean, high): mean shape -+ amount times each of the first principal directions."""
-    f, k = _components(vectors)
-    model = PCA(k=min(count, k), inputCol="features", outputCol="pc").fit(f)
-    mean = f.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
-    pc = model.pc.toArray()
+    _, _, pc, mean = _principal(vectors, count)
     rows = [(c, i, float(mean[i] - amount * pc[i, c]), float(mean[i]), float(mean[i] + amount * pc[i, c])) for c in range(pc.shape[1]) for i in range(pc.shape[0])]
     return vectors.sparkSession.createDataFrame(rows, "component int, point int, low double, mean double, high double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -211,6 +212,20 @@ def series_by_cell(points: DataFrame, minutes: float = MINUTES) -> DataFrame:
     return speed.withColumns({"mean": m, "low": m - s, "high": m + s})
 
 
+def cell_series(points: DataFrame, um: float = UM_PER_PX, minutes: float = MINUTES) -> DataFrame:
+    """(metric, recording_id, track_id, frame, value, mean, low, high): every track's speed, path (y and x from its first point, in micrometres) and, where
+    points has area_px, area, each with the mean and mean -+ std band over the tracks of a recording's frame. Frames without a value have no row.
+    """
+    path = trajectory_origin(points).select(*KEYS, "frame", (F.col("cy") * um).alias("path_y_um"), (F.col("cx") * um).alias("path_x_um"))
+    parts = [path.unpivot([*KEYS, "frame"], ["path_y_um", "path_x_um"], "metric", "value"), instantaneous_speed(px_to_um(points, um), minutes).select(*KEYS, "frame", F.lit("speed_um_min").alias("metric"), F.col("speed").alias("value"))]
+    if "area_px" in points.columns:
+        parts.append(points.select(*KEYS, "frame", F.lit("area_um2").alias("metric"), (F.col("area_px") * um * um).alias("value")))
+    over = W.partitionBy("metric", "recording_id", "frame")
+    m, s = F.avg("value").over(over), F.stddev_pop("value").over(over)
+    every = functools.reduce(DataFrame.unionByName, parts).where("value is not null")
+    return every.withColumns({"mean": m, "low": m - s, "high": m + s}).select("metric", *KEYS, "frame", "value", "mean", "low", "high")
+
+
 def track_summary(points: DataFrame, minutes: float = MINUTES) -> DataFrame:
     """cell_id (1-based within the recording), frames tracked, first frame and mean speed of every track."""
     speed = mean_speed(points, minutes)

@@ -255,6 +255,11 @@ def shape_pca(v):
     return H.shape_pca(v).select("vec_id", "scores")
 
 
+@query("shape_components", SV)
+def shape_components(v):
+    return H.shape_components(v)
+
+
 @query("shape_modes", SV)
 def shape_modes(v):
     return H.shape_modes(v)

@@ -15,7 +15,7 @@ from strandline.operators import objects as O
 from strandline.operators import pixels as P
 from strandline.operators import tracks
 from strandline.plans.fixtures import duckdb_with, view
-from strandline.plans.q_masks import SHAPES
+from strandline.plans.q_masks import BIG, DESCR, SHAPES
 from strandline.plans.q_tracks import STEPS, rounded
 from strandline.plans import q_linking, q_masks, q_pixels  # noqa: F401
 from strandline.plans.registry import ORACLE_SQL, QUERIES, query
@@ -168,6 +168,17 @@ def group_summary_csv(rm):
     return rounded(back, "mean_area_mean", "mean_area_std", "mean_area_sem")
 
 
+@query("per_cell_shapes_csv", PX, ctes=BIG + "," + SHAPES.replace("{src}", "big") + """,
+mid AS (SELECT recording_id, frame, avg(row_) AS cy, avg(col_) AS cx FROM big GROUP BY ALL),
+walk AS (SELECT recording_id, frame, cy, cx, sqrt(pow(lead(cy) OVER w - cy, 2) + pow(lead(cx) OVER w - cx, 2)) * 0.65::DOUBLE / 5 AS speed FROM spine LEFT JOIN mid USING (recording_id, frame) WINDOW w AS (PARTITION BY recording_id ORDER BY frame))
+""", sql="SELECT recording_id, frame, " + ", ".join(f"round({c}, 5) AS {n}" for n, c in zip(assembled.CELL_COLUMNS, ["cy", "cx", *DESCR, "speed"])) + " FROM walk LEFT JOIN shapes USING (recording_id, frame)")
+def per_cell_shapes_csv(px):
+    path = f"{shared_dir(px.sparkSession)}/cells-{uuid.uuid4().hex}"
+    K.per_cell_csv(assembled.per_cell_table(px), path)
+    back = px.sparkSession.read.schema("frame int, " + ", ".join(f"{c} double" for c in assembled.CELL_COLUMNS) + ", recording_id string").option("header", True).csv(path)
+    return rounded(back.select("recording_id", "frame", *assembled.CELL_COLUMNS), *assembled.CELL_COLUMNS, n=5)
+
+
 @query("detection_checkpoint", PX, sql="SELECT recording_id, frame, label, row_, col_, 'primary' AS provenance, 2 AS version, 'detection' AS kind FROM mask_px")
 def detection_checkpoint(px):
     path = f"{shared_dir(px.sparkSession)}/detection-{uuid.uuid4().hex}"

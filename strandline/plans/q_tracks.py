@@ -143,6 +143,18 @@ def series_by_cell(p):
     return rounded(T.series_by_cell(p), "speed", "mean", "low", "high")
 
 
+@query("cell_series", TP, ctes=STEPS + """,
+first AS (SELECT recording_id, track_id, arg_min(cy, frame) AS y0, arg_min(cx, frame) AS x0 FROM track_points WHERE cy IS NOT NULL AND cx IS NOT NULL GROUP BY ALL),
+every AS (SELECT 'speed_um_min' AS metric, recording_id, track_id, frame, step * 0.65::DOUBLE / 5 AS value FROM steps
+  UNION ALL SELECT 'path_y_um', recording_id, track_id, frame, (cy - y0) * 0.65::DOUBLE FROM track_points JOIN first USING (recording_id, track_id)
+  UNION ALL SELECT 'path_x_um', recording_id, track_id, frame, (cx - x0) * 0.65::DOUBLE FROM track_points JOIN first USING (recording_id, track_id)
+  UNION ALL SELECT 'area_um2', recording_id, track_id, frame, (100 + frame * 7 % 50) * 0.4225::DOUBLE FROM track_points)
+""", sql="""SELECT metric, recording_id, track_id, frame, round(value, 5) AS value, round(m, 5) AS mean, round(m - s, 5) AS low, round(m + s, 5) AS high
+FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM every WHERE value IS NOT NULL WINDOW w AS (PARTITION BY metric, recording_id, frame)) y""")
+def cell_series(p):
+    return rounded(T.cell_series(p.withColumn("area_px", 100 + F.col("frame") * 7 % 50)), "value", "mean", "low", "high", n=5)
+
+
 @query("track_summary", TP, ctes=STEPS, sql="""SELECT p.recording_id, p.track_id, p.frames_tracked, p.first_frame, round(mean_speed, 6) AS mean_speed,
   dense_rank() OVER (PARTITION BY p.recording_id ORDER BY p.track_id)::INT AS cell_id
 FROM (SELECT recording_id, track_id, count(*) AS frames_tracked, min(frame) AS first_frame FROM track_points WHERE cy IS NOT NULL GROUP BY ALL) p LEFT JOIN summed USING (recording_id, track_id)""")

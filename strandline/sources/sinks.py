@@ -43,6 +43,11 @@ def batch_summary_csv(rows: DataFrame, path: str) -> None:
     recording_metrics(rows).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def per_cell_csv(rows: DataFrame, path: str) -> None:
+    """One folder per recording with its per-cell rows in order of frame; missing figures are empty."""
+    rows.repartition("recording_id").sortWithinPartitions("recording_id", "frame").write.mode("overwrite").partitionBy("recording_id").option("header", True).option("nullValue", "").csv(path)
+
+
 def group_summary_csv(rows: DataFrame, group: str, metrics: list[str], path: str) -> None:
     """path/groups: the summary of every group; path/recordings: the recordings' rows, one folder per group."""
     group_summary(rows, group, metrics).orderBy(group).write.mode("overwrite").option("header", True).csv(f"{path}/groups")
