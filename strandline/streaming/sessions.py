@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from strandline.functions.staging import shared_dir, staged
 from strandline.operators.linking import MAX_GAP, step_tracks
@@ -32,37 +33,71 @@ def gap_sessions(stream: DataFrame, keys: list[str], max_gap: int = MAX_GAP, min
 
 
 TRACKED = "recording_id string, track_id int, frame int, label int, cy double, cx double"
-STATE = "tracks string, next_id int, last_frame int"
+#: State of a recording: a map from track to its last position and frame, and the next free id with the last frame seen.
+TRACKS, MARKS = ("track int", "cy double, cx double, frame int"), "next_id int, last_frame int"
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def tracker(stream: DataFrame, hop: float = 20.0, max_gap: int = MAX_GAP, late: str = "24 hours") -> DataFrame:
-    """Incremental linking per recording: state holds the live tracks' last positions and frames and the next free id.
+class Follower(StatefulProcessor):
+    """Live tracks in a map state, of which a micro-batch reads all and writes those that moved, were born or died; a timer clears a recording that has ended."""
 
-    Frames of a micro-batch are taken in order; frames not after the last one seen are late and dropped; a track dies
-    when max_gap frames pass without it, and the state of a recording when the watermark has passed that long.
-    """
-    import json
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        live, free, seen = {}, 0, -1
-        if state.exists:
-            text, free, seen = state.get
-            live = {int(t): tuple(v) for t, v in json.loads(text).items()}
-        rows = pd.concat(list(batches)).sort_values(["frame", "label"], kind="stable")
-        out = []
-        for frame, group in rows[rows["frame"] > seen].groupby("frame", sort=True):
-            owner, free = step_tracks(live, int(frame), group[["cy", "cx"]].to_numpy(float), hop, max_gap, True, free)
-            out.append(group.assign(track_id=np.array(owner, "int32")))
+    def __init__(self, hop: float, max_gap: int, minutes: float):
+        self.hop, self.max_gap, self.wait_ms = hop, max_gap, int(max_gap * minutes * 60_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tracks, self.marks = handle.getMapState("tracks", *TRACKS), handle.getValueState("marks", MARKS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        free, seen = self.marks.get() if self.marks.exists() else (0, -1)
+        before = {int(k[0]): (float(v[0]), float(v[1]), int(v[2])) for k, v in self.tracks.iterator()}
+        live, out = dict(before), []
+        group = pd.concat(list(rows)).sort_values(["frame", "label"], kind="stable")
+        for frame, now in group[group["frame"] > seen].groupby("frame", sort=True):
+            owner, free = step_tracks(live, int(frame), now[["cy", "cx"]].to_numpy(float), self.hop, self.max_gap, True, free)
+            out.append(now.assign(track_id=np.array(owner, "int32")))
             seen = int(frame)
-        state.update((json.dumps({str(t): [float(y), float(x), int(f)] for t, (y, x, f) in live.items()}), free, seen))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000)) + max_gap * 3_600_000)
+        for t in before.keys() - live.keys():
+            self.tracks.removeKey((t,))
+        for t, (y, x, f) in live.items():
+            if before.get(t) != (y, x, f):
+                self.tracks.updateValue((t,), (float(y), float(x), int(f)))
+        self.marks.update((int(free), int(seen)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        last = int(group["ts"].max().timestamp() * 1000)
+        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1) + self.wait_ms)
         if out:
             yield pd.concat(out)[["recording_id", "track_id", "frame", "label", "cy", "cx"]]
 
-    return stream.withWatermark("ts", late).groupBy("recording_id").applyInPandasWithState(run, TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tracks.clear()
+        self.marks.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def tracker(stream: DataFrame, hop: float = 20.0, max_gap: int = MAX_GAP, late: str = "24 hours", minutes: float = 60.0) -> DataFrame:
+    """Incremental linking per recording, as transformWithState over a map state of one entry a track (Follower); the session's state store must be RocksDB.
+
+    Frames of a micro-batch are taken in order; rows behind the watermark and frames not after the last one seen are late and dropped; a
+    track dies when max_gap frames pass without it, and the state of a recording when the watermark has passed that long.
+    """
+    timed = stream.withWatermark("ts", late).groupBy("recording_id")
+    return timed.transformWithStateInPandas(Follower(hop, max_gap, minutes), TRACKED, "append", "EventTime")
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Within it, streams of the session keep their state in RocksDB."""
+    before = spark.conf.get(ROCKSDB[0], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(ROCKSDB[0]) if before is None else spark.conf.set(ROCKSDB[0], before)
 
 
 def _replay(rows: DataFrame, operator, slices: int = 4, closing: DataFrame | None = None) -> DataFrame:
@@ -85,7 +120,8 @@ def _replay(rows: DataFrame, operator, slices: int = 4, closing: DataFrame | Non
 
 
 def replay_tracker(det: DataFrame) -> DataFrame:
-    return _replay(event_time(det).withColumn("recording_id", F.col("recording_id").cast("string")), tracker)
+    with rocksdb(det.sparkSession):
+        return _replay(event_time(det).withColumn("recording_id", F.col("recording_id").cast("string")), tracker)
 
 
 def replay_gap_sessions(det: DataFrame, late_frames: int = 24) -> DataFrame:

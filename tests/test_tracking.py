@@ -83,3 +83,18 @@ def test_anchor_chain(spark, size, empty):
                 at = pick
     got = {(r["recording_id"], r["frame"], r["label"]) for r in linking.anchor_single(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == want
+
+
+def test_stream_with_late_rows_and_dead_tracks(spark):
+    """The replay equals the whole-recording version; late rows, appended last, change nothing."""
+    from strandline.streaming import sessions
+    rng = np.random.default_rng(5)
+    rows = [("a", f, 0, 10.0 + f, 10.0, 5) for f in range(60) if not 20 <= f < 33] + [("a", f, 1, 500.0 + float(rng.random()), 80.0, 5) for f in range(0, 60, 5)]
+    rows += [("b", f, 0, 5.0, 5.0 + f, 5) for f in (0, 3, 14, 26, 38)]
+    want = whole(rows, 20.0, linking.MAX_GAP, True)
+    assert len({t for (r, _, _), t in want.items() if r == "a"}) == 3 and len({t for (r, _, _), t in want.items() if r == "b"}) == 3
+    late = [("a", 7, 5, 0.0, 0.0, 5), ("b", 2, 5, 5.0, 5.0, 5), ("a", 58, 5, 900.0, 900.0, 5)]
+    stamped = lambda r: sessions.event_time(spark.createDataFrame(r, SCHEMA))
+    with sessions.rocksdb(spark):
+        out = sessions._replay(stamped(rows), sessions.tracker, slices=3, closing=stamped(late)).collect()
+    assert {(r["recording_id"], r["frame"], r["label"]): r["track_id"] for r in out} == want
