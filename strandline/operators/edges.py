@@ -41,11 +41,22 @@ def fill_sector_gaps(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -
     return s.select(*keys, "sector", F.when(F.col("radius").isNotNull() | (F.col("_k") > 2), F.coalesce("radius", "_f")).alias("radius"))
 
 
+# Weights of the quadratic over five points, in 35ths.
+TAPS = ((-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3))
+
+
 def smooth_sectors(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -> DataFrame:
-    """Circular five-point quadratic smoothing of the radii of dense sectors."""
-    taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w / 35.0).alias("w")) for o, w in ((-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3))])
-    sent = sectors.withColumn("_t", F.explode(taps))
-    return sent.select(*keys, F.pmod(F.col("sector") - F.col("_t.o"), F.lit(n)).alias("sector"), (F.col("radius") * F.col("_t.w")).alias("v")).groupBy(*keys, "sector").agg(F.sum("v").alias("radius"))
+    """Circular five-point quadratic smoothing of the radii of dense sectors (0 to n - 1 of every key); nulls are left out of the sums.
+
+    A key's radii are smoothed as one array of n, so that no row is sent to its neighbours; after fill_sector_gaps they already lie together.
+    """
+    rows = sectors.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("sector", "radius"))), lambda s: s["radius"]).alias("_r"))
+
+    def smooth(_: Column, i: Column) -> Column:
+        near = [F.get("_r", F.pmod(i + o, F.lit(n))) * (w / 35.0) for o, w in TAPS]
+        return F.when(F.coalesce(*near).isNotNull(), sum((F.coalesce(v, F.lit(0.0)) for v in near[1:]), F.coalesce(near[0], F.lit(0.0))))
+
+    return rows.select(*keys, F.posexplode(F.transform("_r", smooth)).alias("sector", "radius"))
 
 
 def edge_velocity_pair(px: DataFrame, n: int = 72, um: float = UM_PER_PX, minutes: float = MINUTES) -> DataFrame:
