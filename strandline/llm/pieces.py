@@ -228,7 +228,7 @@ def _mapper(model: str, n_cols: int, outputs: tuple[str, ...], schema: pa.Schema
     return run
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes together, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(size) - size) // most
@@ -242,7 +242,7 @@ def encode_pieces(docs: DataFrame, model: str, id_cols: tuple[str, ...] = ("doc_
     pairs), the decoded text, and SHA-256 digests of these.
 
     model is the path of the model's file, present on every executor. Null texts count as empty (begin and end marks only);
-    long texts are encoded whole, in batches of about 16 million bytes; repeated rows stay; empty tables give no rows; other
+    long texts are encoded whole, in batches of about 4 million bytes; repeated rows stay; empty tables give no rows; other
     columns are ignored. No shuffle.
     """
     rows = docs.select(*id_cols, F.col(text_col).alias("_text"))
