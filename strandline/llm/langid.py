@@ -69,7 +69,8 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     """Prototype vectors of the languages of docs, from about per_lang rows of each, chosen by the hash of the id.
 
     The bound of the sample is per_lang rows a language (in expectation); sums of document vectors are made in
-    the tasks and added by Spark, so the driver receives one vector a language. Rows without text or language are skipped.
+    the tasks and added by Spark, so the driver receives one vector a language. Rows without text or language are skipped, texts without a letter teach nothing,
+    long texts count whole, repeated rows count as often as they come and share their draw, and an empty table gives no language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = known.groupBy(lang_col).count().collect()

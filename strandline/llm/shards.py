@@ -183,7 +183,7 @@ def write_shards(ordered: DataFrame, folder: str, index: bool = False) -> DataFr
     folder is a path of Spark's, in a file system that pyarrow too reaches from every executor (file:, hdfs:, s3:). A shard is written under a
     temporary name and moved into place, so a task that runs twice leaves the same file. The result is lazy; shards are written
     when it is computed. Readers resume at a slot by seeking to its offset in its shard. Of the columns only shard, slot and
-    record are read; no rows leave no shard.
+    record are read, whatever the ids (null ones too); slots are unique, as training_order makes them, and no rows leave no shard.
     """
     rest = [c for c in ordered.columns if c != "record"] if index else []
     folder = qualified(ordered.sparkSession, folder)

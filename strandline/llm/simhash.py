@@ -74,7 +74,10 @@ Kinds = tuple[tuple[str, int, bool, int], ...]
 
 
 def with_simhash(docs: DataFrame, text_col: str = "text", kinds: Kinds = (("fp", 4, False, 0),)) -> DataFrame:
-    """docs without text_col plus one signed long per kind. No shuffle."""
+    """docs without text_col plus one signed long per kind. No shuffle.
+
+    Null and wordless texts have 0; long texts count whole; repeated rows stay; an empty table gives none; columns named as a kind are replaced.
+    """
     rows = docs.drop(*[k[0] for k in kinds])
     rows = rows.select(*[c for c in rows.columns if c != text_col], F.col(text_col).alias("_text"))
     out = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{k[0]} long" for k in kinds])
@@ -196,6 +199,7 @@ def link_fingerprints(prints: DataFrame, limits: dict[str, int], hot: int = 2048
     dealt and sorted by key, and rows of equal keys are compared. A linked set leaves one edge per node, not its pairs.
     The rows of a key with more than `hot` nodes are passed on; they are cut by hash into chunks, every pair of chunks is a
     task of its own, and again each leaves only spanning edges: no link is lost and no task holds more than two chunks.
+    Repeated rows count once, nodes and fingerprints are not null, and an empty table gives no edges.
     """
     names, most = list(limits), tuple(limits.values())
     keyed = prints.select("node", *names).distinct().withColumn("key", F.explode(variants(F.col(names[0]), most[0]))).select("key", "node", *names)
