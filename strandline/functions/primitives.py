@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions.staging import staged
+
 #: Scale of the examples: micrometres per pixel and minutes per frame.
 UM_PER_PX, MINUTES = 0.65, 5.0
 
@@ -76,11 +78,12 @@ def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: st
 
     Orders are unique within a key. Each key's values are cut at quantiles into buckets (four for each shuffle partition, 64 at
     least, so they grow with the cluster that the input asks for), bucket totals (buckets rows a key) get prefix sums, and
-    windows run inside (key, bucket): no task orders a whole key.
+    windows run inside (key, bucket): no task orders a whole key. The quantiles are approximate and depend on the order in which their parts
+    arrive, so they are staged: totals and rows see the same buckets, and a small table of cuts is broadcast instead of dealing rows by key.
     """
     buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 20 * buckets)).alias("_cuts"))
-    b = df.join(cuts, keys).withColumn("_bucket", value_bucket(F.col(order), F.col("_cuts"), buckets)).drop("_cuts")
+    b = df.join(staged(cuts, "cuts"), keys).withColumn("_bucket", value_bucket(F.col(order), F.col("_cuts"), buckets)).drop("_cuts")
     totals = b.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_t"))
     start = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum(amount).over(W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
