@@ -43,7 +43,7 @@ def per_cell_table(px: DataFrame, um: float = UM_PER_PX, minutes: float = MINUTE
     """recording_id, frame and CELL_COLUMNS of the largest object of every frame on the dense spine: centroid in pixels, the six descriptors, and the speed to the next frame; null where there is no object."""
     one = masks.largest_component(px)
     at = masks.centroid_series(one).select("recording_id", F.lit(0).alias("track_id"), "frame", "cy", "cx")
-    speed = tracks.instantaneous_speed(tracks.px_to_um(at, um), minutes).select("recording_id", "frame", F.col("speed").alias("speed_um_min"))
+    speed = tracks.steps(at).select("recording_id", "frame", (F.col("step") * um / minutes).alias("speed_um_min"))
     shape = masks.shape_descriptors(one, um).drop("label")
     rows = at.withColumnsRenamed({"cy": "centroid_y", "cx": "centroid_x"}).join(shape, ["recording_id", "frame"], "left").join(speed, ["recording_id", "frame"], "left")
     return rows.select("recording_id", "frame", *CELL_COLUMNS)

@@ -217,7 +217,7 @@ def cell_series(points: DataFrame, um: float = UM_PER_PX, minutes: float = MINUT
     points has area_px, area, each with the mean and mean -+ std band over the tracks of a recording's frame. Frames without a value have no row.
     """
     path = trajectory_origin(points).select(*KEYS, "frame", (F.col("cy") * um).alias("path_y_um"), (F.col("cx") * um).alias("path_x_um"))
-    parts = [path.unpivot([*KEYS, "frame"], ["path_y_um", "path_x_um"], "metric", "value"), instantaneous_speed(px_to_um(points, um), minutes).select(*KEYS, "frame", F.lit("speed_um_min").alias("metric"), F.col("speed").alias("value"))]
+    parts = [path.unpivot([*KEYS, "frame"], ["path_y_um", "path_x_um"], "metric", "value"), steps(points).select(*KEYS, "frame", F.lit("speed_um_min").alias("metric"), (F.col("step") * um / minutes).alias("value"))]
     if "area_px" in points.columns:
         parts.append(points.select(*KEYS, "frame", F.lit("area_um2").alias("metric"), (F.col("area_px") * um * um).alias("value")))
     over = W.partitionBy("metric", "recording_id", "frame")

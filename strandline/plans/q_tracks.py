@@ -11,7 +11,8 @@ TP = "track_points"
 
 
 def rounded(df, *cols, n=6):
-    return df.withColumns({c: F.round(c, n) for c in cols})
+    """Columns rounded as DuckDB's round does it: the scaled value to the nearest integer, halves away from zero (Spark's round goes by the decimal text)."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**n) / 10.0**n for c in cols})
 
 
 STEPS = """
