@@ -40,13 +40,16 @@ def read_sidecars(rec):
     return R.with_defaults(rec)
 
 
+def with_sidecars(scanned, rec):
+    """Recordings with the sidecar that their name's number tells: one of a stem, however many files share it."""
+    stems = scanned.select(R.stem(F.col("path")).alias("stem"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("k")).distinct()
+    return R.build_recordings(scanned, stems.join(rec.withColumn("k", F.col("recording_id")), "k").select("stem", "name", "um_per_px", "time_interval_min"))
+
+
 @query("build_recordings", FILES, REC, ctes=NAMES, sql="""SELECT coalesce(nullif(dir, ''), 'root') AS grp, coalesce(r.name, n.name) AS name, path, coalesce(um_per_px, 1.0::DOUBLE) AS um_per_px, coalesce(time_interval_min, 1.0::DOUBLE) AS time_interval_min
 FROM n LEFT JOIN recordings r ON r.recording_id = regexp_extract(n.name, '(\\d+)', 1)::BIGINT WHERE lower(ext) IN ('mp4', 'tif')""".replace("\\\\d", "\\d"))
 def build_recordings(files, rec):
-    scanned = R.recordings_of(files)
-    side = rec.withColumn("k", F.col("recording_id"))
-    stems = scanned.select(R.stem(F.col("path")).alias("stem"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("k"))
-    return R.build_recordings(scanned, stems.join(side, "k").select("stem", "name", "um_per_px", "time_interval_min"))
+    return with_sidecars(R.recordings_of(files), rec)
 
 
 @query("scale_override", REC, sql="SELECT recording_id, grp, name, 0.5::DOUBLE AS um_per_px, time_interval_min FROM recordings")
