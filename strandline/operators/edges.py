@@ -28,7 +28,7 @@ def centroids(px: DataFrame) -> DataFrame:
 def polar_sectors(px: DataFrame, n: int = 72, centre: DataFrame | None = None) -> DataFrame:
     """Median boundary radius per frame and sector about the centroid, with the number of boundary pixels."""
     c = centroids(px) if centre is None else centre
-    edge = boundary_pixels(px).select(*FRAME, "row_", "col_").join(c, FRAME)
+    edge = boundary_pixels(px).select(*FRAME, "row_", "col_").join(c.hint("merge"), FRAME)
     dy, dx = F.col("row_") - F.col("cy"), F.col("col_") - F.col("cx")
     return edge.select(*FRAME, sector_of(dy, dx, n).alias("sector"), F.sqrt(dy * dy + dx * dx).alias("r")).groupBy(*SECTOR).agg(F.median("r").alias("radius"), F.count("*").alias("n"))
 
@@ -45,8 +45,8 @@ def fill_sector_gaps(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -
 TAPS = ((-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3))
 
 
-def smooth_sectors(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -> DataFrame:
-    """Circular five-point quadratic smoothing of the radii of dense sectors (0 to n - 1 of every key); nulls are left out of the sums.
+def smoothed_sectors(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -> DataFrame:
+    """(keys, _s), _s the array of a key's radii after circular five-point quadratic smoothing of the radii of dense sectors (0 to n - 1 of every key); nulls are left out of the sums.
 
     A key's radii are smoothed as one array of n, so that no row is sent to its neighbours; after fill_sector_gaps they already lie together.
     """
@@ -56,23 +56,32 @@ def smooth_sectors(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) ->
         near = [F.get("_r", F.pmod(i + o, F.lit(n))) * (w / 35.0) for o, w in TAPS]
         return F.when(F.coalesce(*near).isNotNull(), sum((F.coalesce(v, F.lit(0.0)) for v in near[1:]), F.coalesce(near[0], F.lit(0.0))))
 
-    return rows.select(*keys, F.posexplode(F.transform("_r", smooth)).alias("sector", "radius"))
+    return rows.select(*keys, F.transform("_r", smooth).alias("_s"))
+
+
+def smooth_sectors(sectors: DataFrame, n: int = 72, keys: list[str] = FRAME) -> DataFrame:
+    """smoothed_sectors as one row a sector."""
+    return smoothed_sectors(sectors, n, keys).select(*keys, F.posexplode("_s").alias("sector", "radius"))
 
 
 def edge_velocity_pair(px: DataFrame, n: int = 72, um: float = UM_PER_PX, minutes: float = MINUTES) -> DataFrame:
-    """Velocity per sector between a frame and the next, radii of both taken about the midpoint of the two centroids."""
+    """Velocity per sector between a frame and the next, radii of both taken about the midpoint of the two centroids.
+
+    The two midpoints of a frame come to its edge pixels, which stay where they are; only smoothed arrays, two a frame, are sent to their pair.
+    """
     c = centroids(px)
     nxt = c.select("recording_id", (F.col("frame") - 1).alias("frame"), F.col("cy").alias("dy"), F.col("cx").alias("dx"))
-    pairs = c.join(nxt, FRAME).select("recording_id", F.col("frame").alias("pair"), ((F.col("cy") + F.col("dy")) / 2).alias("my"), ((F.col("cx") + F.col("dx")) / 2).alias("mx"))
-    edge = boundary_pixels(px).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("pair", F.col("frame") - F.col("side"))
-    edge = edge.join(pairs, ["recording_id", "pair"])
+    pairs = c.join(nxt.hint("merge"), FRAME).select("recording_id", F.col("frame").alias("pair"), ((F.col("cy") + F.col("dy")) / 2).alias("my"), ((F.col("cx") + F.col("dx")) / 2).alias("mx"))
+    sides = [pairs.select("recording_id", (F.col("pair") + k).alias("frame"), F.lit(k).alias("side"), "my", "mx") for k in (0, 1)]
+    edge = boundary_pixels(px).join(sides[0].unionByName(sides[1]).hint("merge"), FRAME)
     dy, dx = F.col("row_") - F.col("my"), F.col("col_") - F.col("mx")
-    keys = ["recording_id", "pair", "side"]
+    keys = [*FRAME, "side"]
     radii = edge.select(*keys, sector_of(dy, dx, n).alias("sector"), F.sqrt(dy * dy + dx * dx).alias("r")).groupBy(*keys, "sector").agg(F.median("r").alias("radius"))
-    radii = smooth_sectors(fill_sector_gaps(radii, n, keys), n, keys)
-    at = lambda s: F.max(F.when(F.col("side") == s, F.col("radius")))
-    both = radii.groupBy("recording_id", "pair", "sector").agg(at(0).alias("r1"), at(1).alias("r2"))
-    return both.select("recording_id", F.col("pair").alias("frame"), "sector", ((F.col("r2") - F.col("r1")) * um / minutes).alias("velocity"))
+    radii = smoothed_sectors(fill_sector_gaps(radii, n, keys), n, keys)
+    at = lambda s: F.max(F.when(F.col("side") == s, F.col("_s")))
+    both = radii.groupBy("recording_id", (F.col("frame") - F.col("side")).alias("frame")).agg(at(0).alias("_r1"), at(1).alias("_r2"))
+    every = both.select(*FRAME, "_r1", "_r2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sector"))
+    return every.select(*FRAME, "sector", ((F.get("_r2", "sector") - F.get("_r1", "sector")) * um / minutes).alias("velocity"))
 
 
 def edge_kymograph(px: DataFrame, n: int = 72, sigma: float = 1.0, um: float = UM_PER_PX, minutes: float = MINUTES) -> DataFrame:
@@ -81,7 +90,7 @@ def edge_kymograph(px: DataFrame, n: int = 72, sigma: float = 1.0, um: float = U
     spine = frame_spine(px, ["recording_id"])
     last = W.partitionBy("recording_id")
     spine = spine.withColumn("_m", F.max("frame").over(last)).where("frame < _m").drop("_m").withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dense = spine.join(v, SECTOR, "left").withColumn("_raw", F.col("velocity")).withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
+    dense = spine.join(v.hint("merge"), SECTOR, "left").withColumn("_raw", F.col("velocity")).withColumn("velocity", F.coalesce("velocity", F.lit(0.0)))
     smooth = convolve(dense, ["recording_id", "sector"], "frame", ["velocity"], gaussian_weights(sigma), keep=["_raw"])
     return smooth.select(*SECTOR, F.when(F.col("_raw").isNotNull(), F.col("velocity")).alias("velocity"))
 
@@ -100,7 +109,7 @@ def smooth_radii_over_time(sectors: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Per sector: missing frames on the line between valid ones (ends clamped, two valid at least), then Gaussian over frames."""
     keys = ["recording_id", "sector"]
     spine = frame_spine(sectors, ["recording_id"]).join(sectors.select(*keys).distinct(), "recording_id")
-    s = spine.join(sectors.select(*SECTOR, "radius"), SECTOR, "left").withColumn("_k", F.count("radius").over(W.partitionBy(*keys)))
+    s = spine.join(sectors.select(*SECTOR, "radius").hint("merge"), SECTOR, "left").withColumn("_k", F.count("radius").over(W.partitionBy(*keys)))
     filled = fill_linear(s.where("_k >= 2"), keys, "frame", "radius", "_f").select(*SECTOR, F.col("_f").alias("radius"))
     return convolve(filled, keys, "frame", ["radius"], gaussian_weights(sigma))
 

@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.functions import primitives
-from strandline.plans import q_tables
+from strandline.operators import linking, masks, objects
+from strandline.plans import fixtures, q_tables
 from strandline.plans.q_tracks import rounded
 
 
@@ -36,3 +37,38 @@ def test_one_row_for_files_that_share_a_stem(spark):
 
     scanned = R.recordings_of(files)
     assert q_tables.with_sidecars(scanned, rec).count() == 4
+
+
+def test_mask_view_equals_its_sql(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    want, got = spark.sql(fixtures.SPARK["mask_px"]), fixtures.view(spark, sf_dir, "mask_px")
+    assert dict(got.dtypes) == dict(want.dtypes)
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and want.select(got.columns).exceptAll(got).isEmpty()
+
+
+def test_edge_pixels_stay_with_their_frame(spark, sf_dir):
+    px = fixtures.view(spark, sf_dir, "mask_px")
+    shuffles = lambda df: plan(df).count("Exchange hashpartitioning")
+    assert shuffles(px) == 2 and shuffles(masks.boundary_pixels(px)) <= 2 * shuffles(px)
+    assert shuffles(masks.boundary_pixels(masks.largest_component(px))) <= 4 * shuffles(px)
+    assert "BroadcastHashJoin" not in plan(masks.best_overlap_component(px, px.where("label = 2")))
+
+
+def test_components_across_bands(spark):
+    snake = [(r, c) for r in range(40) for c in ([r % 3] if r % 7 else range(5))] + [(r, 9) for r in range(40)]
+    px = spark.createDataFrame([("a", 0, 1, r, c) for r, c in snake], "recording_id string, frame int, label int, row_ int, col_ int")
+    key = lambda df: sorted(map(tuple, df.select("label", "row_", "c0", "c1").collect()))
+    assert key(masks.component_runs(px, band=4)) == key(masks.component_runs(px))
+    assert masks.component_runs(px, band=4).where("c0 = 9").select("label").distinct().count() == 1
+
+
+def test_objects_share_a_batch(spark):
+    px = spark.createDataFrame([("a", f, k, r, c) for f in range(40) for k in (1, 2) for r in range(2) for c in range(k)], "recording_id string, frame int, label int, row_ int, col_ int")
+    out = objects.per_object_apply(px, lambda crop: crop, 1)
+    assert "InPandas" not in plan(out) and out.exceptAll(px).isEmpty() and out.count() == px.count()
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    det = spark.createDataFrame([("a", 0, 1, 0.0, 0.0, 5), ("a", 1, 1, 3.0, 4.0, 5)], "recording_id string, frame int, label int, cy double, cx double, area_px int")
+    found = linking.link_candidates(det)
+    assert "BroadcastHashJoin" not in plan(found) and [r["dist"] for r in found.collect()] == [5.0]
