@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.primitives import UM_PER_PX, frame_spine
 from strandline.operators.masks import FRAME, consecutive_iou
+from strandline.operators.words import pixel_words
 
 
 def along() -> WindowSpec:
@@ -18,7 +19,7 @@ def along() -> WindowSpec:
 
 def frame_areas(px: DataFrame) -> DataFrame:
     """Foreground pixels of every occupied frame."""
-    return px.select(*FRAME, "row_", "col_").distinct().groupBy(*FRAME).agg(F.count("*").alias("n"))
+    return pixel_words(px, FRAME).groupBy(*FRAME).agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 def area_stability(px: DataFrame, um: float = UM_PER_PX) -> DataFrame:
