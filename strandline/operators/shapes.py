@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.cascade import frame_range
-from strandline.operators.edges import fill_sector_gaps, sector_of
+from strandline.operators.edges import filled_sectors, sector_of
 from strandline.operators.masks import FRAME, boundary_pixels
 
 
@@ -21,14 +21,15 @@ def shape_vectors(px: DataFrame, sectors: int = 50, least_points: int = 10) -> D
     to sector 0 and divided by the mean radius; frames with fewer boundary points are dropped."""
     c = px.groupBy(*FRAME).agg(F.avg("row_").alias("cy"), F.avg("col_").alias("cx"), F.covar_pop("row_", "col_").alias("cov"), F.var_pop("row_").alias("vr"), F.var_pop("col_").alias("vc"))
     c = c.select(*FRAME, "cy", "cx", (0.5 * F.atan2(2 * F.col("cov"), F.col("vc") - F.col("vr"))).alias("turn"))
-    edge = boundary_pixels(px).join(c.hint("merge"), FRAME)
+    edge = boundary_pixels(px).join(c.hint("shuffle_hash"), FRAME)
     dy, dx = F.col("row_") - F.col("cy"), F.col("col_") - F.col("cx")
     ry, rx = dy * F.cos("turn") - dx * F.sin("turn"), dx * F.cos("turn") + dy * F.sin("turn")
     s = edge.select(*FRAME, sector_of(ry, rx, sectors).alias("sector"), F.sqrt(dy * dy + dx * dx).alias("r"))
-    enough = s.withColumn("_k", F.count("*").over(W.partitionBy(*FRAME))).where(F.col("_k") >= least_points)
-    filled = fill_sector_gaps(enough.groupBy(*FRAME, "sector").agg(F.median("r").alias("radius")), sectors)
-    rows = filled.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("sector", "radius"))).alias("p"), F.avg("radius").alias("m"))
-    return rows.where("m > 0").select(*FRAME, F.transform("p", lambda x: x["radius"] / F.col("m")).alias("v"))
+    radii = s.groupBy(*FRAME, "sector").agg(F.median("r").alias("radius"), F.count("*").alias("n"))
+    filled = filled_sectors(radii, sectors, least_points=least_points).where("_most > 0").withColumn("_k", F.filter("_r", lambda x: x.isNotNull()))
+    mean = F.aggregate("_k", F.lit(0.0), lambda t, x: t + x) / F.size("_k")
+    # The mean is an array's argument, so that it is made once a frame and not once a sector.
+    return filled.select(*FRAME, F.zip_with("_r", F.array_repeat(mean, sectors), lambda x, m: x / m).alias("v"))
 
 
 def _features(vectors: DataFrame) -> DataFrame:
